@@ -6,6 +6,13 @@ serve predictions, top-k recommendations and evaluation. Everything is a
 DataFrame job.
 """
 
-from ridgeline.operators.als import ALSFactorizer, ALSModel
+import sys
+
+from pyspark import cloudpickle
+
+# Task-side kernels travel with the job, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from ridgeline.operators.als import ALSFactorizer, ALSModel  # noqa: E402
 
 __all__ = ["ALSFactorizer", "ALSModel"]

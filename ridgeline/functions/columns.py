@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +23,14 @@ def pseudo_random(id_col: Column, feature: int, seed: int = 0) -> Column:
     return (F.pmod(mixed, F.lit(MODULUS)) + F.lit(1)) / F.lit(MODULUS + 1.0)
 
 
-def features_to_columns(features, rank: int, prefix: str) -> list[Column]:
+def features_to_columns(features: str, rank: int, prefix: str) -> list[Column]:
     """Unpack a feature array into one column per feature."""
-    features = F.col(features) if isinstance(features, str) else features
-    return [features.getItem(q).alias(f"{prefix}{q}") for q in range(rank)]
-
-
-def dot(left: list[Column], right: list[Column]) -> Column:
-    return reduce(lambda acc, term: acc + term, [a * b for a, b in zip(left, right)])
+    return [F.expr(f"{features}[{q}] as {prefix}{q}") for q in range(rank)]
 
 
 def dot_columns(left_prefix: str, right_prefix: str, rank: int) -> Column:
-    return dot(
-        [F.col(f"{left_prefix}{q}") for q in range(rank)],
-        [F.col(f"{right_prefix}{q}") for q in range(rank)],
-    )
+    """Inner product of two unpacked vectors, added up in feature order."""
+    return F.expr(" + ".join(f"{left_prefix}{q} * {right_prefix}{q}" for q in range(rank)))
 
 
 def rounded(col, digits: int = 6) -> Column:

@@ -29,19 +29,23 @@ def rhs_names(rank: int) -> list[str]:
     return [f"v{i}" for i in range(rank)]
 
 
-def gram_sums(rank: int, prefix: str = "f", rating: str = "rating") -> list[Column]:
-    """count, sum(f_i * f_j) for i <= j and sum(f_i * rating), as aggregates."""
-    f = [F.col(f"{prefix}{i}") for i in range(rank)]
-    r = F.col(rating).cast("double")
-    sums = [F.count(F.lit(1)).alias("n")]
-    sums += [F.sum(f[i] * f[j]).alias(f"a{i}_{j}") for i in range(rank) for j in range(i, rank)]
-    sums += [F.sum(f[i] * r).alias(f"v{i}") for i in range(rank)]
-    return sums
+def gram_sums(rank: int, weighted: bool = False) -> list[Column]:
+    """count, sum(f_i * f_j) for i <= j and sum(f_i * rating), as aggregates.
+
+    A weighted row stands for ``weight`` ratings of one pair whose sum is
+    ``rating``. SQL text keeps the number of driver-to-JVM calls low.
+    """
+    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
+    w = "weight * " if weighted else ""
+    sums = ["sum(weight) as n" if weighted else "count(1) as n"]
+    sums += [f"sum({w}f{i} * f{j}) as a{i}_{j}" for i, j in pairs]
+    sums += [f"sum(f{i} * rating) as v{i}" for i in range(rank)]
+    return [F.expr(s) for s in sums]
 
 
 def merge_sums(rank: int) -> list[Column]:
     """Add up partial systems of one entity."""
-    return [F.sum(c).alias(c) for c in ["n", *gram_names(rank), *rhs_names(rank)]]
+    return [F.expr(f"sum({c}) as {c}") for c in ["n", *gram_names(rank), *rhs_names(rank)]]
 
 
 def packed_schema() -> str:
@@ -76,9 +80,10 @@ def partial_grams(joined: DataFrame, rank: int) -> DataFrame:
                 x = _matrix(part.column("features"), rank)[order]
                 r = part.column("rating").to_numpy(zero_copy_only=False)[order]
                 starts = _run_starts(ids)
-                a = np.add.reduceat(x[:, :, None] * x[:, None, :], starts, axis=0)
+                w = part.column("weight").to_numpy(zero_copy_only=False)[order]
+                a = np.add.reduceat((w[:, None] * x)[:, :, None] * x[:, None, :], starts, axis=0)
                 v = np.add.reduceat(x * r[:, None], starts, axis=0)
-                n = np.diff(np.r_[starts, len(ids)])
+                n = np.add.reduceat(w, starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[starts], pa.int32()),
@@ -89,7 +94,10 @@ def partial_grams(joined: DataFrame, rank: int) -> DataFrame:
                     ["id", "n", "a", "v"],
                 )
 
-    rows = joined.select("id", F.col("rating").cast("double").alias("rating"), "features")
+    weight = F.col("weight") if "weight" in joined.columns else F.lit(1).cast("bigint")
+    rows = joined.select(
+        "id", weight.alias("weight"), F.col("rating").cast("double").alias("rating"), "features"
+    )
     return rows.mapInArrow(kernel, packed_schema())
 
 

@@ -19,12 +19,7 @@ from ridgeline.operators.layout import (
     build_layout,
     ratings_stats,
 )
-from ridgeline.operators.quality import ON_DUPLICATE, resolve_duplicates
-
-# Below this many ratings several half-steps run as one job; above it every
-# half-step is written, so that a lost executor never costs more than one.
-CHAIN_MAX_RATINGS = 20_000_000
-CHAIN_ITERATIONS = 4
+from ridgeline.operators.quality import ON_DUPLICATE, combine_repeats, resolve_duplicates
 
 TRACE_SCHEMA = "iteration int, mse double, rmse double, objective double"
 METRICS_SCHEMA = "iteration int, side string, rows bigint, seconds double"
@@ -123,7 +118,6 @@ class ALSFactorizer:
         strategy: str = "auto",
         seed: int = 0,
         on_duplicate: str = "error",
-        checkpoint_interval: int | None = None,
         broadcast_limit: int = BROADCAST_LIMIT,
         hot_limit: int | None = None,
     ):
@@ -146,7 +140,6 @@ class ALSFactorizer:
         self.strategy = strategy
         self.seed = seed
         self.on_duplicate = on_duplicate
-        self.checkpoint_interval = checkpoint_interval
         self.broadcast_limit = broadcast_limit
         self.hot_limit = hot_limit
 
@@ -160,7 +153,10 @@ class ALSFactorizer:
     ) -> ALSModel:
         spark = ratings.sparkSession
         source = resolve_duplicates(ratings, self.on_duplicate)
-        base = source.select("user_id", "item_id", "rating").persist(StorageLevel.MEMORY_AND_DISK)
+        base = source.select("user_id", "item_id", "rating")
+        if self.on_duplicate == "keep":
+            base = combine_repeats(base)
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
         layouts = []
         try:
             stats = ratings_stats(base)
@@ -180,48 +176,43 @@ class ALSFactorizer:
             if self.on_duplicate == "error":
                 _assert_unique(by_user)
             with block_partitioning(spark):
-                return self._iterate(spark, base, source, by_user, by_item, total, users, items, trace, metrics)
+                return self._iterate(spark, base, source, by_user, by_item, users, items, trace, metrics)
         finally:
             for layout in layouts:
                 layout.unpersist()
             base.unpersist()
 
-    def _iterate(self, spark, base, source, by_user, by_item, total, users, items, trace, metrics):
+    def _iterate(self, spark, base, source, by_user, by_item, users, items, trace, metrics):
+        """Every half-step is written once to the shared folder and read back.
+
+        Plans stay one half-step deep, and a lost executor costs at most the
+        half-step in progress. Tables that nothing will read again are deleted.
+        """
         run = workdir.new_run_dir(spark, "als")
-        each_step = trace or metrics
-        interval = self.checkpoint_interval or (
-            CHAIN_ITERATIONS if total <= CHAIN_MAX_RATINGS else 0
-        )
-        trace_rows, metric_rows, written = [], [], []
+        trace_rows, metric_rows = [], []
+        scored = source if "weight" in base.columns else base
 
-        def keep(df, iteration, side):
-            path = f"{run}/{side}-factors-{iteration}"
+        def solved(layout, factors, iteration):
             started = time.perf_counter()
-            table = workdir.write_table(df, path)
+            path = f"{run}/{layout.side}-factors-{iteration}"
+            table = workdir.write_table(layout.step(factors, self.rank, self.reg), path)
             if metrics:
                 rows = table.count()
-                metric_rows.append((iteration, side, rows, time.perf_counter() - started))
-            written.append(path)
+                metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))
             return table
 
-        user = self._start(by_user)
-        item = None
+        user, item = self._start(by_user), None
         for iteration in range(1, self.max_iter + 1):
-            last = iteration == self.max_iter
-            item = by_item.step(user, self.rank, self.reg)
-            if last or each_step or interval == 0:
-                item = keep(item, iteration, "item")
-            user = by_user.step(item, self.rank, self.reg)
-            if last or each_step or interval == 0 or iteration % interval == 0:
-                user = keep(user, iteration, "user")
-                for path in written[:-2]:  # only the newest pair is ever read again
-                    workdir.delete_dir(spark, path)
-                    written.remove(path)
+            item = solved(by_item, user, iteration)
+            user = solved(by_user, item, iteration)
             if trace:
                 row = ev.objective(
-                    user, item, base, self.rank, self.reg, broadcast_limit=self.broadcast_limit
+                    user, item, scored, self.rank, self.reg, broadcast_limit=self.broadcast_limit
                 ).first()
                 trace_rows.append((iteration, row["mse"], row["rmse"], row["objective"]))
+            if iteration > 1:
+                for side in ("item", "user"):
+                    workdir.delete_dir(spark, f"{run}/{side}-factors-{iteration - 1}")
 
         model = ALSModel(user, item, self.rank, self.reg, users, items, run, source)
         if trace:
@@ -232,8 +223,9 @@ class ALSFactorizer:
 
     def _start(self, by_user) -> DataFrame:
         """Initial user factors from the layout: no shuffle when it is by user."""
+        count = F.sum("weight") if "weight" in by_user.data.columns else F.count(F.lit(1))
         sums = by_user.data.groupBy(*by_user.group_keys).agg(
-            F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n")
+            F.sum("rating").alias("total"), count.alias("n")
         )
         if by_user.group_keys != ["id"]:
             sums = sums.groupBy("id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

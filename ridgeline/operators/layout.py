@@ -134,11 +134,12 @@ class Layout:
         if rank > linalg.EXPR_MAX_RANK:
             partials = linalg.partial_grams(joined, rank)
             return linalg.merge_packed(partials, rank, self.partitions)
-        summed = joined.groupBy(*self.group_keys).agg(*linalg.gram_sums(rank))
+        summed = joined.groupBy(*self.group_keys).agg(
+            *linalg.gram_sums(rank, "weight" in joined.columns)
+        )
         if self.merge:
             summed = summed.groupBy("id").agg(*linalg.merge_sums(rank))
-        names = ["id", "n", *linalg.gram_names(rank), *linalg.rhs_names(rank)]
-        return summed.select(*names)
+        return summed.drop("block", "part")
 
     def step(self, factors: DataFrame, rank: int, reg: float) -> DataFrame:
         """Solve this side for fixed counterpart factors."""
@@ -176,7 +177,8 @@ def build_layout(
 
     partitions = num_blocks or default_partitions(ratings.sparkSession, own_stats.ratings)
     limit = skew.safe_limit(own_stats.ratings, hot_limit)
-    rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating")
+    extra = [c for c in ("weight",) if c in ratings.columns]
+    rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating", *extra)
 
     if strategy == "shuffle":
         hot = None

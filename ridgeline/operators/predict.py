@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,8 +205,8 @@ def _grid(users: DataFrame, items: DataFrame, n_users: int, item_blocks: int, ra
 
 def _cell(left: pa.Table, right: pa.Table, rank: int):
     """User ids and matrix, item ids (ascending) and matrix, rated positions."""
-    rated = left.filter(pa.compute.is_valid(left.column("rated_item")))
-    people = left.filter(pa.compute.is_null(left.column("rated_item"))).sort_by("id")
+    rated = left.filter(pc.is_valid(left.column("rated_item")))
+    people = left.filter(pc.is_null(left.column("rated_item"))).sort_by("id")
     right = right.sort_by("id")
     user_ids, item_ids = people.column("id").to_numpy(), right.column("id").to_numpy()
     unpack = lambda t: _matrix(t.column("features").combine_chunks(), rank) if len(t) else np.empty((0, rank))
@@ -333,7 +334,7 @@ def recommend(
         def emit(batch, start, stop, ids, item_ids, scores):
             if exclude_rated:
                 lists = batch.column("seen").slice(start, stop - start)
-                lengths = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+                lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
                 seen_items = lists.flatten().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(stop - start), lengths)
                 col = np.minimum(np.searchsorted(item_ids, seen_items), len(item_ids) - 1)

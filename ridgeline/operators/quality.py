@@ -27,6 +27,17 @@ def resolve_duplicates(ratings: DataFrame, on_duplicate: str = "error") -> DataF
     )
 
 
+def combine_repeats(ratings: DataFrame) -> DataFrame:
+    """One row per pair that stands for all its ratings: their number and sum.
+
+    The normal equations need no more than that, and the combining happens
+    before the shuffle, however often a pair repeats.
+    """
+    return ratings.groupBy("user_id", "item_id").agg(
+        F.count(F.lit(1)).alias("weight"), F.sum("rating").alias("rating")
+    )
+
+
 def duplicated_pairs(ratings: DataFrame) -> DataFrame:
     """(user_id, item_id, n) of pairs rated more than once."""
     return (

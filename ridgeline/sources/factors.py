@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ridgeline import workdir
 from ridgeline.schemas import FACTORS
 
 PARAMS = "rank int, reg double, users bigint, items bigint"
@@ -25,3 +26,8 @@ def load_model(spark: SparkSession, path: str):
     user = spark.read.schema(FACTORS).parquet(f"{path}/user_factors")
     item = spark.read.schema(FACTORS).parquet(f"{path}/item_factors")
     return ALSModel(user, item, params["rank"], params["reg"], params["users"], params["items"])
+
+
+def model_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions below ``path`` whose last-written part (the parameters) is complete."""
+    return workdir.list_versions(spark, path, "version", "params/_SUCCESS")

@@ -43,7 +43,7 @@ def new_run_dir(spark: SparkSession, label: str) -> str:
 
 def write_table(df, path):
     """Write once, read back with the same schema: cuts lineage durably."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,10 +55,16 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
 
 
-def list_versions(spark: SparkSession, path: str, key: str) -> list[int]:
-    """Complete ``key=<n>`` sub-folders of ``path`` (those with a _SUCCESS file)."""
+def list_versions(spark: SparkSession, path: str, key: str, marker: str = "_SUCCESS") -> list[int]:
+    """Sub-folders ``key=<n>`` of ``path`` that hold the marker of a finished write."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}=*/_SUCCESS")
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}=*/{marker}")
     found = pattern.getFileSystem(conf).globStatus(pattern) or []
-    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+    numbers = []
+    for status in found:
+        parent = status.getPath()
+        while not parent.getName().startswith(f"{key}="):
+            parent = parent.getParent()
+        numbers.append(int(parent.getName().split("=")[1]))
+    return sorted(numbers)
