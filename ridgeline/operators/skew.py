@@ -26,7 +26,7 @@ def hot_ids(counts: DataFrame, key: str, limit: int) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, hot: DataFrame, key: str, by: str, out: str) -> DataFrame:
+def spread(df: DataFrame, hot: DataFrame, key: str, by, out: str) -> DataFrame:
     """Add ``out``: 0 for ordinary ids, 0..parts-1 (by a hash of ``by``) for hot ones."""
     part = F.when(
         F.col("parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("parts")).cast("int")

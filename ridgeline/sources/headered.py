@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline import workdir
@@ -154,35 +154,64 @@ def read_headered_ratings(spark: SparkSession, paths, mode: str = "failfast") ->
 
 
 def write_headered_ratings(ratings: DataFrame, path: str, chunk_rows: int | None = None) -> None:
-    """Write ratings as headered text, ordered by item.
-
-    One output record is a header with up to about ``chunk_rows`` rating lines.
-    An item with more ratings is cut into several records that each repeat the
-    header, so no record (and no task) has to hold a hot item whole, and a
-    record never depends on the file before it.
-    """
+    """Write ratings as headered text, ordered by item, users ascending."""
     if "rated_on" not in ratings.columns:
         ratings = ratings.withColumn("rated_on", F.lit(None).cast("date"))
-    rows = ratings.select("user_id", "item_id", "rating", "rated_on")
-    limit = skew.safe_limit(rows.count(), chunk_rows)
+    line = F.concat_ws(
+        ",", F.col("user_id").cast("string"), F.col("rating").cast("string"),
+        F.coalesce(F.col("rated_on").cast("string"), F.lit("")),
+    )
+    rows = ratings.select("item_id", F.col("user_id").alias("order_key"), line.alias("line"))
+    write_headered_lines(rows, path, chunk_rows)
+
+
+def write_headered_lines(
+    lines: DataFrame, path: str, chunk_rows: int | None = None, header: Column | None = None
+) -> None:
+    """Write (item_id, order_key, line) rows below a header per item.
+
+    One output record is a header with up to about ``chunk_rows`` lines. An item
+    with more of them is cut into several records that each repeat the header,
+    so no record (and no task) has to hold a hot item whole, and a record never
+    depends on the file before it. ``header`` overrides the header text.
+    """
+    spark = lines.sparkSession
+    rows = lines.select("item_id", "order_key", "line")
     counts = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    chunked = skew.spread(rows, skew.hot_ids(counts, "item_id", limit), "item_id", "user_id", "chunk")
+    counts = workdir.write_table(counts, workdir.new_run_dir(spark, "item-counts"))
+    limit = skew.safe_limit(counts.agg(F.sum("n")).first()[0] or 0, chunk_rows)
+    hot = skew.hot_ids(counts, "item_id", limit)
+    if hot.isEmpty():
+        rows = rows.withColumn("copies", F.lit(1)).withColumn("chunk", F.lit(0))
+    else:
+        rows = _chunked(rows, hot, limit)
+    header = F.col("item_id").cast("string") if header is None else header
+    entries = F.array_sort(F.collect_list(F.struct("order_key", "line", "copies")))
+    texts = F.flatten(F.transform("entries", lambda e: F.array_repeat(e["line"], e["copies"])))
     # Range partitioning on the grouping keys serves both the grouping and the order.
-    entry = F.struct("user_id", "rating", "rated_on")
-    as_line = lambda e: F.concat_ws(
-        ",", e["user_id"].cast("string"), e["rating"].cast("string"),
-        F.coalesce(e["rated_on"].cast("string"), F.lit("")),
-    )
     records = (
-        chunked.repartitionByRange("item_id", "chunk")
+        rows.repartitionByRange("item_id", "chunk")
         .groupBy("item_id", "chunk")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .agg(entries.alias("entries"))
         .sortWithinPartitions("item_id", "chunk")
-        .select(
-            F.concat(
-                F.col("item_id").cast("string"), F.lit(":\n"),
-                F.concat_ws("\n", F.transform("entries", as_line)),
-            ).alias("value")
-        )
+        .select(F.concat(header, F.lit(":\n"), F.array_join(texts, "\n")).alias("value"))
     )
     records.write.mode("overwrite").text(path)
+
+
+def _chunked(rows: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
+    """Spread the lines of hot items over chunks.
+
+    Equal lines are counted first and a large count is cut into pieces, so many
+    copies of one line do not meet in one chunk. Chunks depend on content only:
+    a retried task places its lines as before.
+    """
+    counted = rows.groupBy("item_id", "order_key", "line").agg(F.count(F.lit(1)).alias("total"))
+    pieces = F.sequence(F.lit(0), F.ceil(F.col("total") / limit).cast("int") - 1)
+    cut = counted.withColumn("piece", F.explode(pieces)).withColumn(
+        "copies", F.least(F.lit(limit), F.col("total") - F.col("piece") * limit).cast("int")
+    )
+    keyed = cut.withColumn("key", F.xxhash64("order_key", "line", "piece"))
+    return skew.spread(keyed, hot, "item_id", "key", "chunk").select(
+        "item_id", "order_key", "line", "copies", "chunk"
+    )

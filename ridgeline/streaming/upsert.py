@@ -57,6 +57,32 @@ def compact(spark: SparkSession, table_path: str, batch_id: int) -> DataFrame:
     return spark.read.schema(RATING_EVENTS).parquet(path)
 
 
+def prune(spark: SparkSession, table_path: str, keep: int = 2) -> None:
+    """Drop all but the newest ``keep`` bases and the deltas the oldest of them covers."""
+    bases = workdir.list_versions(spark, f"{table_path}/base", "version")
+    if len(bases) <= keep:
+        return
+    for version in bases[:-keep]:
+        workdir.delete_dir(spark, f"{table_path}/base/version={version}")
+    for batch in workdir.list_versions(spark, f"{table_path}/delta", "batch"):
+        if batch <= bases[-keep]:
+            workdir.delete_dir(spark, f"{table_path}/delta/batch={batch}")
+
+
+def _start(stream: DataFrame, on_batch, checkpoint: str, trigger: dict | None):
+    return (
+        stream.writeStream.foreachBatch(on_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None):
+    """Land rating events only; ``current_ratings`` reads the result."""
+    return _start(stream, lambda df, batch_id: write_delta(df, batch_id, table_path), checkpoint, trigger)
+
+
 def refit_stream(
     stream: DataFrame,
     table_path: str,
@@ -83,16 +109,13 @@ def refit_stream(
         base = compact(spark, table_path, batch_id)
         path = f"{table_path}/factors/version={batch_id}"
         workdir.delete_dir(spark, path)  # left by an attempt that did not finish
-        model = model_of.fit(base)
-        model.save(path)
-        model.release()
+        if not base.isEmpty():
+            model = model_of.fit(base)
+            model.save(path)
+            model.release()
+        prune(spark, table_path)
 
-    return (
-        stream.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return _start(stream, on_batch, checkpoint, trigger)
 
 
 def latest_model(spark: SparkSession, table_path: str):
