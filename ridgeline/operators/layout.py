@@ -73,17 +73,29 @@ def default_partitions(spark: SparkSession, total: int) -> int:
 
 
 @contextmanager
-def block_partitioning(spark: SparkSession):
-    """Let a join on (block, id) use data already partitioned by block."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
+def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def block_partitioning(spark: SparkSession):
+    """Let a join on (block, id) use data already partitioned by block."""
+    return _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def fixed_partitioning(spark: SparkSession):
+    """Plan a cached layout without adaptive execution.
+
+    An adaptive plan does not tell its partitioning before it has run, and the
+    half-steps planned on top of it would shuffle the ratings again.
+    """
+    return _setting(spark, "spark.sql.adaptive.enabled", "false")
+
+
 @dataclass
 class Layout:
     side: str
@@ -96,11 +108,10 @@ class Layout:
     routes: DataFrame | None = None
 
     def persist(self) -> "Layout":
-        self.data = self.data.persist(StorageLevel.MEMORY_AND_DISK)
-        if self.routes is not None:
-            self.routes = self.routes.persist(StorageLevel.MEMORY_AND_DISK)
-        if self.hot_other is not None:
-            self.hot_other = self.hot_other.persist(StorageLevel.MEMORY_AND_DISK)
+        with fixed_partitioning(self.data.sparkSession):
+            for df in (self.data, self.routes, self.hot_other):
+                if df is not None:
+                    df.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def unpersist(self) -> None:
