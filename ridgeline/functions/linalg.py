@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EXPR_MAX_RANK = 12
+FACTOR_SCHEMA = "id int, features array<double>"
 _OUTER_DOUBLES = 8_000_000  # bound on the temporary of one Gram step (64 MB)
 
 
@@ -29,23 +30,31 @@ def rhs_names(rank: int) -> list[str]:
     return [f"v{i}" for i in range(rank)]
 
 
-def gram_sums(rank: int, weighted: bool = False) -> list[Column]:
-    """count, sum(f_i * f_j) for i <= j and sum(f_i * rating), as aggregates.
+def sum_systems(joined: DataFrame, keys: list[str], rank: int) -> DataFrame:
+    """count, sum(f_i * f_j) for i <= j and sum(f_i * rating) per key.
 
-    A weighted row stands for ``weight`` ratings of one pair whose sum is
-    ``rating``. SQL text keeps the number of driver-to-JVM calls low.
+    A row with a ``weight`` stands for that many ratings of one pair, whose sum
+    is ``rating``. One SQL text is analysed much faster than a column at a time.
     """
-    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
+    weighted = "weight" in joined.columns
     w = "weight * " if weighted else ""
     sums = ["sum(weight) as n" if weighted else "count(1) as n"]
-    sums += [f"sum({w}f{i} * f{j}) as a{i}_{j}" for i, j in pairs]
+    for i in range(rank):
+        sums += [f"sum({w}f{i} * f{j}) as a{i}_{j}" for j in range(i, rank)]
     sums += [f"sum(f{i} * rating) as v{i}" for i in range(rank)]
-    return [F.expr(s) for s in sums]
+    return _grouped(joined, keys, sums)
 
 
-def merge_sums(rank: int) -> list[Column]:
+def merge_systems(partials: DataFrame, rank: int) -> DataFrame:
     """Add up partial systems of one entity."""
-    return [F.expr(f"sum({c}) as {c}") for c in ["n", *gram_names(rank), *rhs_names(rank)]]
+    names = ["n", *gram_names(rank), *rhs_names(rank)]
+    return _grouped(partials, ["id"], [f"sum({c}) as {c}" for c in names])
+
+
+def _grouped(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    by = ", ".join(keys)
+    text = f"select {by}, {', '.join(sums)} from {{rows}} group by {by}"
+    return rows.sparkSession.sql(text, rows=rows)
 
 
 def packed_schema() -> str:
@@ -66,114 +75,129 @@ def _run_starts(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
 
 
-def partial_grams(joined: DataFrame, rank: int) -> DataFrame:
-    """(id, rating, features) rows -> packed partial systems, a few per batch and id."""
+# --- batch kernels: generators over Arrow batches ------------------------------
 
-    def kernel(batches):
-        step = max(1, _OUTER_DOUBLES // (rank * rank))
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                x = _matrix(part.column("features"), rank)[order]
-                r = part.column("rating").to_numpy(zero_copy_only=False)[order]
-                starts = _run_starts(ids)
-                w = part.column("weight").to_numpy(zero_copy_only=False)[order]
-                a = np.add.reduceat((w[:, None] * x)[:, :, None] * x[:, None, :], starts, axis=0)
-                v = np.add.reduceat(x * r[:, None], starts, axis=0)
-                n = np.add.reduceat(w, starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[starts], pa.int32()),
-                        pa.array(n, pa.int64()),
-                        _list_array(a.reshape(len(starts), rank * rank)),
-                        _list_array(v),
-                    ],
-                    ["id", "n", "a", "v"],
-                )
 
+def _gram_batches(batches, rank: int):
+    """(id, weight, rating, features) rows -> packed partial systems per batch and id."""
+    step = max(1, _OUTER_DOUBLES // (rank * rank))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            x = _matrix(part.column("features"), rank)[order]
+            r = part.column("rating").to_numpy(zero_copy_only=False)[order]
+            w = part.column("weight").to_numpy(zero_copy_only=False)[order]
+            starts = _run_starts(ids)
+            a = np.add.reduceat((w[:, None] * x)[:, :, None] * x[:, None, :], starts, axis=0)
+            v = np.add.reduceat(x * r[:, None], starts, axis=0)
+            n = np.add.reduceat(w, starts)
+            yield _packed(ids[starts], n, a.reshape(len(starts), rank * rank), v)
+
+
+def _merge_batches(batches, rank: int):
+    """Add up runs of the same id; a batch and one open id is all that is held."""
+    open_run = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        n = batch.column("n").to_numpy(zero_copy_only=False)
+        a = _matrix(batch.column("a"), rank * rank)
+        v = _matrix(batch.column("v"), rank)
+        if open_run is not None:
+            ids = np.r_[open_run[0], ids]
+            n = np.r_[open_run[1], n]
+            a = np.vstack([open_run[2], a])
+            v = np.vstack([open_run[3], v])
+        starts = _run_starts(ids)
+        ids = ids[starts]
+        n = np.add.reduceat(n, starts)
+        a = np.add.reduceat(a, starts, axis=0)
+        v = np.add.reduceat(v, starts, axis=0)
+        open_run = (ids[-1:], n[-1:], a[-1:], v[-1:])
+        if len(ids) > 1:
+            yield _packed(ids[:-1], n[:-1], a[:-1], v[:-1])
+    if open_run is not None:
+        yield _packed(*open_run)
+
+
+def _solve_batches(batches, rank: int, reg: float, packed: bool):
+    """x = (A + reg * n * I)^-1 v for all entities of a batch at once."""
+    upper = np.triu_indices(rank)
+    diagonal = np.arange(rank)
+    for batch in batches:
+        m = batch.num_rows
+        if m == 0:
+            continue
+        n = batch.column("n").to_numpy(zero_copy_only=False)
+        if packed:
+            a = _matrix(batch.column("a"), rank * rank).reshape(m, rank, rank).copy()
+            v = _matrix(batch.column("v"), rank)
+        else:
+            a = np.empty((m, rank, rank))
+            for name, i, j in zip(gram_names(rank), *upper):
+                a[:, i, j] = batch.column(name).to_numpy(zero_copy_only=False)
+                a[:, j, i] = a[:, i, j]
+            v = np.column_stack(
+                [batch.column(c).to_numpy(zero_copy_only=False) for c in rhs_names(rank)]
+            )
+        a[:, diagonal, diagonal] += reg * n[:, None]
+        try:
+            x = np.linalg.solve(a, v[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError as exc:
+            raise ValueError("singular system: use reg > 0") from exc
+        yield pa.RecordBatch.from_arrays([batch.column("id"), _list_array(x)], ["id", "features"])
+
+
+def _packed(ids, n, a, v):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int32()), pa.array(n, pa.int64()), _list_array(a), _list_array(v)],
+        ["id", "n", "a", "v"],
+    )
+
+
+# --- the same as DataFrame steps -----------------------------------------------
+
+
+def _gram_input(joined: DataFrame) -> DataFrame:
     weight = F.col("weight") if "weight" in joined.columns else F.lit(1).cast("bigint")
-    rows = joined.select(
+    return joined.select(
         "id", weight.alias("weight"), F.col("rating").cast("double").alias("rating"), "features"
     )
-    return rows.mapInArrow(kernel, packed_schema())
 
 
-def merge_packed(partials: DataFrame, rank: int, num_partitions: int) -> DataFrame:
-    """Add up packed partial systems of the same id.
+def packed_systems(joined: DataFrame, rank: int, merge_over: int | None) -> DataFrame:
+    """Packed systems of joined rows that are sorted by id within partitions.
 
-    Partials are co-located and sorted by id, then summed run by run, so a batch
-    plus one open id is all a task holds.
+    Without ``merge_over`` all rows of an id must be in one partition. With it,
+    partial systems are brought together over that many partitions.
     """
+    rows = _gram_input(joined)
+    partials = rows.mapInArrow(
+        lambda batches: _merge_batches(_gram_batches(batches, rank), rank), packed_schema()
+    )
+    if merge_over is None:
+        return partials
+    placed = partials.repartition(merge_over, "id").sortWithinPartitions("id")
+    return placed.mapInArrow(lambda batches: _merge_batches(batches, rank), packed_schema())
+
 
-    def emit(ids, n, a, v):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int32()), pa.array(n, pa.int64()), _list_array(a), _list_array(v)],
-            ["id", "n", "a", "v"],
-        )
+def solve_joined(joined: DataFrame, rank: int, reg: float) -> DataFrame:
+    """Systems and solution in one pass, for rows as in ``packed_systems``."""
 
     def kernel(batches):
-        open_run = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            a = _matrix(batch.column("a"), rank * rank)
-            v = _matrix(batch.column("v"), rank)
-            if open_run is not None:
-                ids = np.r_[open_run[0], ids]
-                n = np.r_[open_run[1], n]
-                a = np.vstack([open_run[2], a])
-                v = np.vstack([open_run[3], v])
-            starts = _run_starts(ids)
-            ids = ids[starts]
-            n = np.add.reduceat(n, starts)
-            a = np.add.reduceat(a, starts, axis=0)
-            v = np.add.reduceat(v, starts, axis=0)
-            open_run = (ids[-1:], n[-1:], a[-1:], v[-1:])
-            if len(ids) > 1:
-                yield emit(ids[:-1], n[:-1], a[:-1], v[:-1])
-        if open_run is not None:
-            yield emit(*open_run)
+        systems = _merge_batches(_gram_batches(batches, rank), rank)
+        return _solve_batches(systems, rank, reg, True)
 
-    placed = partials.repartition(num_partitions, "id").sortWithinPartitions("id")
-    return placed.mapInArrow(kernel, packed_schema())
+    return _gram_input(joined).mapInArrow(kernel, FACTOR_SCHEMA)
 
 
 def solve_factors(systems: DataFrame, rank: int, reg: float) -> DataFrame:
-    """x = (A + reg * n * I)^-1 v for every entity, batch by batch."""
+    """x = (A + reg * n * I)^-1 v for every entity."""
     packed = "a" in systems.columns
-    wide_names = gram_names(rank)
-
-    def kernel(batches):
-        upper = np.triu_indices(rank)
-        diagonal = np.arange(rank)
-        for batch in batches:
-            m = batch.num_rows
-            if m == 0:
-                continue
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            if packed:
-                a = _matrix(batch.column("a"), rank * rank).reshape(m, rank, rank).copy()
-                v = _matrix(batch.column("v"), rank)
-            else:
-                a = np.empty((m, rank, rank))
-                for name, i, j in zip(wide_names, *upper):
-                    a[:, i, j] = batch.column(name).to_numpy(zero_copy_only=False)
-                    a[:, j, i] = a[:, i, j]
-                v = np.column_stack(
-                    [batch.column(c).to_numpy(zero_copy_only=False) for c in rhs_names(rank)]
-                )
-            a[:, diagonal, diagonal] += reg * n[:, None]
-            try:
-                x = np.linalg.solve(a, v[:, :, None])[:, :, 0]
-            except np.linalg.LinAlgError as exc:
-                raise ValueError("singular system: use reg > 0") from exc
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), _list_array(x)], ["id", "features"]
-            )
-
-    return systems.mapInArrow(kernel, "id int, features array<double>")
+    return systems.mapInArrow(
+        lambda batches: _solve_batches(batches, rank, reg, packed), FACTOR_SCHEMA
+    )

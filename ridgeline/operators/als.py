@@ -21,6 +21,8 @@ from ridgeline.operators.layout import (
 )
 from ridgeline.operators.quality import ON_DUPLICATE, combine_repeats, resolve_duplicates
 
+CHECKPOINT_MAX_RATINGS = 5_000_000
+
 TRACE_SCHEMA = "iteration int, mse double, rmse double, objective double"
 METRICS_SCHEMA = "iteration int, side string, rows bigint, seconds double"
 
@@ -176,17 +178,19 @@ class ALSFactorizer:
             if self.on_duplicate == "error":
                 _assert_unique(by_user)
             with block_partitioning(spark):
-                return self._iterate(spark, base, source, by_user, by_item, users, items, trace, metrics)
+                return self._iterate(spark, base, source, by_user, by_item, total, users, items, trace, metrics)
         finally:
             for layout in layouts:
                 layout.unpersist()
             base.unpersist()
 
-    def _iterate(self, spark, base, source, by_user, by_item, users, items, trace, metrics):
-        """Every half-step is written once to the shared folder and read back.
+    def _iterate(self, spark, base, source, by_user, by_item, total, users, items, trace, metrics):
+        """Every half-step is cut from its lineage in the shared folder.
 
         Plans stay one half-step deep, and a lost executor costs at most the
-        half-step in progress. Tables that nothing will read again are deleted.
+        half-step in progress. A table is written once and read back; when the
+        ratings are few, a checkpoint is cheaper than committing a table even
+        though it computes the last stage twice. The final factors are tables.
         """
         run = workdir.new_run_dir(spark, "als")
         trace_rows, metric_rows = [], []
@@ -194,8 +198,11 @@ class ALSFactorizer:
 
         def solved(layout, factors, iteration):
             started = time.perf_counter()
-            path = f"{run}/{layout.side}-factors-{iteration}"
-            table = workdir.write_table(layout.step(factors, self.rank, self.reg), path)
+            result = layout.step(factors, self.rank, self.reg)
+            if total <= CHECKPOINT_MAX_RATINGS and iteration < self.max_iter:
+                table = workdir.checkpoint(result)
+            else:
+                table = workdir.write_table(result, f"{run}/{layout.side}-factors-{iteration}")
             if metrics:
                 rows = table.count()
                 metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))
@@ -210,7 +217,9 @@ class ALSFactorizer:
                     user, item, scored, self.rank, self.reg, broadcast_limit=self.broadcast_limit
                 ).first()
                 trace_rows.append((iteration, row["mse"], row["rmse"], row["objective"]))
-            if iteration > 1:
+            elif iteration == 1:
+                base.unpersist()  # both layouts are filled now
+            if iteration > 1:  # tables that nothing will read again
                 for side in ("item", "user"):
                     workdir.delete_dir(spark, f"{run}/{side}-factors-{iteration - 1}")
 
@@ -234,8 +243,7 @@ class ALSFactorizer:
 
 
 def _assert_unique(by_user) -> None:
-    """Repeats of a pair share a partition of the layout, so this needs no shuffle
-    unless the layout is clustered by block."""
+    """Repeats of a pair share a partition of the layout, so this needs no shuffle."""
     keys = list(dict.fromkeys([*by_user.group_keys, "id", "other_id"]))
     found = (
         by_user.data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1)

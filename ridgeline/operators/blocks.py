@@ -38,9 +38,11 @@ def in_blocks(ratings: DataFrame, side: str, max_entries: int | None = None) ->
     """
     own, other = side_columns(side)
     rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating")
-    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    limit = skew.safe_limit(rows.count(), max_entries)
-    rows = skew.spread(rows, skew.hot_ids(counts, "id", limit), "id", "other_id", "part")
+    hot, _ = skew.find_hot(rows, "id", max_entries)
+    if hot is None:
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        rows = skew.spread(rows, hot, "id", "other_id", "part")
     entries = F.array_sort(F.collect_list(F.struct("other_id", "rating")))
     return rows.groupBy("id", "part").agg(entries.alias("entries"))
 

@@ -139,21 +139,30 @@ class Layout:
         )
         return self.data.join(shipped.hint("merge"), ["block", "other_id"])
 
+    def _by_id(self, factors: DataFrame, rank: int) -> DataFrame:
+        """Joined rows sorted by id within partitions, for the batch kernels."""
+        joined = self.joined(factors, rank)
+        if self.strategy == "shuffle":
+            keys = ["id", "part"] if self.merge else ["id"]
+            joined = joined.repartition(self.partitions, *keys)
+        elif self.strategy == "broadcast":
+            return joined  # the layout is sorted by id and the join keeps the order
+        return joined.sortWithinPartitions("id")
+
     def systems(self, factors: DataFrame, rank: int) -> DataFrame:
         """The regularisation-free normal equations of every entity."""
-        joined = self.joined(factors, rank)
         if rank > linalg.EXPR_MAX_RANK:
-            partials = linalg.partial_grams(joined, rank)
-            return linalg.merge_packed(partials, rank, self.partitions)
-        summed = joined.groupBy(*self.group_keys).agg(
-            *linalg.gram_sums(rank, "weight" in joined.columns)
-        )
-        if self.merge:
-            summed = summed.groupBy("id").agg(*linalg.merge_sums(rank))
-        return summed.drop("block", "part")
+            rows = self._by_id(factors, rank)
+            return linalg.packed_systems(rows, rank, self.partitions if self.merge else None)
+        summed = linalg.sum_systems(self.joined(factors, rank), self.group_keys, rank)
+        if self.merge and self.strategy != "shuffle":
+            return linalg.merge_systems(summed, rank)
+        return summed.drop("block")
 
     def step(self, factors: DataFrame, rank: int, reg: float) -> DataFrame:
         """Solve this side for fixed counterpart factors."""
+        if rank > linalg.EXPR_MAX_RANK and not self.merge:
+            return linalg.solve_joined(self._by_id(factors, rank), rank, reg)
         return linalg.solve_factors(self.systems(factors, rank), rank, reg)
 
 
@@ -191,6 +200,12 @@ def build_layout(
     extra = [c for c in ("weight",) if c in ratings.columns]
     rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating", *extra)
 
+    # Sums over entities combine map-side under ``shuffle``; batch kernels do not.
+    cut = own_stats.max_per_id > limit and (strategy != "shuffle" or rank > linalg.EXPR_MAX_RANK)
+    if cut:
+        hot = skew.hot_ids(side_counts(ratings, side), "id", limit)
+        rows = skew.spread(rows, hot, "id", "other_id", "part")
+
     if strategy == "shuffle":
         hot = None
         keys = ["other_id"]
@@ -200,12 +215,7 @@ def build_layout(
             rows = skew.spread(rows, hot, "other_id", "id", "other_part")
             keys = ["other_id", "other_part"]
         data = rows.repartition(partitions, *keys).sortWithinPartitions(*keys)
-        return Layout(side, strategy, partitions, data, ["id"], False, hot_other=hot)
-
-    cut = own_stats.max_per_id > limit
-    if cut:
-        hot = skew.hot_ids(side_counts(ratings, side), "id", limit)
-        rows = skew.spread(rows, hot, "id", "other_id", "part")
+        return Layout(side, strategy, partitions, data, ["id"], cut, hot_other=hot)
 
     if strategy == "broadcast":
         keys = ["id", "part"] if cut else ["id"]

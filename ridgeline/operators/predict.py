@@ -61,10 +61,8 @@ def unrated_counts(ratings: DataFrame) -> DataFrame:
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("rated"))
     )
-    items = ratings.agg(F.countDistinct("item_id").alias("items"))  # one row
-    return per_user.join(F.broadcast(items)).select(
-        "user_id", "rated", (F.col("items") - F.col("rated")).alias("unrated")
-    )
+    items = ratings.agg(F.countDistinct("item_id")).first()[0]
+    return per_user.select("user_id", "rated", (F.lit(items) - F.col("rated")).alias("unrated"))
 
 
 # --- kernels -----------------------------------------------------------------

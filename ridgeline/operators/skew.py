@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline import workdir
+
 MAX_HOT_IDS = 100_000
 DEFAULT_HOT_ROWS = 1_000_000
 
@@ -26,6 +28,20 @@ def hot_ids(counts: DataFrame, key: str, limit: int) -> DataFrame:
     )
 
 
+def find_hot(rows: DataFrame, key: str, wanted: int | None = None):
+    """(hot ids or None, limit), from one counting pass over ``rows``.
+
+    The per-id counts are written, so neither the total nor the hot ids read
+    the rows again.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = workdir.write_table(counts, workdir.new_run_dir(spark, "counts"))
+    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.max("n").alias("most")).first()
+    limit = safe_limit(facts["total"], wanted)
+    return (hot_ids(counts, key, limit) if (facts["most"] or 0) > limit else None), limit
+
+
 def spread(df: DataFrame, hot: DataFrame, key: str, by, out: str) -> DataFrame:
     """Add ``out``: 0 for ordinary ids, 0..parts-1 (by a hash of ``by``) for hot ones."""
     part = F.when(
@@ -62,9 +78,9 @@ def join_vectors(
         vector_rows = vectors.count()
     if vector_rows * row_bytes <= broadcast_limit:
         return rows.join(F.broadcast(vectors), key, how)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    hot = hot_ids(counts, key, safe_limit(total, hot_limit))
+    hot, _ = find_hot(rows, key, hot_limit)
+    if hot is None:
+        return rows.join(vectors, key, how)
     left = spread(rows, hot, key, by, "_part")
     right = replicate(vectors, hot, key, "_part")
     return left.join(right, [key, "_part"], how).drop("_part")

@@ -175,13 +175,9 @@ def write_headered_lines(
     so no record (and no task) has to hold a hot item whole, and a record never
     depends on the file before it. ``header`` overrides the header text.
     """
-    spark = lines.sparkSession
     rows = lines.select("item_id", "order_key", "line")
-    counts = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = workdir.write_table(counts, workdir.new_run_dir(spark, "item-counts"))
-    limit = skew.safe_limit(counts.agg(F.sum("n")).first()[0] or 0, chunk_rows)
-    hot = skew.hot_ids(counts, "item_id", limit)
-    if hot.isEmpty():
+    hot, limit = skew.find_hot(rows, "item_id", chunk_rows)
+    if hot is None:
         rows = rows.withColumn("copies", F.lit(1)).withColumn("chunk", F.lit(0))
     else:
         rows = _chunked(rows, hot, limit)

@@ -29,7 +29,7 @@ def above_cache(plan):
     return "\n".join(lines)
 
 
-@pytest.mark.parametrize("strategy,shuffles", [("broadcast", 0), ("blocks", 2), ("shuffle", 2)])
+@pytest.mark.parametrize("strategy,shuffles", [("broadcast", 0), ("blocks", 1), ("shuffle", 2)])
 def test_a_half_step_moves_no_ratings(spark, strategy, shuffles):
     """Only vectors (and, for ``shuffle``, partial sums) cross an exchange."""
     ratings = order_ratings(spark, SF_DIR)
