@@ -15,6 +15,7 @@ from ridgeline.operators.init import initial_features
 from ridgeline.operators.layout import (
     BROADCAST_LIMIT,
     STRATEGIES,
+    adaptive_cache,
     block_partitioning,
     build_layout,
     ratings_stats,
@@ -31,7 +32,8 @@ class ALSModel:
     """Factor tables of one run and what can be computed from them.
 
     ``user_factors`` and ``item_factors`` are tables (id, features); the user
-    factors were solved last, against exactly these item factors.
+    factors were solved last, against exactly these item factors. ``ratings``
+    are the fitted ones, one row per pair.
     """
 
     def __init__(self, user_factors, item_factors, rank, reg, users, items, path=None, ratings=None):
@@ -158,7 +160,8 @@ class ALSFactorizer:
         base = source.select("user_id", "item_id", "rating")
         if self.on_duplicate == "keep":
             base = combine_repeats(base)
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        with adaptive_cache(spark):
+            base = base.persist(StorageLevel.MEMORY_AND_DISK)
         layouts = []
         try:
             stats = ratings_stats(base)
@@ -223,7 +226,10 @@ class ALSFactorizer:
                 for side in ("item", "user"):
                     workdir.delete_dir(spark, f"{run}/{side}-factors-{iteration - 1}")
 
-        model = ALSModel(user, item, self.rank, self.reg, users, items, run, source)
+        rated = source.select("user_id", "item_id", "rating")
+        if self.on_duplicate == "keep":
+            rated = combine_repeats(rated)
+        model = ALSModel(user, item, self.rank, self.reg, users, items, run, rated)
         if trace:
             model.trace = spark.createDataFrame(trace_rows, TRACE_SCHEMA)
         if metrics:

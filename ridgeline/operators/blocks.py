@@ -38,13 +38,14 @@ def in_blocks(ratings: DataFrame, side: str, max_entries: int | None = None) ->
     """
     own, other = side_columns(side)
     rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating")
-    hot, _ = skew.find_hot(rows, "id", max_entries)
+    hot, limit = skew.find_hot(rows, "id", max_entries)
+    entry = F.struct("other_id", "rating")
     if hot is None:
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        rows = skew.spread(rows, hot, "id", "other_id", "part")
-    entries = F.array_sort(F.collect_list(F.struct("other_id", "rating")))
-    return rows.groupBy("id", "part").agg(entries.alias("entries"))
+        lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        return lists.select("id", F.lit(0).alias("part"), "entries")
+    rows = skew.spread_copies(rows, hot, "id", limit, "part")
+    repeated = F.flatten(F.collect_list(F.array_repeat(entry, F.col("copies"))))
+    return rows.groupBy("id", "part").agg(F.array_sort(repeated).alias("entries"))
 
 
 def out_blocks(ratings: DataFrame, side: str, num_blocks: int) -> DataFrame:

@@ -87,6 +87,11 @@ def block_partitioning(spark: SparkSession):
     return _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
+def adaptive_cache(spark: SparkSession):
+    """Let adaptive execution merge small partitions of what is cached."""
+    return _setting(spark, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
+
+
 def fixed_partitioning(spark: SparkSession):
     """Plan a cached layout without adaptive execution.
 

@@ -176,8 +176,8 @@ def _stream_past(users: DataFrame, shared, rank: int, schema: str, emit) -> Data
 def _grid(users: DataFrame, items: DataFrame, n_users: int, item_blocks: int, rated=None, user_block=USER_BLOCK):
     """Cogrouped cells. ``users``: id, features; ``items``: id, features, item_block.
 
-    ``rated`` (user_id, item_id, item_block) rows join the user side; a cell
-    holds at most as many of them as it has cells.
+    ``rated`` (user_id, item_id, item_block) rows, one per pair, join the user
+    side; so there are never more of them than numbers in the cell.
     """
     blocks = max(1, -(-n_users // user_block))
     place = lambda col: F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int").alias("user_block")
@@ -191,7 +191,7 @@ def _grid(users: DataFrame, items: DataFrame, n_users: int, item_blocks: int, ra
                 place("user_id"), "item_block", F.col("user_id").alias("id"),
                 F.col("item_id").alias("rated_item"),
                 F.lit(None).cast("array<double>").alias("features"),
-            ).distinct()
+            )
         )
     right = items.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("user_block"),
@@ -307,14 +307,17 @@ def recommend(
 
     Order: prediction descending, item id ascending. With ``exclude_rated`` the
     items a user has rated are left out; ``ratings`` defaults to those fitted.
+    Repeated pairs are combined before anything is gathered per user.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     if exclude_rated:
-        ratings = ratings if ratings is not None else model.ratings
-        if ratings is None:
+        if ratings is not None:
+            ratings = ratings.select("user_id", "item_id").distinct()
+        elif model.ratings is not None:
+            ratings = model.ratings.select("user_id", "item_id")  # one row per pair
+        else:
             raise ValueError("exclude_rated needs the ratings")
-        ratings = ratings.select("user_id", "item_id")
     rank = model.rank
     if _fits(model.items, rank, broadcast_limit):
         shared = _item_matrix(model, model.item_factors)

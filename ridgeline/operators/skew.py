@@ -50,6 +50,24 @@ def spread(df: DataFrame, hot: DataFrame, key: str, by, out: str) -> DataFrame:
     return df.join(F.broadcast(hot), key, "left").withColumn(out, part).drop("parts")
 
 
+def spread_copies(rows: DataFrame, hot: DataFrame, key: str, limit: int, out: str) -> DataFrame:
+    """Like ``spread``, for rows that may be copies of each other.
+
+    Equal rows are counted first (column ``copies``) and a large count is cut
+    into pieces, so many copies of one row do not meet in one part. Parts depend
+    on content only: a retried task places its rows as before.
+    """
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("total"))
+    pieces = F.sequence(F.lit(0), F.ceil(F.col("total") / limit).cast("int") - 1)
+    cut = counted.withColumn("piece", F.explode(pieces)).withColumn(
+        "copies", F.least(F.lit(limit), F.col("total") - F.col("piece") * limit).cast("int")
+    )
+    others = [c for c in columns if c != key]
+    keyed = cut.withColumn("spread_by", F.xxhash64(*others, "piece"))
+    return spread(keyed, hot, key, "spread_by", out).select(*columns, "copies", out)
+
+
 def replicate(df: DataFrame, hot: DataFrame, key: str, out: str) -> DataFrame:
     """The matching side of ``spread``: one copy of a hot row per part."""
     parts = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)

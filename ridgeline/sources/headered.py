@@ -180,7 +180,7 @@ def write_headered_lines(
     if hot is None:
         rows = rows.withColumn("copies", F.lit(1)).withColumn("chunk", F.lit(0))
     else:
-        rows = _chunked(rows, hot, limit)
+        rows = skew.spread_copies(rows, hot, "item_id", limit, "chunk")
     header = F.col("item_id").cast("string") if header is None else header
     entries = F.array_sort(F.collect_list(F.struct("order_key", "line", "copies")))
     texts = F.flatten(F.transform("entries", lambda e: F.array_repeat(e["line"], e["copies"])))
@@ -193,21 +193,3 @@ def write_headered_lines(
         .select(F.concat(header, F.lit(":\n"), F.array_join(texts, "\n")).alias("value"))
     )
     records.write.mode("overwrite").text(path)
-
-
-def _chunked(rows: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
-    """Spread the lines of hot items over chunks.
-
-    Equal lines are counted first and a large count is cut into pieces, so many
-    copies of one line do not meet in one chunk. Chunks depend on content only:
-    a retried task places its lines as before.
-    """
-    counted = rows.groupBy("item_id", "order_key", "line").agg(F.count(F.lit(1)).alias("total"))
-    pieces = F.sequence(F.lit(0), F.ceil(F.col("total") / limit).cast("int") - 1)
-    cut = counted.withColumn("piece", F.explode(pieces)).withColumn(
-        "copies", F.least(F.lit(limit), F.col("total") - F.col("piece") * limit).cast("int")
-    )
-    keyed = cut.withColumn("key", F.xxhash64("order_key", "line", "piece"))
-    return skew.spread(keyed, hot, "item_id", "key", "chunk").select(
-        "item_id", "order_key", "line", "copies", "chunk"
-    )
