@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import packing, tokens, toxicity
+from ridgeline.llm import minhash, mixing, packing, tokens, toxicity
 from ridgeline.workdir import new_run_dir, write_table
 
 
@@ -16,6 +16,21 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(toxicity.score(model, docs["text"]) < toxicity.THRESHOLD)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    found = minhash.near_duplicates(docs, shingle=5)
+    dropped = found.where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti")
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that bring the domains to their shares, each at most once."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mixed = mixing.mix(docs, mixing.label_domains(labels), mixing.SHARES, budget=0.95, most=1.0)
+    taken = mixed.where("copies > 0").select(F.col("doc_id").alias("taken_id"))
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")), "left_semi")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     pieces = packing.pack(docs, tokens.vocabulary_path())
@@ -24,6 +39,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", remove_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_domains),
     ("packing", pack_sequences),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import minhash, packing, tokens, toxicity
+from ridgeline.llm import minhash, mixing, packing, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    mixed = mixing.mix(docs, mixing.label_domains(labels), mixing.SHARES, budget=0.95)
+    return mixed.select("doc_id", "tokens", "posterior.*", "rate", "copies")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score_documents(docs, labels.select("doc_id", "toxic"))
@@ -38,4 +44,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_minhash, op9_toxicity, op10_packing)}
+    return {q.__name__: q for q in (op4_minhash, op5_mixing, op9_toxicity, op10_packing)}
