@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import minhash, mixing, packing, tokens, toxicity
+from ridgeline.llm import codes, minhash, mixing, packing, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", "posterior.*", "rate", "copies")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score_documents(docs, labels.select("doc_id", "toxic"))
@@ -44,4 +48,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_minhash, op5_mixing, op9_toxicity, op10_packing)}
+    registered = (
+        op4_minhash,
+        op5_mixing,
+        op7_embedding_dedup,
+        op9_toxicity,
+        op10_packing,
+    )
+    return {q.__name__: q for q in registered}
