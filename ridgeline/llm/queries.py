@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import codes, minhash, mixing, packing, tokens, toxicity
+from ridgeline.llm import codes, minhash, mixing, packing, pages, scan, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", "posterior.*", "rate", "copies")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.nearest(_table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score_documents(docs, labels.select("doc_id", "toxic"))
@@ -51,7 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op4_minhash,
         op5_mixing,
+        op6_html,
         op7_embedding_dedup,
+        op8_ann,
         op9_toxicity,
         op10_packing,
     )
