@@ -2,6 +2,40 @@
 
 from __future__ import annotations
 
+_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+
+LM_SCORING = f"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+         [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}') IF x <> ''] AS ws
+  FROM documents),
+places AS (
+  SELECT row_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM words),
+grams AS (
+  SELECT row_id, i, w, lag(w) OVER doc AS v, lag(w, 2) OVER doc AS u
+  FROM places WINDOW doc AS (PARTITION BY row_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM grams GROUP BY 1),
+c2 AS (SELECT v, w, count(*) AS n FROM grams WHERE i >= 2 GROUP BY 1, 2),
+c3 AS (SELECT u, v, w, count(*) AS n FROM grams WHERE i >= 3 GROUP BY 1, 2, 3),
+total AS (SELECT count(*) AS n FROM grams),
+scored AS (
+  SELECT g.row_id,
+    CASE WHEN i >= 3 AND t.n >= 2 THEN t.n / b.n
+         WHEN i >= 2 AND p.n >= 2 THEN (CASE WHEN i = 2 THEN 1.0 ELSE 0.4 END)::DOUBLE * p.n / o.n
+         ELSE (CASE WHEN i = 1 THEN 1.0 WHEN i = 2 THEN 0.4 ELSE 0.16 END)::DOUBLE * s.n / total.n END AS value,
+    CASE WHEN i = 1 OR (i >= 3 AND t.n >= 2) OR (i = 2 AND p.n >= 2) THEN 0 ELSE 1 END AS backed
+  FROM grams g CROSS JOIN total
+  JOIN c1 s ON s.w = g.w
+  LEFT JOIN c1 o ON o.w = g.v
+  LEFT JOIN c2 p ON p.v = g.v AND p.w = g.w
+  LEFT JOIN c2 b ON b.v = g.u AND b.w = g.v
+  LEFT JOIN c3 t ON t.u = g.u AND t.v = g.v AND t.w = g.w),
+sums AS (SELECT row_id, sum(ln(value)) AS s, sum(backed) AS b FROM scored GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score, coalesce(b, 0)::BIGINT AS n_backed_off
+FROM words LEFT JOIN sums USING (row_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lm_scoring": LM_SCORING}

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import codes, minhash, mixing, packing, pages, scan, tokens, toxicity
+from ridgeline.llm import backoff, codes, minhash, mixing, packing, pages, scan, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff.log_scores(_table(spark, sf_dir, "documents"))
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
@@ -58,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
+        op1_lm_scoring,
         op4_minhash,
         op5_mixing,
         op6_html,
