@@ -37,5 +37,42 @@ FROM words LEFT JOIN sums USING (row_id)
 """
 
 
+QUOTATIONS = """
+WITH turns AS (
+  SELECT conv_id, turn, role, trim(text, chr(10)) AS text,
+         lag(turn) OVER conv AS before, lag(turn, 2) OVER conv AS before2
+  FROM conversations WINDOW conv AS (PARTITION BY conv_id ORDER BY turn)),
+linked AS (
+  SELECT *, CASE WHEN before = turn - 1 THEN before END AS parent,
+         CASE WHEN before2 = turn - 2 THEN before2 WHEN before = turn - 2 THEN before END AS grand
+  FROM turns)
+SELECT conv_id, turn, role, coalesce(parent, grand) AS parent,
+       min(turn) OVER (PARTITION BY conv_id) AS root,
+       (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS depth,
+       (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS place,
+       text, (parent IS NOT NULL)::BIGINT + (grand IS NOT NULL)::BIGINT AS n_quotes,
+       (parent IS NOT NULL)::BIGINT + (grand IS NOT NULL)::BIGINT AS n_linked
+FROM linked
+"""
+
+TOKEN_COUNTS = f"""
+WITH docs AS (
+  SELECT doc_id, source, lang, string_split(text, chr(10)) AS lines,
+         row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy
+  FROM documents),
+kept AS (
+  SELECT doc_id, source, lang,
+         CASE WHEN len(list_distinct(lines)) < len(lines) THEN list_distinct(lines) ELSE lines END AS lines
+  FROM docs WHERE copy = 1),
+joined AS (SELECT doc_id, source, lang, array_to_string(lines, chr(10)) AS text FROM kept),
+counts AS (
+  SELECT source, lang, len([x FOR x IN string_split_regex(text, '{_SPACE}') IF x <> '']) AS words,
+         octet_length(encode(text)) AS bytes FROM joined)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, sum(words)::BIGINT AS tokens FROM counts GROUP BY 1, 2
+UNION ALL
+SELECT source, lang, 'bytes-1', count(*), sum(bytes)::BIGINT FROM counts GROUP BY 1, 2
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": LM_SCORING}
+    return {"op1_lm_scoring": LM_SCORING, "op2_quotations": QUOTATIONS, "op3_token_counts": TOKEN_COUNTS}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import backoff, codes, minhash, mixing, packing, pages, scan, tokens, toxicity
+from ridgeline.llm import backoff, codes, minhash, mixing, packing, pages, quotes, rollup, scan, tokens, toxicity
+
+from ridgeline.workdir import new_run_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,21 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("log_score", F.round("log_score", 4))
 
 
+def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = quotes.with_quotations(_table(spark, sf_dir, "conversations"))
+    found = quotes.conversations(sent)
+    return found.withColumnRenamed("thread", "conv_id").withColumnRenamed("message", "turn")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = rollup.TokenRollup(spark, new_run_dir(spark, "token-rollup"))
+    history = rollup.document_history(_table(spark, sf_dir, "documents"))
+    for batch_id, changes in enumerate(history):
+        kept.apply(batch_id, changes)
+    kept.apply(1, history[1])  # sent again: must change nothing
+    return kept.totals()
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
@@ -64,6 +81,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_lm_scoring,
+        op2_quotations,
+        op3_token_counts,
         op4_minhash,
         op5_mixing,
         op6_html,
