@@ -48,7 +48,7 @@ def _pack(values: np.ndarray) -> bytes:
     """Bytes of the values, plane by plane, compressed."""
     import zstandard
 
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.compress(planes.tobytes(), 1)
 
 
@@ -57,7 +57,7 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
 
     raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(dtype).ravel()
 
 
 class _Batch:
@@ -102,7 +102,7 @@ class _Batch:
         value = np.where(by_triple, three / np.maximum(context, 1), value)
         backed = ~self.first & ~by_triple & ~(by_pair & self._at_second())
         owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        logs = np.bincount(owner, np.log(value), len(self.lengths))
+        logs = np.bincount(owner, np.log(value), len(self.lengths)).astype(np.float64)
         return logs, np.bincount(owner, backed, len(self.lengths)).astype(np.int64)
 
     def _at_second(self) -> np.ndarray:

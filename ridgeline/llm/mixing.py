@@ -112,22 +112,21 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
     goal = np.array(targets, dtype=float) / total
     largest = float(np.linalg.eigvalsh(gram)[-1])
     shortest, longest = 1 / largest, 1e4 / largest
-    rate = F.lit(1.0)
-    size, before = shortest, None
-    best, best_gap = rate, math.inf
+    rate = before = F.lit(1.0)
+    size, last, best, best_gap = shortest, None, rate, math.inf
     for _ in range(ITERATIONS):
-        sums = members.agg(*[F.sum(rate * F.col("tokens") * F.col(f"p{i}")) for i in range(k)]).first()
-        residual = np.array(sums, dtype=float) / total - goal
-        gap = float(np.abs(residual).max())
+        moved = F.sum(F.col("tokens") * (rate - before) * (rate - before))
+        row = members.agg(*[F.sum(rate * F.col("tokens") * F.col(f"p{i}")) for i in range(k)], moved).first()
+        residual = np.array(row[:k], dtype=float) / total - goal
+        gap = float(residual @ residual)
         if gap < best_gap:
             best, best_gap = rate, gap
-        if gap < TOLERANCE:
+        if math.sqrt(gap) < TOLERANCE:
             break
-        if before is not None:
-            bend = float(before @ gram @ (before - residual))
-            size = min(max(size * float(before @ gram @ before) / bend, shortest), longest) if bend > 0 else shortest
-        rate = _step(rate, size * residual, most)
-        before = residual
+        if last is not None:
+            bend = float((residual - last) @ (residual - last))
+            size = min(max(row[k] / total / bend, shortest), longest) if bend > 0 else shortest
+        before, rate, last = rate, _step(rate, size * residual, most), residual
     return best
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 PRIOR = 25.0
+SMOOTHING = 5.0
 #: Bounds of a word's score and of what a tag takes away.
 MOST = 4.0
 TAG_LEAST, TAG_MOST = 0.2, 1.5
@@ -146,14 +147,13 @@ class Weights:
 
     def __init__(self, words: np.ndarray, tags: np.ndarray):
         words, tags = words.astype(float), tags.astype(float)
-        totals = words[BUCKETS] + 2 * PRIOR
-        furniture = np.zeros((BUCKETS, 2))
+        share = (words[BUCKETS] + PRIOR) / (words[BUCKETS] + PRIOR).sum()
+        counts = words[:BUCKETS].copy()
         for name in _FURNITURE | {"page-header"}:
             for feature in (name, "." + name):
-                furniture[_bucket(feature), 0] = PRIOR + 0.2 * words[BUCKETS, 0]
-        counts = words[:BUCKETS] + furniture
-        self.words = np.log((counts[:, 1] + 1) / totals[1]) - np.log((counts[:, 0] + 1) / totals[0])
-        self.words[counts.sum(axis=1) == 0] = 0
+                counts[_bucket(feature), 0] += PRIOR + 0.2 * words[BUCKETS, 0]
+        smoothed = (counts + SMOOTHING * share) / share
+        self.words = np.log(smoothed[:, 1] / smoothed[:, 0])
         self.tags = -np.clip(np.log((tags[:, 0] + 1) / (tags[:, 1] + 1)), TAG_LEAST, TAG_MOST)
         self.tags[[_bucket(name) for name in _NEUTRAL]] = -TAG_LEAST
         self._known: dict[frozenset[str], float] = {}
