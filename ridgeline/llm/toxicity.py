@@ -23,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.words import PIECE, hash_piece, pieces
+from ridgeline.llm.words import PIECE, hash_stems, pieces
 
 BUCKETS = 1 << 20
 #: Most labelled rows that are fitted on.
 TRAIN_ROWS = 20_000
-INPUTS = 1024
+INPUTS = 512
+#: Chi-square below which a bucket may stand out by chance among all buckets.
+LEAST_CHI = 20.0
 FACTORS = 8
-STEM_BYTES = 5
+#: Lengths of the stems in bytes.
+STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
 _BREAKS = np.ones(256, dtype=bool)
@@ -43,10 +46,8 @@ def terms(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         found = []
         data = (text or "").encode()
         for piece in pieces(data) if len(data) > PIECE else [data]:
-            raw = np.frombuffer(piece, dtype=np.uint8)
-            whole = hash_piece(raw, _BREAKS)[0]
-            stem = hash_piece(raw, _BREAKS, STEM_BYTES)[0] ^ np.uint64(0x5DEECE66D)
-            found.append(np.concatenate([whole, stem]) & np.uint64(BUCKETS - 1))
+            kinds = hash_stems(np.frombuffer(piece, dtype=np.uint8), _BREAKS, STEMS)
+            found += [(x ^ np.uint64(kind * 0x5DEECE66D)) & np.uint64(BUCKETS - 1) for kind, x in enumerate(kinds)]
         yield np.unique(np.concatenate(found)).astype(np.int32)
 
 
@@ -106,7 +107,7 @@ def select_inputs(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.n
     spread = expected * (n0 / (n0 + n1)) * (1 - seen / (n0 + n1))
     chi = np.where(seen >= 3, (toxic - expected) ** 2 / np.maximum(spread, 1e-9), 0)
     kept = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(kept[chi[kept] > 10.83])
+    return np.sort(kept[chi[kept] > LEAST_CHI])
 
 
 def fit_rows(
@@ -116,7 +117,7 @@ def fit_rows(
     factors: int = FACTORS,
     steps: int = 120,
     rate: float = 0.1,
-    penalty: float = 2e-4,
+    penalty: float = 2e-5,
 ) -> Model:
     """Full-batch Adam on the logistic loss; the same rows give the same model."""
     labels = labels.astype(float)

@@ -8,7 +8,7 @@ single word longer than a piece makes a longer piece.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -56,20 +56,40 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def hash_piece(
-    data: np.ndarray, space_table: np.ndarray = _SPACE, prefix: int | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word of one piece; with ``prefix``, of its first bytes."""
+def _word_bounds(data: np.ndarray, space_table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = space_table[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
-    if prefix is not None:
-        ends = np.minimum(ends, starts + prefix)
+    return edges[0::2], edges[1::2]
+
+
+def _span_hashes(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from starts and ends to hashes of those spans."""
     powers, inverses = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        found = (sums[ends] - sums[starts]) * inverses[starts]
+        return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    return hashes
+
+
+def hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of one piece."""
+    starts, ends = _word_bounds(data, _SPACE)
+    return _span_hashes(data)(starts, ends), starts, ends
+
+
+def hash_stems(data: np.ndarray, space_table: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of all words, and of the first bytes of the words longer than each length."""
+    starts, ends = _word_bounds(data, space_table)
+    hashes = _span_hashes(data)
+    found = [hashes(starts, ends)]
+    for length in lengths:
+        longer = starts[ends - starts > length]
+        found.append(hashes(longer, longer + length))
+    return found
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
