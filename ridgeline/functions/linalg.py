@@ -17,11 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Largest rank for which ``kernel="auto"`` takes the wide form.
 EXPR_MAX_RANK = 12
+KERNELS = ("auto", "sums", "batches")
 FACTOR_SCHEMA = "id int, features array<double>"
 _OUTER_DOUBLES = 8_000_000  # bound on the temporary of one Gram step (64 MB)
 
 
+def uses_batches(kernel: str, rank: int) -> bool:
+    """Whether systems are built from Arrow batches: asked for, or by rank under ``auto``."""
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel must be one of {KERNELS}, got {kernel!r}")
+    return kernel == "batches" or (kernel == "auto" and rank > EXPR_MAX_RANK)
+
+
 def gram_names(rank: int) -> list[str]:
     return [f"a{i}_{j}" for i in range(rank) for j in range(i, rank)]
 
@@ -85,11 +94,9 @@ def _gram_batches(batches, rank: int):
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
             ids = part.column("id").to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            x = _matrix(part.column("features"), rank)[order]
-            r = part.column("rating").to_numpy(zero_copy_only=False)[order]
-            w = part.column("weight").to_numpy(zero_copy_only=False)[order]
+            x = _matrix(part.column("features"), rank)
+            r = part.column("rating").to_numpy(zero_copy_only=False)
+            w = part.column("weight").to_numpy(zero_copy_only=False)
             starts = _run_starts(ids)
             a = np.add.reduceat((w[:, None] * x)[:, :, None] * x[:, None, :], starts, axis=0)
             v = np.add.reduceat(x * r[:, None], starts, axis=0)
@@ -112,6 +119,8 @@ def _merge_batches(batches, rank: int):
             n = np.r_[open_run[1], n]
             a = np.vstack([open_run[2], a])
             v = np.vstack([open_run[3], v])
+        if (ids[1:] < ids[:-1]).any():
+            raise ValueError("rows of the batch kernels must be sorted by id")
         starts = _run_starts(ids)
         ids = ids[starts]
         n = np.add.reduceat(n, starts)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline import workdir
+from ridgeline.functions.linalg import KERNELS
 from ridgeline.operators import evaluate as ev
 from ridgeline.operators import predict
 from ridgeline.operators.init import initial_features
@@ -20,9 +21,7 @@ from ridgeline.operators.layout import (
     build_layout,
     ratings_stats,
 )
-from ridgeline.operators.quality import ON_DUPLICATE, combine_repeats, resolve_duplicates
-
-CHECKPOINT_MAX_RATINGS = 5_000_000
+from ridgeline.operators.quality import ON_DUPLICATE, checked_ratings, combine_repeats, resolve_duplicates
 
 TRACE_SCHEMA = "iteration int, mse double, rmse double, objective double"
 METRICS_SCHEMA = "iteration int, side string, rows bigint, seconds double"
@@ -124,6 +123,8 @@ class ALSFactorizer:
         on_duplicate: str = "error",
         broadcast_limit: int = BROADCAST_LIMIT,
         hot_limit: int | None = None,
+        kernel: str = "auto",
+        checkpoint_interval: int = 3,
     ):
         if rank < 1:
             raise ValueError("rank must be at least 1")
@@ -137,9 +138,15 @@ class ALSFactorizer:
             raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
         if on_duplicate not in ON_DUPLICATE:
             raise ValueError(f"on_duplicate must be one of {ON_DUPLICATE}, got {on_duplicate!r}")
+        if kernel not in KERNELS:
+            raise ValueError(f"kernel must be one of {KERNELS}, got {kernel!r}")
+        if checkpoint_interval < 1:
+            raise ValueError("checkpoint_interval must be at least 1")
         self.rank = rank
         self.reg = reg
         self.max_iter = max_iter
+        self.kernel = kernel
+        self.checkpoint_interval = checkpoint_interval
         self.num_blocks = num_blocks
         self.strategy = strategy
         self.seed = seed
@@ -156,7 +163,7 @@ class ALSFactorizer:
         expected_items: int | None = None,
     ) -> ALSModel:
         spark = ratings.sparkSession
-        source = resolve_duplicates(ratings, self.on_duplicate)
+        source = resolve_duplicates(checked_ratings(ratings), self.on_duplicate)
         base = source.select("user_id", "item_id", "rating")
         if self.on_duplicate == "keep":
             base = combine_repeats(base)
@@ -174,7 +181,7 @@ class ALSFactorizer:
             by_user, by_item = layouts = [
                 build_layout(
                     base, side, self.rank, self.strategy, self.num_blocks, self.hot_limit,
-                    self.broadcast_limit, stats,
+                    self.broadcast_limit, stats, self.kernel,
                 ).persist()
                 for side in ("user", "item")
             ]
@@ -188,24 +195,27 @@ class ALSFactorizer:
             base.unpersist()
 
     def _iterate(self, spark, base, source, by_user, by_item, total, users, items, trace, metrics):
-        """Every half-step is cut from its lineage in the shared folder.
+        """Half-steps are persisted, and every ``checkpoint_interval`` iterations and at
+        the end written to the shared folder, which cuts their lineage.
 
-        Plans stay one half-step deep, and a lost executor costs at most the
-        half-step in progress. A table is written once and read back; when the
-        ratings are few, a checkpoint is cheaper than committing a table even
-        though it computes the last stage twice. The final factors are tables.
+        Plans stay that many iterations deep, and a lost executor costs at most the
+        half-steps since the last table.
         """
         run = workdir.new_run_dir(spark, "als")
         trace_rows, metric_rows = [], []
+        held, written = [], []  # persisted half-steps, written tables
         scored = source if "weight" in base.columns else base
 
         def solved(layout, factors, iteration):
             started = time.perf_counter()
             result = layout.step(factors, self.rank, self.reg)
-            if total <= CHECKPOINT_MAX_RATINGS and iteration < self.max_iter:
-                table = workdir.checkpoint(result)
-            else:
+            if iteration % self.checkpoint_interval == 0 or iteration == self.max_iter:
                 table = workdir.write_table(result, f"{run}/{layout.side}-factors-{iteration}")
+                written.append(f"{run}/{layout.side}-factors-{iteration}")
+            else:
+                table = result.persist(StorageLevel.MEMORY_AND_DISK)
+                table.count()
+                held.append(table)
             if metrics:
                 rows = table.count()
                 metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))
@@ -222,9 +232,11 @@ class ALSFactorizer:
                 trace_rows.append((iteration, row["mse"], row["rmse"], row["objective"]))
             elif iteration == 1:
                 base.unpersist()  # both layouts are filled now
-            if iteration > 1:  # tables that nothing will read again
-                for side in ("item", "user"):
-                    workdir.delete_dir(spark, f"{run}/{side}-factors-{iteration - 1}")
+            if iteration % self.checkpoint_interval == 0 or iteration == self.max_iter:
+                while held:  # both sides are tables now; nothing reads what came before
+                    held.pop().unpersist()
+                while len(written) > 2:
+                    workdir.delete_dir(spark, written.pop(0))
 
         rated = source.select("user_id", "item_id", "rating")
         if self.on_duplicate == "keep":

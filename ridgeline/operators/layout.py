@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import linalg
 from ridgeline.functions.columns import block_of, features_to_columns
 from ridgeline.operators import skew
+from ridgeline.operators.quality import checked_ratings
 from ridgeline.schemas import side_columns
 
 STRATEGIES = ("auto", "broadcast", "shuffle", "blocks")
@@ -109,6 +110,7 @@ class Layout:
     data: DataFrame
     group_keys: list[str]
     merge: bool
+    batches: bool = False
     hot_other: DataFrame | None = None
     routes: DataFrame | None = None
 
@@ -126,7 +128,8 @@ class Layout:
 
     def joined(self, factors: DataFrame, rank: int) -> DataFrame:
         """Each rating next to its counterpart's vector."""
-        vectors = factors.select(F.col("id").alias("other_id"), *_vector(rank))
+        columns = [F.col("features")] if self.batches else features_to_columns("features", rank, "f")
+        vectors = factors.select(F.col("id").alias("other_id"), *columns)
         if self.strategy == "broadcast":
             return self.data.join(F.broadcast(vectors), "other_id")
         if self.strategy == "shuffle":
@@ -150,13 +153,13 @@ class Layout:
         if self.strategy == "shuffle":
             keys = ["id", "part"] if self.merge else ["id"]
             joined = joined.repartition(self.partitions, *keys)
-        elif self.strategy == "broadcast":
-            return joined  # the layout is sorted by id and the join keeps the order
+        # A sort below the join is dropped by the optimiser; one above it is only
+        # planned where the order is not there already.
         return joined.sortWithinPartitions("id")
 
     def systems(self, factors: DataFrame, rank: int) -> DataFrame:
         """The regularisation-free normal equations of every entity."""
-        if rank > linalg.EXPR_MAX_RANK:
+        if self.batches:
             rows = self._by_id(factors, rank)
             return linalg.packed_systems(rows, rank, self.partitions if self.merge else None)
         summed = linalg.sum_systems(self.joined(factors, rank), self.group_keys, rank)
@@ -166,17 +169,11 @@ class Layout:
 
     def step(self, factors: DataFrame, rank: int, reg: float) -> DataFrame:
         """Solve this side for fixed counterpart factors."""
-        if rank > linalg.EXPR_MAX_RANK and not self.merge:
+        if self.batches and not self.merge:
             return linalg.solve_joined(self._by_id(factors, rank), rank, reg)
         return linalg.solve_factors(self.systems(factors, rank), rank, reg)
 
 
-def _vector(rank: int) -> list:
-    if rank > linalg.EXPR_MAX_RANK:
-        return [F.col("features")]
-    return features_to_columns("features", rank, "f")
-
-
 def choose_strategy(other_ids: int, rank: int, broadcast_limit: int) -> str:
     return "broadcast" if other_ids * (8 * rank + 16) <= broadcast_limit else "blocks"
 
@@ -190,9 +187,11 @@ def build_layout(
     hot_limit: int | None = None,
     broadcast_limit: int = BROADCAST_LIMIT,
     stats: dict[str, SideStats] | None = None,
+    kernel: str = "auto",
 ) -> Layout:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
+    batches = linalg.uses_batches(kernel, rank)
     own, other = side_columns(side)
     other_side = "user" if side == "item" else "item"
     stats = stats or ratings_stats(ratings)
@@ -201,12 +200,12 @@ def build_layout(
         strategy = choose_strategy(other_stats.ids, rank, broadcast_limit)
 
     partitions = num_blocks or default_partitions(ratings.sparkSession, own_stats.ratings)
-    limit = skew.safe_limit(own_stats.ratings, hot_limit)
+    limit = skew.row_limit(hot_limit)
     extra = [c for c in ("weight",) if c in ratings.columns]
     rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating", *extra)
 
     # Sums over entities combine map-side under ``shuffle``; batch kernels do not.
-    cut = own_stats.max_per_id > limit and (strategy != "shuffle" or rank > linalg.EXPR_MAX_RANK)
+    cut = own_stats.max_per_id > limit and (strategy != "shuffle" or batches)
     if cut:
         hot = skew.hot_ids(side_counts(ratings, side), "id", limit)
         rows = skew.spread(rows, hot, "id", "other_id", "part")
@@ -220,12 +219,12 @@ def build_layout(
             rows = skew.spread(rows, hot, "other_id", "id", "other_part")
             keys = ["other_id", "other_part"]
         data = rows.repartition(partitions, *keys).sortWithinPartitions(*keys)
-        return Layout(side, strategy, partitions, data, ["id"], cut, hot_other=hot)
+        return Layout(side, strategy, partitions, data, ["id"], cut, batches, hot_other=hot)
 
     if strategy == "broadcast":
         keys = ["id", "part"] if cut else ["id"]
         data = rows.repartition(partitions, *keys).sortWithinPartitions("id")
-        return Layout(side, strategy, partitions, data, keys, cut)
+        return Layout(side, strategy, partitions, data, keys, cut, batches)
 
     # Part p of a hot entity is worked on in the p-th block after its own.
     home = F.col("id") + F.col("part") if cut else F.col("id")
@@ -243,7 +242,7 @@ def build_layout(
         .groupBy("other_id")
         .agg(F.array_sort(F.collect_list("block")).alias("blocks"))
     )
-    return Layout(side, strategy, partitions, data, ["block", "id"], cut, routes=routes)
+    return Layout(side, strategy, partitions, data, ["block", "id"], cut, batches, routes=routes)
 
 
 def half_step(
@@ -257,11 +256,11 @@ def half_step(
     **options,
 ) -> DataFrame:
     """One half-step: new factors of ``side`` for fixed counterpart ``factors``."""
-    layout = build_layout(ratings, side, rank, strategy, num_blocks, **options)
+    layout = build_layout(checked_ratings(ratings), side, rank, strategy, num_blocks, **options)
     return layout.step(factors, rank, reg)
 
 
 def normal_equations(
     ratings: DataFrame, factors: DataFrame, side: str, rank: int, strategy: str = "auto", **options
 ) -> DataFrame:
-    return build_layout(ratings, side, rank, strategy, **options).systems(factors, rank)
+    return build_layout(checked_ratings(ratings), side, rank, strategy, **options).systems(factors, rank)

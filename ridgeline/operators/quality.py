@@ -27,6 +27,27 @@ def resolve_duplicates(ratings: DataFrame, on_duplicate: str = "error") -> DataF
     )
 
 
+def checked_ratings(ratings: DataFrame) -> DataFrame:
+    """Ratings with ids as INT; a null or an id that does not fit fails with one clear error.
+
+    The check is part of the projection, so it costs no pass of its own.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    row = F.concat_ws(", ", text("user_id"), text("item_id"), text("rating"))
+
+    def checked(column, usable, message: str):
+        return F.when(usable, column).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), row)))
+
+    out = ratings
+    for name in ("user_id", "item_id"):
+        fits = F.coalesce(F.col(name).between(-(1 << 31), (1 << 31) - 1), F.lit(False))
+        out = out.withColumn(name, checked(F.col(name).cast("int"), fits, f"{name} must be an INT"))
+    usable = F.col("rating").isNotNull()
+    if dict(ratings.dtypes)["rating"] in ("double", "float"):
+        usable = usable & ~F.isnan("rating")
+    return out.withColumn("rating", checked(F.col("rating"), usable, "rating must be a number"))
+
+
 def combine_repeats(ratings: DataFrame) -> DataFrame:
     """One row per pair that stands for all its ratings: their number and sum.
 

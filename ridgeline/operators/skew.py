@@ -1,8 +1,8 @@
 """Hot keys: finding them and spreading their rows.
 
-An id is hot when it holds more than ``limit`` ratings. There are at most
-``total / limit`` such ids, so the hot table is small by construction and may
-be broadcast; ``limit`` is never chosen below ``total / MAX_HOT_IDS``.
+An id is hot when it holds more than ``limit`` ratings. The limit is the caller's and
+never depends on the data, so what one task, list or record holds is bounded by it. The
+table of hot ids is broadcast while its counted rows are few; beyond that it is joined.
 """
 
 from __future__ import annotations
@@ -12,34 +12,43 @@ from pyspark.sql import functions as F
 
 from ridgeline import workdir
 
-MAX_HOT_IDS = 100_000
+#: Most rows of a hot-id table that are broadcast.
+BROADCAST_IDS = 100_000
 DEFAULT_HOT_ROWS = 1_000_000
 
 
-def safe_limit(total: int, wanted: int | None = None) -> int:
-    """Row count above which an id is hot, such that hot ids stay broadcastable."""
-    return max(wanted or DEFAULT_HOT_ROWS, -(-total // MAX_HOT_IDS), 1)
+def row_limit(wanted: int | None = None) -> int:
+    """Row count above which an id is hot."""
+    return max(DEFAULT_HOT_ROWS if wanted is None else wanted, 1)
 
 
 def hot_ids(counts: DataFrame, key: str, limit: int) -> DataFrame:
-    """(key, parts) for ids above the limit. ``counts`` has columns key, n."""
-    return counts.filter(F.col("n") > limit).select(
+    """(key, parts) for ids above the limit. ``counts`` has columns key, n.
+
+    Written, with the broadcast hint if its counted rows allow it.
+    """
+    spark = counts.sparkSession
+    hot = counts.filter(F.col("n") > limit).select(
         key, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("parts")
     )
+    hot = workdir.write_table(hot, workdir.new_run_dir(spark, "hot-ids"))
+    return F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
 
 
 def find_hot(rows: DataFrame, key: str, wanted: int | None = None):
     """(hot ids or None, limit), from one counting pass over ``rows``.
 
-    The per-id counts are written, so neither the total nor the hot ids read
+    The per-id counts are written, so neither the largest nor the hot ids read
     the rows again.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    counts = workdir.write_table(counts, workdir.new_run_dir(spark, "counts"))
-    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.max("n").alias("most")).first()
-    limit = safe_limit(facts["total"], wanted)
-    return (hot_ids(counts, key, limit) if (facts["most"] or 0) > limit else None), limit
+    path = workdir.new_run_dir(spark, "counts")
+    counts = workdir.write_table(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), path)
+    most = counts.agg(F.max("n")).first()[0] or 0
+    limit = row_limit(wanted)
+    hot = hot_ids(counts, key, limit) if most > limit else None
+    workdir.delete_dir(spark, path)
+    return hot, limit
 
 
 def spread(df: DataFrame, hot: DataFrame, key: str, by, out: str) -> DataFrame:
@@ -47,7 +56,7 @@ def spread(df: DataFrame, hot: DataFrame, key: str, by, out: str) -> DataFrame:
     part = F.when(
         F.col("parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("parts")).cast("int")
     ).otherwise(F.lit(0))
-    return df.join(F.broadcast(hot), key, "left").withColumn(out, part).drop("parts")
+    return df.join(hot, key, "left").withColumn(out, part).drop("parts")
 
 
 def spread_copies(rows: DataFrame, hot: DataFrame, key: str, limit: int, out: str) -> DataFrame:
@@ -72,7 +81,7 @@ def replicate(df: DataFrame, hot: DataFrame, key: str, out: str) -> DataFrame:
     """The matching side of ``spread``: one copy of a hot row per part."""
     parts = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
     return (
-        df.join(F.broadcast(hot), key, "left").withColumn(out, F.explode(parts)).drop("parts")
+        df.join(hot, key, "left").withColumn(out, F.explode(parts)).drop("parts")
     )
 
 

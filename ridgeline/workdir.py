@@ -47,14 +47,6 @@ def write_table(df, path):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df):
-    """Reliable checkpoint in the shared folder. Runs the last stage twice."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def delete_dir(spark: SparkSession, path: str) -> None:
     """Remove a run folder through the file system that owns it."""
     jvm = spark.sparkContext._jvm
