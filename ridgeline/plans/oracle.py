@@ -123,7 +123,7 @@ classified AS (SELECT user_id, item_id, COALESCE(unparsed, unowned) AS reason FR
     trace = " UNION ALL ".join(
         scores(i, f"CAST({i} AS INTEGER) AS iteration, ") for i in range(1, last + 1)
     )
-    return {
+    known = {
         "headered_roundtrip": query(
             [R1], "SELECT user_id, item_id, rating, CAST(rated_on AS VARCHAR) AS rated_on FROM r1"
         ),
@@ -215,3 +215,38 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         "stream_rating_counts": f"WITH {R2_EVENTS} SELECT item_id AS id, COUNT(*) AS n, CAST(SUM(rating) AS BIGINT) AS total FROM ev GROUP BY 1",
         "stream_refit_mse": query([*als(ratings=R2), errors(last)], MSE),
     }
+    # The same results by the paths that larger tables take.
+    for name, as_in in (
+        ("normal_equations_item_batches", "normal_equations_item"),
+        ("half_step_item_batches", "half_step_item"),
+        ("half_step_shuffle_batches", "half_step_item"),
+        ("half_step_blocks_batches", "half_step_item"),
+        ("als_batches_factors", "als_blocks_factors"),
+        ("predict_pairs_spread", "predict_pairs"),
+        ("evaluate_spread", "evaluate_mse"),
+        ("missing_vectors_spread", "missing_vectors"),
+        ("predict_dense_grid", "predict_dense"),
+        ("recommend_grid", "recommend_top5"),
+        ("in_blocks_split", "in_blocks_item"),
+    ):
+        known[name] = known[as_in]
+    known["als_rank20_gradient"] = query(
+        [R1],
+        "SELECT DISTINCT user_id, CAST(q AS INTEGER) AS feature, CAST(0 AS DOUBLE) AS gradient "
+        "FROM r1 CROSS JOIN (SELECT unnest(range(20)) AS q)",
+    )
+    known["fit_metrics_checked"] = query(
+        [R1],
+        " UNION ALL ".join(
+            f"SELECT CAST({i} AS INTEGER) AS iteration, '{s}' AS side, COUNT(DISTINCT {s}_id) AS rows, "
+            "CAST(1 AS INTEGER) AS timed FROM r1"
+            for i in range(1, last + 1)
+            for s in ("user", "item")
+        ),
+    )
+    known["compare_builtin_checked"] = query(
+        [R1],
+        "SELECT engine, (SELECT COUNT(*) FROM r1) AS n, CAST(1 AS INTEGER) AS close "
+        "FROM (VALUES ('ridgeline'), ('builtin')) AS t(engine)",
+    )
+    return known

@@ -143,9 +143,9 @@ def rekey_user(spark, sf_dir):
     return blocks.rekey(order_ratings(spark, sf_dir), "user")
 
 
-def _in_blocks(side):
+def _in_blocks(side, **options):
     def run(spark, sf_dir):
-        lists = blocks.in_blocks(order_ratings(spark, sf_dir), side)
+        lists = blocks.in_blocks(order_ratings(spark, sf_dir), side, **options)
         return lists.select("id", F.explode("entries").alias("e")).select("id", "e.other_id", "e.rating")
 
     return run
@@ -203,6 +203,14 @@ def normal_equations_item(spark, sf_dir):
     return _item_systems(spark, sf_dir).select("id", "n", *[rounded(c).alias(c) for c in sums])
 
 
+def normal_equations_item_batches(spark, sf_dir):
+    """The packed systems of the batch kernels, laid out like the summed ones."""
+    ratings = order_ratings(spark, sf_dir)
+    packed = normal_equations(ratings, init_user_factors(ratings, RANK), "item", RANK, kernel="batches")
+    cells = {"a0_0": F.col("a")[0], "a0_1": F.col("a")[1], "a1_1": F.col("a")[3], "v0": F.col("v")[0], "v1": F.col("v")[1]}
+    return packed.select("id", "n", *[F.round(c, 6).alias(name) for name, c in cells.items()])
+
+
 def solve_item(spark, sf_dir):
     return _flat(solve_factors(_item_systems(spark, sf_dir), RANK, REG))
 
@@ -234,6 +242,37 @@ def als_blocks_factors(spark, sf_dir):
     return _both_sides(_fit(order_ratings(spark, sf_dir), strategy="blocks", num_blocks=NUM_BLOCKS))
 
 
+def als_batches_factors(spark, sf_dir):
+    return _both_sides(_fit(order_ratings(spark, sf_dir), kernel="batches"))
+
+
+def als_rank20_gradient(spark, sf_dir):
+    """The users' normal equations at rank 20, left minus right per feature: zero at a solution."""
+    rank = 20
+    ratings = order_ratings(spark, sf_dir)
+    model = _fit(ratings, rank=rank)
+    users = model.user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("u"))
+    items = model.item_factors.select(F.col("id").alias("item_id"), F.col("features").alias("m"))
+    both = ratings.join(users, "user_id").join(items, "item_id")
+    guess = F.aggregate(F.zip_with("u", "m", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    rows = both.select("user_id", "u", (guess - F.col("rating")).alias("e"), F.posexplode("m").alias("feature", "m_q"))
+    pull = F.sum(F.col("e") * F.col("m_q")) + F.count("*") * REG * F.first(F.col("u")[F.col("feature")])
+    return rows.groupBy("user_id", "feature").agg((F.round(pull, 6) + 0.0).alias("gradient"))
+
+
+def fit_metrics_checked(spark, sf_dir):
+    timed = (F.col("seconds") > 0).cast("int").alias("timed")
+    return fit_metrics(spark, sf_dir).select("iteration", "side", "rows", timed)
+
+
+def compare_builtin_checked(spark, sf_dir):
+    """Both engines on the same ratings; RMSE within 5 percent of each other."""
+    found = compare_builtin(spark, sf_dir)
+    bounds = found.agg(F.min("rmse").alias("low"), F.max("rmse").alias("high"))
+    close = (F.col("high") <= 1.05 * F.col("low")).cast("int").alias("close")
+    return found.select("engine", "n").crossJoin(F.broadcast(bounds.select(close)))  # one row
+
+
 def factor_collection(spark, sf_dir):
     """Two runs as two versions: the longer run is the last word on every user."""
     ratings = order_ratings(spark, sf_dir)
@@ -295,6 +334,41 @@ def predict_pairs(spark, sf_dir):
     )
 
 
+#: Paths of large tables at any size: nothing is broadcast, small ids count as hot.
+SPREAD = dict(broadcast_limit=0, hot_limit=20)
+
+
+def predict_pairs_spread(spark, sf_dir):
+    model = _fit(order_ratings(spark, sf_dir))
+    found = model.predict_pairs(_pairs(spark, sf_dir, "l_orderkey"), **SPREAD)
+    cold = F.isnan("prediction")
+    return found.select(
+        "user_id", "item_id", cold.cast("int").alias("cold"),
+        F.when(cold, F.lit(0.0)).otherwise(rounded("prediction")).alias("prediction"),
+    )
+
+
+def evaluate_spread(spark, sf_dir):
+    ratings = order_ratings(spark, sf_dir)
+    return _rounded_errors(_fit(ratings).evaluate(ratings, **SPREAD))
+
+
+def missing_vectors_spread(spark, sf_dir):
+    ratings = order_ratings(spark, sf_dir)
+    arrived = init_user_factors(ratings, RANK).filter(F.col("features")[0] <= 3)
+    return gate.missing_vectors(ratings, arrived, "item", **SPREAD)
+
+
+def predict_dense_grid(spark, sf_dir):
+    return _per_user(_fit(order_ratings(spark, sf_dir)).predict_all(broadcast_limit=0, user_block=256, item_block=512))
+
+
+def recommend_grid(spark, sf_dir):
+    model = _fit(order_ratings(spark, sf_dir))
+    best = model.recommend(5, broadcast_limit=0, user_block=256, item_block=512)
+    return best.select("user_id", "item_id", "rank", rounded("prediction").alias("prediction"))
+
+
 def unrated_counts(spark, sf_dir):
     return predict.unrated_counts(order_ratings(spark, sf_dir))
 
@@ -374,16 +448,30 @@ def queries():
         "comm_volume": comm_volume,
         "init_factors": init_factors,
         "normal_equations_item": normal_equations_item,
+        "normal_equations_item_batches": normal_equations_item_batches,
         "solve_item": solve_item,
         "half_step_item": _item_half_step(),
         "half_step_shuffle": _item_half_step(strategy="shuffle"),
         "half_step_blocks": _item_half_step(strategy="blocks", num_blocks=NUM_BLOCKS),
         "half_step_split_items": _item_half_step(strategy="blocks", num_blocks=NUM_BLOCKS, hot_limit=20),
+        "half_step_item_batches": _item_half_step(kernel="batches", strategy="broadcast"),
+        "half_step_shuffle_batches": _item_half_step(kernel="batches", strategy="shuffle"),
+        "half_step_blocks_batches": _item_half_step(kernel="batches", strategy="blocks", num_blocks=NUM_BLOCKS, hot_limit=20),
         "half_step_user": half_step_user,
         "als_user_factors": als_user_factors,
         "als_item_factors": als_item_factors,
         "als_blocks_factors": als_blocks_factors,
+        "als_batches_factors": als_batches_factors,
         "als_rank20_mse": als_rank20_mse,
+        "als_rank20_gradient": als_rank20_gradient,
+        "fit_metrics_checked": fit_metrics_checked,
+        "compare_builtin_checked": compare_builtin_checked,
+        "predict_pairs_spread": predict_pairs_spread,
+        "evaluate_spread": evaluate_spread,
+        "missing_vectors_spread": missing_vectors_spread,
+        "predict_dense_grid": predict_dense_grid,
+        "recommend_grid": recommend_grid,
+        "in_blocks_split": _in_blocks("item", max_entries=10),
         "factor_collection": factor_collection,
         "convergence_trace": convergence_trace,
         "objective": objective,
