@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline import workdir
 from ridgeline.functions.columns import block_of
 from ridgeline.operators import skew
 from ridgeline.schemas import side_columns
@@ -38,6 +39,7 @@ def in_blocks(ratings: DataFrame, side: str, max_entries: int | None = None) ->
     """
     own, other = side_columns(side)
     rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating")
+    rows = workdir.write_table(rows, workdir.new_run_dir(rows.sparkSession, "list-rows"))  # read twice below
     hot, limit = skew.find_hot(rows, "id", max_entries)
     entry = F.struct("other_id", "rating")
     if hot is None:

@@ -40,7 +40,8 @@ def numbered_lines(spark, path: str) -> DataFrame:
     """(line_no, value) of text files read in name order.
 
     Lines of a split keep their order, so only one row per split is needed to
-    number all of them.
+    number all of them. The lines are written with the splits of one pass; the
+    offsets come from that table.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -48,6 +49,7 @@ def numbered_lines(spark, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("pos"),
     )
+    lines = workdir.write_table(lines, workdir.new_run_dir(spark, "numbered-lines"))
     counts = lines.groupBy("file", "start").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")
     )
@@ -56,6 +58,8 @@ def numbered_lines(spark, path: str) -> DataFrame:
     )
     if offsets.count() * 256 <= 64 << 20:
         offsets = F.broadcast(offsets)
-    return lines.join(offsets, ["file", "start"]).select(
-        (F.col("offset") + F.col("pos") - F.col("first")).alias("line_no"), "value"
+    number = F.col("offset") + F.col("pos") - F.col("first")
+    lost = F.raise_error(F.concat(F.lit("no split starts at "), F.col("start").cast("string")))
+    return lines.join(offsets, ["file", "start"], "left").select(
+        F.coalesce(number, lost.cast("bigint")).alias("line_no"), "value"
     )

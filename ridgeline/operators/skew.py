@@ -105,6 +105,7 @@ def join_vectors(
         vector_rows = vectors.count()
     if vector_rows * row_bytes <= broadcast_limit:
         return rows.join(F.broadcast(vectors), key, how)
+    rows = workdir.write_table(rows, workdir.new_run_dir(rows.sparkSession, "spread-rows"))  # read twice below
     hot, _ = find_hot(rows, key, hot_limit)
     if hot is None:
         return rows.join(vectors, key, how)

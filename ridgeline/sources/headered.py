@@ -58,7 +58,9 @@ def _fill_down(lines: DataFrame) -> DataFrame:
             columns = [*batch.columns, pa.array(seen, pa.int64(), mask=seen == _NONE)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "seen"])
 
-    schema = "line string, split_file bigint, split_start bigint, pos bigint, header bigint, seen bigint"
+    schema = (
+        "line string, file string, split_file bigint, split_start bigint, pos bigint, header bigint, seen bigint"
+    )
     return lines.mapInArrow(kernel, schema)
 
 
@@ -83,12 +85,16 @@ def scan_headered_lines(spark: SparkSession, paths) -> DataFrame:
     """Every line with its parsed fields and, if it is unusable, the reason.
 
     Columns: line, is_header, user_id, item_id, rating, rated_on, reason,
-    split_file, split_start, pos. A split may begin inside an item's lines: a
-    first pass finds the header in force at the start of each split, a second
-    one fills headers down inside the splits.
+    split_file, split_start, pos. A split may begin inside an item's lines, so
+    headers are filled down inside the splits first. That one pass over the text
+    is written as a table with the splits it saw; the headers in force where the
+    splits begin, and everything later, come from the table. How many executors
+    there are when the frame is built or used makes no difference.
     """
     lines = _lines(spark, paths).withColumn("split_file", F.xxhash64("file"))
-    carry = _carry(spark, lines)
+    lines = lines.select("line", "file", "split_file", "split_start", "pos", "header")
+    filled = workdir.write_table(_fill_down(lines), workdir.new_run_dir(spark, "headered-lines"))
+    carry = _carry(spark, filled)
     facts = carry.agg(
         F.count(F.lit(1)).alias("splits"),
         F.countDistinct("file").alias("files"),
@@ -100,8 +106,9 @@ def scan_headered_lines(spark: SparkSession, paths) -> DataFrame:
     if facts["splits"] * _CARRY_ROW_BYTES <= _CARRY_BROADCAST_LIMIT:
         carry = F.broadcast(carry)  # else an ordinary join: a key is one split, so bounded
 
-    filled = _fill_down(lines.select("line", "split_file", "split_start", "pos", "header"))
-    filled = filled.join(carry, ["split_file", "split_start"], "left")
+    filled = filled.join(carry.withColumn("found", F.lit(True)), ["split_file", "split_start"], "left")
+    lost = F.raise_error(F.concat(F.lit("no split starts at "), F.col("split_start").cast("string")))
+    filled = filled.withColumn("carried", F.when(F.col("found"), F.col("carried")).otherwise(lost.cast("bigint")))
 
     fields = F.split("line", ",")
     parsed = filled.select(
@@ -175,7 +182,8 @@ def write_headered_lines(
     so no record (and no task) has to hold a hot item whole, and a record never
     depends on the file before it. ``header`` overrides the header text.
     """
-    rows = lines.select("item_id", "order_key", "line")
+    path_of_rows = workdir.new_run_dir(lines.sparkSession, "headered-rows")
+    rows = workdir.write_table(lines.select("item_id", "order_key", "line"), path_of_rows)  # read twice below
     hot, limit = skew.find_hot(rows, "item_id", chunk_rows)
     if hot is None:
         rows = rows.withColumn("copies", F.lit(1)).withColumn("chunk", F.lit(0))
@@ -193,3 +201,4 @@ def write_headered_lines(
         .select(F.concat(header, F.lit(":\n"), F.array_join(texts, "\n")).alias("value"))
     )
     records.write.mode("overwrite").text(path)
+    workdir.delete_dir(lines.sparkSession, path_of_rows)
