@@ -62,16 +62,13 @@ def main():
     facts["mse"], facts["rmse"], facts["ratings"] = row["mse"], row["rmse"], row["n"]
     timed("als_fit_warm", lambda: ALSFactorizer(**published).fit(ratings))
     timed("als_fit_blocks", lambda: ALSFactorizer(**published, strategy="blocks").fit(ratings))
+    timed("als_fit_blocks_warm", lambda: ALSFactorizer(**published, strategy="blocks").fit(ratings))
     timed("als_fit_shuffle", lambda: ALSFactorizer(**published, strategy="shuffle").fit(ratings))
     timed("objective", lambda: model.objective(ratings).first())
     timed("recommend_top10", lambda: run_all(model.recommend(10)))
+    timed("recommend_grid", lambda: run_all(model.recommend(10, broadcast_limit=0)))
 
-    def write_and_score():
-        path = dense.write_dense_predictions(model, f"{run}/dense")
-        return dense.score_dense_predictions(spark, path, ratings).first()
-
-    if row["n"] <= 100_000:  # the dense text of the larger scale would be 6 GB
-        timed("dense_text_write_score", write_and_score)
+    timed("predict_rows", lambda: run_all(model.predict_rows()))
 
     def headered_round_trip():
         headered.write_headered_ratings(ratings, f"{run}/headered")

@@ -143,7 +143,7 @@ class Layout:
             vectors.join(self.routes, "other_id")
             .withColumn("block", F.explode("blocks"))
             .drop("blocks")
-            .repartition(self.partitions, "block")
+            .repartitionById(self.partitions, F.col("block"))
         )
         return self.data.join(shipped.hint("merge"), ["block", "other_id"])
 
@@ -231,7 +231,7 @@ def build_layout(
     rows = rows.withColumn("block", block_of(home.cast("bigint"), partitions).cast("int"))
     data = (
         rows.drop("part")
-        .repartition(partitions, "block")
+        .repartitionById(partitions, F.col("block"))  # one block to a partition
         .sortWithinPartitions("block", "other_id")
     )
     # Distinct targets are found where the ratings already are, then gathered per id.

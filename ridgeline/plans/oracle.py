@@ -228,6 +228,7 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         ("predict_dense_grid", "predict_dense"),
         ("recommend_grid", "recommend_top5"),
         ("in_blocks_split", "in_blocks_item"),
+        ("stream_refit_tail_mse", "stream_refit_mse"),
     ):
         known[name] = known[as_in]
     known["als_rank20_gradient"] = query(

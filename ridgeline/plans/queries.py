@@ -432,6 +432,17 @@ def stream_refit_mse(spark, sf_dir):
     return _rounded_errors(model.evaluate(upsert.current_ratings(spark, landed)))
 
 
+def stream_refit_tail_mse(spark, sf_dir):
+    """Four micro-batches and a refit every third: the fourth is fitted when the stream has ended."""
+    path = workdir.new_run_dir(spark, "stream")
+    fit = ALSFactorizer(rank=RANK, reg=REG, max_iter=ITERATIONS)
+    stream = _event_stream(spark, sf_dir, files=4)
+    upsert.refit_stream(stream, f"{path}/table", f"{path}/checkpoint", 3, fit).awaitTermination()
+    upsert.refit_pending(spark, f"{path}/table", fit)
+    model = upsert.latest_model(spark, f"{path}/table")
+    return _rounded_errors(model.evaluate(upsert.current_ratings(spark, f"{path}/table")))
+
+
 def queries():
     return {
         "headered_roundtrip": headered_roundtrip,
@@ -491,4 +502,5 @@ def queries():
         "stream_latest_ratings": stream_latest_ratings,
         "stream_rating_counts": stream_rating_counts,
         "stream_refit_mse": stream_refit_mse,
+        "stream_refit_tail_mse": stream_refit_tail_mse,
     }

@@ -78,9 +78,48 @@ def _start(stream: DataFrame, on_batch, checkpoint: str, trigger: dict | None):
     )
 
 
-def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None):
-    """Land rating events only; ``current_ratings`` reads the result."""
-    return _start(stream, lambda df, batch_id: write_delta(df, batch_id, table_path), checkpoint, trigger)
+def upsert_stream(
+    stream: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 16
+):
+    """Land rating events only; ``current_ratings`` reads the result.
+
+    Every ``compact_every``-th micro-batch folds the deltas into a new base and drops what
+    it covers, so a reader meets at most about twice that many folders.
+    """
+    if compact_every < 1:
+        raise ValueError("compact_every must be at least 1")
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        write_delta(batch, batch_id, table_path)
+        if (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, table_path, batch_id)
+            prune(batch.sparkSession, table_path)
+
+    return _start(stream, on_batch, checkpoint, trigger)
+
+
+def _refit(spark: SparkSession, table_path: str, batch_id: int, model_of: ALSFactorizer) -> None:
+    base = compact(spark, table_path, batch_id)
+    path = f"{table_path}/factors/version={batch_id}"
+    workdir.delete_dir(spark, path)  # left by an attempt that did not finish
+    if not base.isEmpty():
+        model = model_of.fit(base)
+        model.save(path)
+        model.release()
+    prune(spark, table_path)
+
+
+def refit_pending(spark: SparkSession, table_path: str, factorizer: ALSFactorizer | None = None) -> bool:
+    """Refit on micro-batches that came after the last refit; False if there are none.
+
+    To be called when a ``refit_stream`` has ended, so that its last batches count too.
+    """
+    deltas = workdir.list_versions(spark, f"{table_path}/delta", "batch")
+    bases = workdir.list_versions(spark, f"{table_path}/base", "version")
+    if not deltas or (bases and bases[-1] >= deltas[-1]):
+        return False
+    _refit(spark, table_path, deltas[-1], factorizer or ALSFactorizer())
+    return True
 
 
 def refit_stream(
@@ -103,17 +142,8 @@ def refit_stream(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         write_delta(batch, batch_id, table_path)
-        if (batch_id + 1) % every:
-            return
-        spark = batch.sparkSession
-        base = compact(spark, table_path, batch_id)
-        path = f"{table_path}/factors/version={batch_id}"
-        workdir.delete_dir(spark, path)  # left by an attempt that did not finish
-        if not base.isEmpty():
-            model = model_of.fit(base)
-            model.save(path)
-            model.release()
-        prune(spark, table_path)
+        if (batch_id + 1) % every == 0:
+            _refit(batch.sparkSession, table_path, batch_id, model_of)
 
     return _start(stream, on_batch, checkpoint, trigger)
 

@@ -40,7 +40,7 @@ def test_a_half_step_moves_no_ratings(spark, strategy, shuffles):
     layout.unpersist()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "Python" not in plan and "MapInArrow" not in plan
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    exchanges = re.findall(r"Exchange (?:hashpartitioning|shufflepartitionidpassthrough)\(([^)]*)\)", plan)
     assert len(exchanges) == shuffles, plan
 
 

@@ -146,3 +146,11 @@ def test_dense_scan_survives_and_checks_its_ids(spark, ratings, tmp_path, split_
     with pytest.raises(Exception, match="cells"):
         dense.score_dense_predictions(spark, str(tmp_path / "short"), ratings).collect()
     model.release()
+
+
+def test_blocks_fill_their_partitions(spark, ratings):
+    from ridgeline.operators.layout import build_layout
+
+    layout = build_layout(ratings, "item", 2, "blocks", num_blocks=16)
+    rows = layout.data.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("block").alias("b")).collect()
+    assert len(rows) == 16 and all(r.b == 1 for r in rows)
