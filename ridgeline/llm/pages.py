@@ -37,6 +37,8 @@ PRIOR = 25.0
 SMOOTHING = 5.0
 #: Bounds of a word's score and of what a tag takes away.
 MOST = 4.0
+#: What one open element can speak for a word; names of furniture outweigh it.
+FEATURE_MOST = 2.0
 TAG_LEAST, TAG_MOST = 0.2, 1.5
 
 _TOKEN = re.compile(
@@ -153,7 +155,7 @@ class Weights:
             for feature in (name, "." + name):
                 counts[_bucket(feature), 0] += PRIOR + 0.2 * words[BUCKETS, 0]
         smoothed = (counts + SMOOTHING * share) / share
-        self.words = np.log(smoothed[:, 1] / smoothed[:, 0])
+        self.words = np.minimum(np.log(smoothed[:, 1] / smoothed[:, 0]), FEATURE_MOST)
         self.tags = -np.clip(np.log((tags[:, 0] + 1) / (tags[:, 1] + 1)), TAG_LEAST, TAG_MOST)
         self.tags[[_bucket(name) for name in _NEUTRAL]] = -TAG_LEAST
         self._known: dict[frozenset[str], float] = {}
