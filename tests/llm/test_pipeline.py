@@ -6,6 +6,8 @@ import pytest
 import corpus_pipeline
 from ridgeline.llm import oracle, queries
 
+from test_minhash import truth
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
@@ -41,6 +43,10 @@ def test_stages(spark, tmp_path):
             wrong = [i for i in gone if i in labels and labels[i].toxic == 0]
             missed = [i for i in left if i in labels and labels[i].toxic == 1]
             assert len(wrong) <= 1 and len(missed) <= len(gone) + 1
+        if name == "near_duplicates":
+            before = [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "toxicity")).collect()]
+            roots, _ = truth(before, 5)
+            assert set(left) == {i for i, root in roots.items() if i == root}
         if name == "mixing":
             assert len(gone) < 0.2 * len(kept)
         kept = set(left)
