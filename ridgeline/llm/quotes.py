@@ -90,31 +90,36 @@ def _linked(parts: DataFrame) -> DataFrame:
 
 
 def _roots(messages: DataFrame) -> DataFrame:
-    """Root and depth of every message, by doubling the distance looked ahead."""
+    """Root and depth of every message, by doubling the distance looked ahead.
+
+    A message is done when it points to one without a parent; only the others are joined again.
+    """
     spark = messages.sparkSession
     current = messages.select(
-        "thread", "message", F.coalesce("parent", "message").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth")
+        "thread",
+        "message",
+        F.coalesce("parent", "message").alias("root"),
+        F.col("parent").isNotNull().cast("int").alias("depth"),
+        F.col("parent").isNull().alias("done"),
     )
     current = write_table(current, new_run_dir(spark, "reply-roots"))
-    moved = current.where("depth > 0").isEmpty()
-    while not moved:
+    while not current.where("not done").isEmpty():
         ahead = current.where("depth > 0").select(
-            "thread", F.col("message").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more")
+            "thread",
+            F.col("message").alias("root"),
+            F.col("root").alias("next"),
+            F.col("depth").alias("more"),
+            F.col("done").alias("next_done"),
         )
-        joined = current.join(ahead, ["thread", "root"], "left")
-        current = write_table(
-            joined.select(
-                "thread",
-                "message",
-                F.coalesce("next", "root").alias("root"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.col("next").isNotNull().alias("moved"),
-            ),
-            new_run_dir(spark, "reply-roots"),
+        moved = current.where("not done").join(ahead, ["thread", "root"], "left").select(
+            "thread",
+            "message",
+            F.coalesce("next", "root").alias("root"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.coalesce("next_done", F.lit(True)).alias("done"),
         )
-        moved = current.where("moved").isEmpty()
-        current = current.drop("moved")
-    return current
+        current = write_table(current.where("done").unionByName(moved), new_run_dir(spark, "reply-roots"))
+    return current.drop("done")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
