@@ -10,10 +10,13 @@ full sets decides about the rest.
 Links are found in turns. First each class is compared with the first member of the list
 it shares most often, which joins most of a large group with one pair per member. Then only
 lists whose members are still in different components are looked at, in cells of bounded
-size: each class with its nearest one of every other component, and last every pair of
-different components that passes the estimate. Pairs inside a component add nothing and are
-never formed, so a group of thousands does not make millions of pairs, and no list is
-capped or skipped.
+size and with longer sketches. Sets that their sketch holds whole are decided on the spot,
+and a cell returns a spanning forest of the links it finds. Of pairs that only an estimate
+speaks for, each class returns the nearest; lists that have such pairs are looked at once
+more, and all that are still in different components are returned. A pair is returned by the
+first list it shares. Pairs inside a component add nothing and are never formed, so a group
+of thousands does not make millions of pairs, and no list is capped or skipped; lists of the
+same members are looked at once.
 
 Sketch overlaps are random; the estimate is allowed to fall ``MARGIN`` standard deviations
 short, so about three links in a million are missed. Sets of at most k shingles are compared
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -42,10 +46,12 @@ from ridgeline.llm.words import sequence_hash, shingle_hashes, word_hashes
 from ridgeline.workdir import new_run_dir, write_table
 
 K = 64
+#: Values kept of the sets that share lists.
+PROFILE = 256
 PERCENT = 80
 MARGIN = 4.5
-#: Rows of one side of a cell in which the members of a list are compared.
-CELL = 512
+#: Rows of one side of a cell in which the members of a list are compared, about.
+CELL = 1024
 
 
 def least_overlap(k: int, percent: int) -> int:
@@ -132,92 +138,192 @@ def _first_pairs(lists: DataFrame, classes: DataFrame, k: int, percent: int) ->
     return pairs.join(left, "a").join(right, "b").where(_estimate_passes(k, percent)).select("a", "b").distinct()
 
 
-def _close_pairs(cell: pa.Table, k: int, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one cell that pass the estimate."""
-    ids = cell["id"].to_numpy()
-    labels = cell["component"].to_numpy()
-    sizes = cell["n"].to_numpy()
-    side = cell["side"].to_numpy()
-    lengths = np.array([len(x) for x in cell["sketch"].to_pylist()])
-    flat = cell["sketch"].combine_chunks()
-    flat = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy()
-    owner = np.repeat(np.arange(len(ids)), lengths)
-    values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+def profiles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, sketch) with the PROFILE smallest values of each text's set."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(w, shingle) for w in word_hashes(text_bytes(batch.column(1)))]
+            kept = [x[:PROFILE] for x in found]
+            ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *kept])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) for x in found], type=pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                ],
+                names=["id", "n", "sketch"],
+            )
+
+    return texts.select("id", "text").mapInArrow(task, "id long, n long, sketch array<long>")
+
+
+def _overlaps(probes: list[np.ndarray], homes: list[np.ndarray]) -> np.ndarray:
+    """Number of values that each probe shares with each home."""
+    both = [*probes, *homes]
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, inverse, counts = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
     kept = counts[inverse] > 1
     owner, inverse = owner[kept], column[inverse[kept]]
-    overlap = np.zeros((len(ids), len(ids)), dtype=np.float32)
-    for start in range(0, int((counts > 1).sum()), 4096):
-        part = (inverse >= start) & (inverse < start + 4096)
-        block = np.zeros((len(ids), 4096), dtype=np.float32)
-        block[owner[part], inverse[part] - start] = 1
-        overlap += block @ block.T
-    held = np.minimum(sizes, k)
-    smaller = np.minimum(held[:, None], held[None, :])
-    needed = np.minimum(np.ceil(smaller * percent / 100), least_overlap(k, percent))
-    fits = np.minimum(sizes[:, None], sizes[None, :]) * 100 >= np.maximum(sizes[:, None], sizes[None, :]) * percent
-    possible = (overlap >= needed) & fits & (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :])
-    if len(set(side.tolist())) > 1:
-        possible &= side[:, None] != side[None, :]
-    first, second = np.nonzero(possible)
-    sketches = np.split(flat, np.cumsum(lengths)[:-1])
-    estimates = np.zeros(len(first))
-    for p, (i, j) in enumerate(zip(first, second)):
-        union = np.union1d(sketches[i], sketches[j])
-        whole = sizes[i] <= k and sizes[j] <= k
-        both = np.intersect1d(sketches[i], sketches[j], assume_unique=True)
-        shown = len(union) if whole else k
-        common = len(both) if whole else int(np.searchsorted(both, union[:k][-1], side="right"))
-        enough = common * 100 >= shown * percent if whole else common >= least_overlap(k, percent)
-        estimates[p] = common / shown if enough else -1
-    passing = estimates >= 0
-    first, second, estimates = first[passing], second[passing], estimates[passing]
-    if nearest and len(first):
-        one = np.concatenate([first, second])
-        other = np.concatenate([second, first])
-        order = np.lexsort((other, -np.concatenate([estimates, estimates]), labels[other], one))
-        one, other = one[order], other[order]
-        best = np.ones(len(one), dtype=bool)
-        best[1:] = (one[1:] != one[:-1]) | (labels[other[1:]] != labels[other[:-1]])
-        first, second = one[best], other[best]
-    return ids[first], ids[second]
-
-
-def _mixed_pairs(
-    lists: DataFrame, labels: DataFrame, classes: DataFrame, k: int, percent: int, nearest: bool
-) -> DataFrame | None:
-    """Candidate pairs from lists that still hold several components; None if there is no such list."""
+    order = np.argsort(inverse, kind="stable")
+    owner, inverse = owner[order], inverse[order]
+    overlap = np.zeros((len(probes), len(homes)), dtype=np.float32)
+    columns = int((counts > 1).sum())
+    width = min(4096, columns or 1)
+    for start in range(0, columns, width):
+        low, high = np.searchsorted(inverse, [start, start + width])
+        block = np.zeros((len(both), width), dtype=np.float32)
+        block[owner[low:high], inverse[low:high] - start] = 1
+        overlap += block[: len(probes)] @ block[len(probes) :].T
+    return overlap
+
+
+class _Rows:
+    """One side of a cell."""
+
+    def __init__(self, cell: pa.Table):
+        self.ids = cell["id"].to_numpy()
+        self.labels = cell["component"].to_numpy()
+        self.sizes = cell["n"].to_numpy()
+        self.minor = np.array(cell["minor"].to_pylist(), dtype=bool)
+        self.sketches = [np.array(x, dtype=np.int64) for x in cell["sketch"].to_pylist()]
+        self.shared = cell["shared"].to_pylist()
+        self.whole = self.sizes <= PROFILE
+        last = np.iinfo(np.int64).max
+        self.tops = np.array([last if w else x[-1] for w, x in zip(self.whole, self.sketches)], dtype=np.int64)
+
+    def below(self, tops: np.ndarray) -> np.ndarray:
+        """Number of values of each sketch up to each of ``tops``."""
+        found = [np.searchsorted(x, tops, side="right") for x in self.sketches]
+        return np.array(found, dtype=np.float32).reshape(len(self.sketches), len(tops))
+
+
+def _close_pairs(probes: _Rows, homes: _Rows, value: int, percent: int) -> tuple[np.ndarray, ...]:
+    """Pairs (probe row, home row) of different components that may be linked, whether that is
+    certain, and their estimates; only pairs that share no earlier list, each from one side."""
+    overlap = _overlaps(probes.sketches, homes.sketches)
+    union = probes.below(homes.tops) + homes.below(probes.tops).T - overlap
+    whole = probes.whole[:, None] & homes.whole[None, :]
+    share = percent / 100
+    slack = MARGIN * np.sqrt(share * (1 - share) / np.maximum(union, 1))
+    passes = np.where(whole, overlap * 100 >= union * percent, overlap >= (share - slack) * union) & (overlap > 0)
+    least = np.minimum(probes.sizes[:, None], homes.sizes[None, :])
+    passes &= least * 100 >= np.maximum(probes.sizes[:, None], homes.sizes[None, :]) * percent
+    passes &= probes.labels[:, None] != homes.labels[None, :]
+    passes &= ~homes.minor[None, :] | (probes.ids[:, None] < homes.ids[None, :])
+    first, second = np.nonzero(passes)
+    here = [
+        min(set(probes.shared[i]).intersection(homes.shared[j])) == value
+        for i, j in zip(first.tolist(), second.tolist())
+    ]
+    first, second = first[np.array(here, dtype=bool)], second[np.array(here, dtype=bool)]
+    return first, second, whole[first, second], overlap[first, second] / union[first, second]
+
+
+def _forest(first: list[int], second: list[int]) -> np.ndarray:
+    """Positions of pairs of labels that connect them as all pairs do."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root.setdefault(root[x], root[x])
+        return x
+
+    kept = []
+    for at, (i, j) in enumerate(zip(first, second)):
+        i, j = find(i), find(j)
+        if i != j:
+            root[i] = j
+            kept.append(at)
+    return np.array(kept, dtype=np.int64)
+
+
+def _nearest(first: np.ndarray, second: np.ndarray, estimates: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of ids that are the best of one of the two."""
+    one = np.concatenate([first, second])
+    order = np.lexsort((-np.concatenate([estimates, estimates]), one))
+    start = np.ones(len(one), dtype=bool)
+    start[1:] = one[order][1:] != one[order][:-1]
+    return np.unique(order[start] % len(first))
+
+
+def _cell_pairs(cell: pa.Table, percent: int, nearest: bool) -> pa.RecordBatch | None:
+    probe = cell["probe"]
+    probes, homes = _Rows(cell.filter(probe)), _Rows(cell.filter(pc.invert(probe)))
+    if len(probes.ids) == 0 or len(homes.ids) == 0:
+        return None
+    value = cell["value"][0].as_py()
+    first, second, sure, estimates = _close_pairs(probes, homes, value, percent)
+    a, b = probes.ids[first], homes.ids[second]
+    certain, open_ = np.flatnonzero(sure), np.flatnonzero(~sure)
+    labels = probes.labels[first[certain]].tolist(), homes.labels[second[certain]].tolist()
+    certain = certain[_forest(*labels)]
+    if nearest and len(open_):
+        open_ = open_[_nearest(a[open_], b[open_], estimates[open_])]
+    kept = np.concatenate([certain, open_])
+    columns = [np.minimum(a, b)[kept], np.maximum(a, b)[kept], sure[kept], np.full(len(kept), value)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "sure", "value"])
+
+
+def _mixed_pairs(lists: DataFrame, labels: DataFrame, profiled: DataFrame, percent: int, nearest: bool) -> DataFrame | None:
+    """(a, b, sure, value) from lists that still hold several components; None if there is no such list."""
     spark = lists.sparkSession
     marked = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
+    # Members of a list's largest component need not meet each other.
+    groups = marked.groupBy("value", "component").agg(
+        F.count("*").alias("c"),
+        F.bit_xor(F.xxhash64("id")).alias("print_a"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("print_b"),
+    )
     mixed = (
-        marked.groupBy("value")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
-        .where("low <> high")
-        .select("value", F.ceil(F.col("c") / CELL).cast("int").alias("blocks"))
+        groups.groupBy("value")
+        .agg(
+            F.count("*").alias("components"),
+            F.sum("c").alias("c"),
+            F.max(F.struct("c", "component")).alias("top"),
+            F.bit_xor("print_a").alias("print_a"),
+            F.bit_xor("print_b").alias("print_b"),
+        )
+        .where("components > 1")
+        .groupBy("c", "print_a", "print_b", "top")
+        .agg(F.min("value").alias("value"))
+        .select(
+            "value",
+            F.col("top.component").alias("major"),
+            F.ceil(F.col("c") / CELL).cast("int").alias("home_blocks"),
+            F.ceil((F.col("c") - F.col("top.c")) / CELL).cast("int").alias("probe_blocks"),
+        )
     )
     rows = write_table(marked.join(mixed, "value"), new_run_dir(spark, "mixed-lists"))
     if rows.isEmpty():
         return None
-    side = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    of_id = rows.groupBy("id").agg(F.collect_set("value").alias("shared"))  # as many as lists a class enters
+    described = profiled.join(of_id, "id")
+    rows = rows.withColumn("minor", F.col("component") != F.col("major"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    common = ["value", "id", "component", "minor"]
+    homes = rows.select(*common, F.lit(False).alias("probe"), up_to("probe_blocks").alias("low"), place("home_blocks", 1).alias("high"))
+    probes = rows.where("minor").select(
+        *common, F.lit(True).alias("probe"), place("probe_blocks", 2).alias("low"), up_to("home_blocks").alias("high")
+    )
     cells = (
-        rows.withColumn("side", side)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("side", "other"))
-        .withColumn("high", F.greatest("side", "other"))
-        .join(classes, "id")
-        .select("value", "low", "high", "id", "component", "side", "n", "sketch")
+        homes.unionByName(probes)
+        .join(described, "id")
+        .select("value", "low", "high", "id", "component", "minor", "probe", "n", "sketch", "shared")
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, ["value", "low", "high"]):
-            if cell.num_rows > 1:
-                a, b = _close_pairs(cell, k, percent, nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if (found := _cell_pairs(cell, percent, nearest)) is not None:
+                yield found
 
     found = cells.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
-    return found.mapInArrow(task, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.mapInArrow(task, "a long, b long, sure boolean, value long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -240,6 +346,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(task, "a long, b long")
 
 
+def _as_edges(labels: DataFrame) -> DataFrame:
+    """Components found so far, as a star for each."""
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -262,22 +373,36 @@ def near_duplicates(
     classes = linkable.join(
         heads, (linkable.doc_id == heads.id) & (linkable.print_a == heads.print_a), "left_semi"
     ).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    classes = stored(classes, "class-sketches")
     lists = stored(_rare_lists(classes, k, percent), "rare-lists")
     members = lists.select("id").distinct()
     texts = stored(rows.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi"), "candidate-texts")
     edges = stored(_verified(_first_pairs(lists, classes, k, percent), texts, shingle, percent), "links")
+    labels = components(edges)
+    profiled = stored(profiles(texts, shingle), "profiles")
     for nearest in (True, False):
-        pairs = _mixed_pairs(lists, components(edges), classes, k, percent, nearest)
+        pairs = _mixed_pairs(lists, labels, profiled, percent, nearest)
         if pairs is None:
             break
-        edges = edges.union(stored(_verified(pairs, texts, shingle, percent), "links"))
+        pairs = stored(pairs, "near-pairs")
+        unsure = pairs.where("not sure")
+        found = pairs.where("sure").select("a", "b")
+        done = unsure.isEmpty()
+        if not done:
+            found = found.union(stored(_verified(unsure.select("a", "b").distinct(), texts, shingle, percent), "links"))
+        labels = components(_as_edges(labels).union(found))
+        if done:
+            break
+        lists = lists.join(unsure.select("value").distinct(), "value", "left_semi")
     several = linkable.groupBy("doc_id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high"))
-    two_texts = (
-        linkable.join(several.where("low <> high"), "doc_id", "left_semi")
-        .join(heads, ["print_a", "print_b"])
-        .select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    )
-    labels = components(edges.union(two_texts))
+    several = stored(several.where("low <> high"), "repeated-ids")
+    if not several.isEmpty():
+        two_texts = (
+            linkable.join(several, "doc_id", "left_semi")
+            .join(heads, ["print_a", "print_b"])
+            .select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        )
+        labels = components(_as_edges(labels).union(two_texts))
     placed = (
         signed.join(heads, ["print_a", "print_b"], "left")
         .join(labels.withColumnRenamed("node", "id"), "id", "left")
