@@ -2,10 +2,13 @@
 
 Terms are runs of letters and digits (and all bytes beyond ASCII) of the whole text, and
 their first bytes as stems, hashed into a fixed number of buckets. A text's inputs are the
-buckets it contains that stood out in the labelled rows. Besides a weight, each input has
+buckets it contains that occur in the labelled rows. Besides a weight, each input has
 a short factor vector; the product of two vectors is the weight of the pair, so words that
 are harmful only together raise the score when they meet.
 
+Fitting begins with the buckets that stand out by themselves and goes on from there with all
+of them, so a term that is neutral alone takes part in pairs.
+
 Defined cases: a null or empty text has no inputs and gets the score of the constant term;
 labels that are null, unmatched or conflicting (the highest label of a document counts)
 do no harm; without any usable label of one class the score is the constant rate; repeated
@@ -28,10 +31,23 @@ from ridgeline.llm.words import PIECE, hash_stems, pieces
 BUCKETS = 1 << 20
 #: Most labelled rows that are fitted on.
 TRAIN_ROWS = 20_000
+#: Buckets that fitting begins with, at most; it goes on with all.
 INPUTS = 512
 #: Chi-square below which a bucket may stand out by chance among all buckets.
 LEAST_CHI = 20.0
 FACTORS = 8
+#: Passes over the rows with all buckets, and the step of AdaGrad.
+EPOCHS = 12
+RATE = 0.1
+#: What damps steps of weights and of vectors: terms of few rows hardly move.
+STEADY = 10_000.0
+VECTOR_STEADY = 100.0
+PENALTY = 1e-3
+#: Size of a text's noise of vectors at the start.
+START = 0.1
+#: Uses of terms in one step, about, and least steps in a pass.
+STEP_USES = 1 << 18
+LEAST_STEPS = 8
 #: Lengths of the stems in bytes.
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -110,7 +126,7 @@ def select_inputs(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.n
     return np.sort(kept[chi[kept] > LEAST_CHI])
 
 
-def fit_rows(
+def fit_standing(
     rows: list[np.ndarray],
     labels: np.ndarray,
     inputs: int = INPUTS,
@@ -119,7 +135,7 @@ def fit_rows(
     rate: float = 0.1,
     penalty: float = 2e-5,
 ) -> Model:
-    """Full-batch Adam on the logistic loss; the same rows give the same model."""
+    """Full-batch Adam on the logistic loss over the buckets that stand out."""
     labels = labels.astype(float)
     share = (labels.sum() + 1) / (len(labels) + 2)
     chosen = np.zeros(0, dtype=np.int64)
@@ -156,7 +172,72 @@ def fit_rows(
     return Model(chosen, float(params[0][0]), params[1], params[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, inputs: int = INPUTS) -> Model:
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS) -> Model:
+    """AdaGrad on the logistic loss over every term of the rows; the same rows give the same model.
+
+    A step touches only the weights and vectors of its rows' terms.
+    """
+    labels = labels.astype(float)
+    share = (labels.sum() + 1) / (len(labels) + 2)
+    constant = float(np.log(share / (1 - share)))
+    if not 0 < labels.sum() < len(labels) or not (uses := sum(map(len, rows))):
+        return Model(np.zeros(0, dtype=np.int64), constant, np.zeros(1), np.zeros((1, factors)))
+    used = np.zeros(BUCKETS, dtype=bool)
+    for row in rows:
+        used[row] = True
+    chosen = np.flatnonzero(used)
+    position = np.zeros(BUCKETS, dtype=np.int32)
+    position[chosen] = np.arange(len(chosen))
+    random = np.random.default_rng(7)
+    order = random.permutation(len(rows))
+    steps = max(LEAST_STEPS, uses // STEP_USES)
+    parts = [p for p in np.array_split(order, min(steps, len(rows))) if len(p)]
+    weights = np.zeros(len(chosen), dtype=np.float32)
+    # Pairs start as noise that stays small in a text of usual length.
+    vectors = random.normal(0, START / np.sqrt(uses / len(rows)), (len(chosen), factors)).astype(np.float32)
+    first = fit_standing(rows, labels, factors=factors)
+    if len(first.inputs):
+        weights[position[first.inputs]] = first.weights
+        vectors[position[first.inputs]] = first.factors
+        constant = first.constant
+    model = Model(chosen, constant, weights, vectors)
+    weights_seen, vectors_seen = (np.zeros(len(chosen), dtype=np.float32) for _ in range(2))
+    constant_seen = 0.0
+    held = []
+    for part in parts:
+        lengths = np.array([len(rows[i]) for i in part])
+        if lengths.sum() == 0:
+            continue
+        here, flat = np.unique(np.concatenate([position[rows[i]] for i in part]), return_inverse=True)
+        flat = flat.astype(np.int32)
+        by_term = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(part), dtype=np.int32), lengths)[by_term]
+        uses_of = np.bincount(flat, minlength=len(here))
+        held.append((labels[part], lengths, here, flat, owner, np.cumsum(uses_of) - uses_of))
+    for _ in range(epochs):
+        for at in random.permutation(len(held)):
+            truth, lengths, here, flat, owner, first_use = held[at]
+            w, v = weights[here], vectors[here]
+            starts, empty = np.cumsum(lengths) - lengths, lengths == 0
+            both = _sums(np.vstack([v[flat], v[:1]]), starts, empty)
+            alone = _sums(np.append(((v * v).sum(axis=1))[flat], v[:1, 0]), starts, empty)
+            linear = _sums(np.append(w[flat], w[:1]), starts, empty)
+            margins = model.constant + linear + 0.5 * ((both**2).sum(axis=1) - alone)
+            error = (1 / (1 + np.exp(-np.clip(margins, -30, 30))) - truth).astype(np.float32)
+            sums = np.add.reduceat(error[owner], first_use)
+            drawn = np.add.reduceat((error[:, None] * both)[owner], first_use, axis=0)
+            weight_slope = sums + PENALTY * w
+            vector_slope = drawn - sums[:, None] * v + PENALTY * v
+            weights_seen[here] += weight_slope**2
+            vectors_seen[here] += (vector_slope**2).mean(axis=1)
+            weights[here] -= RATE * weight_slope / np.sqrt(weights_seen[here] + STEADY)
+            vectors[here] -= RATE * vector_slope / np.sqrt(vectors_seen[here] + VECTOR_STEADY)[:, None]
+            constant_seen += float(error.sum()) ** 2
+            model.constant -= RATE * float(error.sum()) / np.sqrt(constant_seen + STEADY)
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``most_rows`` labelled documents, the first by a hash of their id.
 
     ``labels`` has (doc_id, toxic). What reaches the driver is bounded by ``most_rows`` and
@@ -183,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, inputs:
     found = sample.mapInArrow(task, "doc_id long, label int, terms binary").toArrow().sort_by("doc_id")
     rows = [np.frombuffer(t, dtype=np.int32) for t in found.column("terms").to_pylist()]
     marked = np.array(found.column("label").to_pylist(), dtype=np.int64).reshape(-1)
-    return fit_rows(rows, marked, inputs)
+    return fit_rows(rows, marked)
 
 
 def score(model: Model, text: Column) -> Column:

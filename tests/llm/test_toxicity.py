@@ -29,6 +29,21 @@ def test_pairs_are_learned():
     assert (np.abs(model.scores(more) - truth) < 0.3).mean() > 0.97
 
 
+def test_terms_that_are_neutral_alone_are_paired():
+    """Each word is as frequent in toxic texts as in clean ones; only which two meet tells."""
+    r = random.Random(3)
+    texts, labels = [], []
+    for _ in range(2000):
+        group, insult = r.random() < 0.5, r.random() < 0.5
+        filler = " ".join(f"w{r.randrange(40)}" for _ in range(12))
+        texts.append(f"{filler} {'neighbours' if group else 'weather'} {'vermin' if insult else 'flowers'}")
+        labels.append(int(group == insult))
+    rows, labels = list(toxicity.terms(texts)), np.array(labels)
+    model = toxicity.fit_rows(rows[:1500], labels[:1500])
+    assert ((model.scores(texts[1500:]) >= toxicity.THRESHOLD) == labels[1500:]).mean() > 0.97
+    assert len(model.inputs) == len(np.unique(np.concatenate(rows[:1500])))
+
+
 def test_degenerate_labels():
     rows = list(toxicity.terms(["a b", "c d", None]))
     for labels in (np.zeros(3, int), np.ones(3, int), np.zeros(0, int)):
