@@ -9,8 +9,8 @@ the query's k-th neighbour in a sample. What is left is computed exactly, in dou
 precision and column order, on the original vectors.
 
 Centroids, the number of lists to probe and the starting radius of a query come from a
-sample of at most ``SAMPLE`` vectors, the first by a hash of their id; every vector is in
-the index. The number of probes is what covers ``COVER`` of the true neighbours inside the
+sample of at most ``SAMPLE`` ids, the first by a hash, with one vector each; every vector is
+in the index. The number of probes is what covers ``COVER`` of the true neighbours inside the
 sample, so the recall holds for clustered and unclustered data alike. The sample's own
 neighbours are candidates too, so every query gets k rows if there are so many vectors.
 Lists are split into cells of bounded size; queries stream past a cell.
@@ -174,9 +174,12 @@ def _learn(rows: DataFrame, top: int) -> Geometry | None:
     common = rows.groupBy("dim").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "dim").first()
     if common is None:
         return None
-    sample = rows.where(F.col("dim") == common["dim"]).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    rows = rows.where(F.col("dim") == common["dim"])
+    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    sample = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("v").alias("v"))
+    sample = sample.orderBy(F.xxhash64("id"), "id").toArrow()
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    longest = rows.where(F.col("dim") == common["dim"]).agg(F.max(square)).first()[0]
+    longest = rows.agg(F.max(square)).first()[0]
     return Geometry(sample["id"].to_numpy(), np.array(sample["v"].to_pylist()), longest * (1 + 1e-12), top)
 
 
@@ -187,7 +190,7 @@ def nearest(
     spark = table.sparkSession
     rows = parsed(table, id_col, vector_col).where("vec is not null and id is not null")
     originals = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast("array<double>").alias("v"))
-    rows = write_table(rows, new_run_dir(spark, "ann-vectors"))
+    rows = write_table(rows.dropDuplicates(["id", "vec"]), new_run_dir(spark, "ann-vectors"))
     usable = (
         originals.withColumn("dim", F.size("v"))
         .where("id is not null and dim > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")

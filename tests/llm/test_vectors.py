@@ -105,6 +105,20 @@ def test_nearest_recall_and_order(spark, monkeypatch, sample, cell):
     assert hits / (20 * len(found)) >= 0.95
 
 
+@pytest.mark.parametrize("copies", [lambda i: 2, lambda i: 1 + 60 * (i == 7)])
+def test_nearest_with_repeated_rows(spark, copies):
+    """Repeats of an id neither take places nor shrink the search around a query."""
+    rows = [(i, v) for i, v in made(2) if i is None or i < 500]
+    rows = [(i, v) for i, v in rows for _ in range(copies(i))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in scan.nearest(table, "id % 20 = 0").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    wanted = best(rows, 20)
+    assert found.keys() == wanted.keys() and all(len(x) == 20 for x in found.values())
+    assert sum(len(found[q] & dict(wanted[q]).keys()) for q in found) / (20 * len(found)) >= 0.95
+
+
 def test_nearest_with_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     rows = scan.nearest(table, "id % 20 = 0").orderBy("rank").collect()
