@@ -97,22 +97,23 @@ def signatures(docs: DataFrame, shingle: int, k: int) -> DataFrame:
 
 def _rare_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(value, id): each class in the lists of its rarest shared values."""
-    posts = classes.select("id", F.explode("sketch").alias("value"))
-    shared = posts.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    least = least_overlap(k, percent)
     held = F.least(F.col("n"), F.lit(k))
-    needed = F.least(F.ceil(held * percent / 100), F.lit(least))
-    within = Window.partitionBy("id")
+    needed = F.least(F.ceil(held * percent / 100), F.lit(least_overlap(k, percent)))
+    key = ["id", "print_a", "print_b"]  # texts of one id are ranked each for itself
+    posts = classes.select(
+        *key, held.alias("held"), (held - needed + 1).alias("prefix"), F.explode("sketch").alias("value")
+    )
+    shared = posts.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    within = Window.partitionBy(*key)
     ranked = (
         posts.join(shared, "value")
         .withColumn("rank", F.row_number().over(within.orderBy("df", "value")))
         .withColumn("n_shared", F.count("*").over(within))
     )
-    lengths = classes.select("id", held.alias("held"), (held - needed + 1).alias("prefix"))
     return (
-        ranked.join(lengths, "id")
-        .where(F.col("rank") <= F.col("prefix") - (F.col("held") - F.col("n_shared")))
+        ranked.where(F.col("rank") <= F.col("prefix") - (F.col("held") - F.col("n_shared")))
         .select("value", "id")
+        .distinct()
     )
 
 
@@ -370,13 +371,17 @@ def near_duplicates(
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     heads = linkable.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("id"))
     heads = stored(heads, "classes")
-    classes = linkable.join(
-        heads, (linkable.doc_id == heads.id) & (linkable.print_a == heads.print_a), "left_semi"
-    ).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    classes = (
+        linkable.withColumnRenamed("doc_id", "id")
+        .join(heads, ["id", "print_a", "print_b"], "left_semi")
+        .dropDuplicates(["id", "print_a", "print_b"])
+        .select("id", "print_a", "print_b", F.col("n_shingles").alias("n"), "sketch")
+    )
     classes = stored(classes, "class-sketches")
     lists = stored(_rare_lists(classes, k, percent), "rare-lists")
     members = lists.select("id").distinct()
-    texts = stored(rows.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi"), "candidate-texts")
+    texts = rows.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi")
+    texts = stored(texts.dropDuplicates(["id", "text"]), "candidate-texts")
     edges = stored(_verified(_first_pairs(lists, classes, k, percent), texts, shingle, percent), "links")
     labels = components(edges)
     profiled = stored(profiles(texts, shingle), "profiles")

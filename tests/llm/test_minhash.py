@@ -90,3 +90,32 @@ def test_components_of_chains_stars_and_loops(spark):
     expected = {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
     assert {r.node: r.component for r in found} == expected and len(found) == len(expected)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_rows_of_one_id_count_once(spark):
+    """Repeats add no rows to the lists, and lists of repeated members are told apart."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(3000)}"
+    rows = []
+    for i in range(0, 24, 2):
+        w = [word() for _ in range(40)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-1] + [word()]))]
+    repeated = rows + rows[:6] + [rows[0]] * 40
+    docs = spark.createDataFrame(repeated, "doc_id long, text string")
+    found = minhash.near_duplicates(docs, shingle=4).collect()
+    roots, _ = truth(rows, 4)
+    assert len(found) == len(repeated) and all(x.component_id == roots[x.doc_id] for x in found)
+
+
+def test_lists_of_ids_with_several_texts_hold_each_id_once(spark, monkeypatch):
+    """Hashes of an id that stands twice in a list would cancel, and unlike lists look the same."""
+    made_lists = []
+    whole = minhash._rare_lists
+    monkeypatch.setattr(minhash, "_rare_lists", lambda *a: made_lists.append(whole(*a)) or made_lists[-1])
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (1, " ".join(words[:-1] + ["x"])), (1, " ".join(words)), (2, " ".join(words[:-1] + ["y"]))]
+    rows += rows[:2] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(docs, shingle=4).collect()
+    assert len(found) == len(rows) and {r.component_id for r in found} == {1}
+    assert made_lists[0].count() == made_lists[0].distinct().count() > 0
