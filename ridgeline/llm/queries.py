@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import backoff, codes, minhash, mixing, packing, pages, quotes, rollup, scan, tokens, toxicity
-
+from ridgeline.llm import (
+    backoff,
+    codes,
+    minhash,
+    mixing,
+    packing,
+    pages,
+    positive,
+    quotes,
+    repair,
+    rollup,
+    scan,
+    stripes,
+    tokens,
+    toxicity,
+)
 from ridgeline.workdir import new_run_dir
 
 
@@ -78,6 +92,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(_table(spark, sf_dir, "conversations"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.SourceAudit(_table(spark, sf_dir, "documents")).report()
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return positive.score_documents(docs, labels.select("doc_id", "quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_lm_scoring,
@@ -90,5 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_ann,
         op9_toxicity,
         op10_packing,
+        op11_conversation_repair,
+        op12_source_audit,
+        op13_quality,
     )
     return {q.__name__: q for q in registered}
