@@ -36,12 +36,12 @@ def start(rank: int = 2) -> str:
     return f"u0 AS (SELECT user_id AS id, CAST(AVG(rating) AS DOUBLE) AS f0{rest} FROM r1 GROUP BY user_id)"
 
 
-def systems(name: str, side: str, factors: str) -> str:
+def systems(name: str, side: str, factors: str, ratings: str = "r1") -> str:
     own, other = ("item_id", "user_id") if side == "item" else ("user_id", "item_id")
     return f"""{name} AS (
   SELECT {own} AS id, COUNT(*) AS n, SUM(f0 * f0) AS a0_0, SUM(f0 * f1) AS a0_1,
          SUM(f1 * f1) AS a1_1, SUM(f0 * rating) AS v0, SUM(f1 * rating) AS v1
-  FROM r1 JOIN {factors} f ON f.id = {other} GROUP BY {own})"""
+  FROM {ratings} JOIN {factors} f ON f.id = {other} GROUP BY {own})"""
 
 
 def solved(name: str, from_systems: str) -> str:
@@ -213,6 +213,17 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         "factors_save_load": factor_rows,
         "stream_latest_ratings": f"WITH {R2} SELECT user_id, item_id, rating FROM r1",
         "stream_rating_counts": f"WITH {R2_EVENTS} SELECT item_id AS id, COUNT(*) AS n, CAST(SUM(rating) AS BIGINT) AS total FROM ev GROUP BY 1",
+        "stream_rating_lists": f"WITH {R2} SELECT item_id AS id, user_id AS other_id, rating FROM r1",
+        "fold_in_users": query(
+            [
+                *fit,
+                "turned AS (SELECT user_id, item_id, 6 - rating AS rating FROM r1 JOIN customer ON c_custkey = user_id WHERE c_nationkey < 3)",
+                systems("s_turned", "user", f"m{last}", "turned"),
+                solved("u_turned", "s_turned"),
+            ],
+            f"SELECT u.id, CAST(CASE WHEN t.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS solved, "
+            f"{r6('COALESCE(t.f0, u.f0)', 'f0')}, {r6('COALESCE(t.f1, u.f1)', 'f1')} FROM u{last} u LEFT JOIN u_turned t ON t.id = u.id",
+        ),
         "stream_refit_mse": query([*als(ratings=R2), errors(last)], MSE),
     }
     # The same results by the paths that larger tables take.

@@ -15,8 +15,9 @@ from ridgeline.operators.init import init_user_factors
 from ridgeline.operators.layout import half_step, normal_equations
 from ridgeline.plans.derive import event_ratings, order_ratings, purchases, table
 from ridgeline.plans.oracle import ITERATIONS, REG
+from ridgeline.schemas import FACTORS
 from ridgeline.sources import dense, headered
-from ridgeline.streaming import counts, source, upsert
+from ridgeline.streaming import counts, foldin, lists, source, upsert
 
 NUM_BLOCKS = 8
 RANK = 2
@@ -426,6 +427,43 @@ def stream_rating_counts(spark, sf_dir):
     return counts.current_counts(spark, f"{path}/table")
 
 
+def stream_rating_lists(spark, sf_dir):
+    """State of a stream that takes in two files, ends, and goes on with two more from its checkpoint."""
+    path = workdir.new_run_dir(spark, "rating-lists")
+    events = table(spark, sf_dir, "events")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 1
+    for part in (events.where(~late), events.where(late)):
+        part.repartition(2).write.mode("append").parquet(f"{path}/events")
+        stream = source.read_ratings_stream(
+            lists.stateful_session(spark), f"{path}/events", events.schema, max_files_per_trigger=1
+        )
+        changes = lists.rating_lists_stream(event_ratings(stream), "item")
+        lists.write_lists_stream(changes, f"{path}/checkpoint").awaitTermination()
+    return lists.read_rating_lists(spark, f"{path}/checkpoint").select("id", "other_id", "rating")
+
+
+def fold_in_users(spark, sf_dir):
+    """Customers of three nations turn their ratings round; only their vectors are solved again."""
+    ratings = order_ratings(spark, sf_dir)
+    path = workdir.new_run_dir(spark, "folds")
+    log = f"{path}/table"
+    landed = ratings.select("user_id", "item_id", "rating", F.lit(0).cast("timestamp").alias("rated_at"), F.lit(0).cast("bigint").alias("seq"))
+    upsert.write_delta(landed, 0, log)
+    base = upsert.compact(spark, log, 0)
+    model = ALSFactorizer(rank=RANK, reg=REG, max_iter=ITERATIONS).fit(base)
+    model.save(f"{log}/factors/version=0")
+    model.release()
+    movers = table(spark, sf_dir, "customer").where("c_nationkey < 3").select(F.col("c_custkey").cast("int").alias("user_id"))
+    turned = landed.join(movers, "user_id", "left_semi").withColumns(
+        {"rating": (F.lit(6) - F.col("rating")).cast("smallint"), "seq": F.lit(1).cast("bigint")}
+    )
+    upsert.write_delta(turned, 1, log)
+    foldin.fold_batch(spark, log, 1)
+    solved = spark.read.schema(FACTORS).parquet(foldin.fold_path(log, "user", 1)).select("id", F.lit(1).alias("solved"))
+    factors = _flat(foldin.current_model(spark, log).user_factors)
+    return factors.join(solved, "id", "left").select("id", F.coalesce("solved", F.lit(0)).alias("solved"), "f0", "f1")
+
+
 def stream_refit_mse(spark, sf_dir):
     landed = _landed(spark, sf_dir, every=3)
     model = upsert.latest_model(spark, landed)
@@ -501,6 +539,8 @@ def queries():
         "factors_save_load": factors_save_load,
         "stream_latest_ratings": stream_latest_ratings,
         "stream_rating_counts": stream_rating_counts,
+        "stream_rating_lists": stream_rating_lists,
+        "fold_in_users": fold_in_users,
         "stream_refit_mse": stream_refit_mse,
         "stream_refit_tail_mse": stream_refit_tail_mse,
     }

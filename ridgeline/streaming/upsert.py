@@ -5,6 +5,7 @@ The table is a log of deltas plus compacted bases, each written once:
     <table>/delta/batch=<id>      latest rating per pair within one micro-batch
     <table>/base/version=<id>     everything up to and including that batch
     <table>/factors/version=<id>  a model fitted on that base
+    <table>/folds/<side>/batch=<id>  vectors of the ids a later batch touched (``foldin``)
 
 A micro-batch costs its own size, not the table's. Every folder is named after
 its batch id, so a batch that is replayed rewrites the same folder; nothing is
@@ -13,12 +14,15 @@ overwritten while it is read, and all state is found from the listing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline import workdir
 from ridgeline.operators.als import ALSFactorizer
 from ridgeline.schemas import RATING_EVENTS
+from ridgeline.streaming import foldin
 
 _COLUMNS = RATING_EVENTS.fieldNames()
 
@@ -31,8 +35,22 @@ def latest_per_pair(events: DataFrame) -> DataFrame:
     )
 
 
-def current_ratings(spark: SparkSession, table_path: str, up_to: int | None = None) -> DataFrame:
-    """The table as of batch ``up_to`` (or now): newest base, plus deltas after it."""
+def delta_of(spark: SparkSession, table_path: str, batch_id: int) -> DataFrame:
+    """What one micro-batch changed."""
+    return spark.read.schema(RATING_EVENTS).parquet(f"{table_path}/delta/batch={batch_id}")
+
+
+def current_ratings(
+    spark: SparkSession,
+    table_path: str,
+    up_to: int | None = None,
+    only: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The table as of batch ``up_to`` (or now): newest base, plus deltas after it.
+
+    ``only`` picks whole (user, item) pairs before their latest ratings are looked for, so
+    pairs that are not wanted are never shuffled.
+    """
     bound = float("inf") if up_to is None else up_to
     bases = [v for v in workdir.list_versions(spark, f"{table_path}/base", "version") if v < bound]
     after = bases[-1] if bases else -1
@@ -43,6 +61,7 @@ def current_ratings(spark: SparkSession, table_path: str, up_to: int | None = No
     if not paths:
         return spark.createDataFrame([], RATING_EVENTS)
     rows = spark.read.schema(RATING_EVENTS).parquet(*paths).select(*_COLUMNS)
+    rows = rows if only is None else only(rows)
     return rows if len(paths) == 1 else latest_per_pair(rows)
 
 
@@ -67,6 +86,7 @@ def prune(spark: SparkSession, table_path: str, keep: int = 2) -> None:
     for batch in workdir.list_versions(spark, f"{table_path}/delta", "batch"):
         if batch <= bases[-keep]:
             workdir.delete_dir(spark, f"{table_path}/delta/batch={batch}")
+    foldin.prune_folds(spark, table_path, bases[-keep])
 
 
 def _start(stream: DataFrame, on_batch, checkpoint: str, trigger: dict | None):
@@ -129,10 +149,12 @@ def refit_stream(
     every: int = 1,
     factorizer: ALSFactorizer | None = None,
     trigger: dict | None = None,
+    fold: bool = False,
 ):
     """Land rating events and refit after every ``every``-th micro-batch.
 
-    Returns the started query. ``trigger`` defaults to ``availableNow``, which
+    With ``fold``, a batch without a refit folds the ids it touches into the model there is
+    (``foldin.current_model`` reads the result). Returns the started query. ``trigger`` defaults to ``availableNow``, which
     takes in everything there is and stops; pass e.g. ``processingTime`` to keep
     going. New users and items simply become new rows.
     """
@@ -144,6 +166,8 @@ def refit_stream(
         write_delta(batch, batch_id, table_path)
         if (batch_id + 1) % every == 0:
             _refit(batch.sparkSession, table_path, batch_id, model_of)
+        elif fold:
+            foldin.fold_batch(batch.sparkSession, table_path, batch_id, model_of.hot_limit)
 
     return _start(stream, on_batch, checkpoint, trigger)
 

@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from ridgeline.plans import oracle, queries
 
 from conftest import SF_DIR
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
-TABLES = ["orders", "lineitem", "part", "events"]
+# The queries of the optional subpackage are tested with it.
+QUERIES = queries.queries()
+ORACLES = oracle.oracle_sql(queries.NUM_BLOCKS)
+TABLES = ["orders", "lineitem", "part", "events", "customer"]
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +29,8 @@ def rows_of(frame):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
