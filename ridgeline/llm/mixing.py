@@ -8,15 +8,15 @@ iteration is one grouped sum of as many numbers as there are domains, and a docu
 is a column expression of its posterior: no state is kept per iteration. Steps have
 Barzilai-Borwein length.
 
-Everything is a DataFrame expression. The classifier is naive Bayes on the last characters
-of words, hashed into a fixed number of buckets; the sum of a document's evidence is divided
-by the root of its word count, as neighbouring words are not independent. Tokens are words.
-
-Defined cases: a text without words has no tokens and the posterior of the labelled shares;
-rows that repeat a doc_id are one document whose words are put together, as are rows with a
-null one; labels that are null or name no target domain are not used; a domain without
-labels gets a small share; an empty table gives an empty result; other columns are never
-read. A total of zero tokens leaves every rate at one.
+Everything is a DataFrame expression. The classifier is naive Bayes on whole words, hashed into
+a fixed number of buckets; the sum of a document's evidence is divided by the root of its
+word count, as neighbouring words are not independent. Tokens are words.
+
+Defined cases: every row is a document of its own with its own rate and draw, whatever its
+doc_id, null and repeated ones included; a text without words has no tokens and the posterior
+of the labelled shares; labels that are null or name no target domain are not used; a domain
+without labels gets a small share; an empty table gives an empty result; other columns are
+never read. A total of zero tokens leaves every rate at one.
 """
 
 from __future__ import annotations
@@ -31,20 +31,21 @@ from ridgeline.workdir import new_run_dir, write_table
 
 #: Target shares of the registered query and of the pipeline.
 SHARES = {"good": 0.95, "junk": 0.05}
-BUCKETS = 4096
-ENDING = 3
+BUCKETS = 1 << 16
 #: Most labelled documents the classifier is fitted on.
 TRAIN_ROWS = 20_000
 SMOOTHING = 0.5
 ITERATIONS = 40
 TOLERANCE = 1e-6
+#: Iterations whose steps are kept as one expression before the rates are written.
+DEPTH = 6
 
 
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per word with its bucket; one row with nulls for a text without words."""
     words = F.explode_outer(F.split(F.col("text"), r"\s+")).alias("word")
-    found = docs.select("doc_id", *keep, words).withColumn("word", F.expr("nullif(word, '')"))
-    return found.withColumn("bucket", F.pmod(F.xxhash64(F.right("word", F.lit(ENDING))), F.lit(BUCKETS)))
+    found = docs.select(*keep, words).withColumn("word", F.expr("nullif(word, '')"))
+    return found.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float]]:
@@ -56,7 +57,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tupl
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(TRAIN_ROWS)
     )
-    marked = docs.join(F.broadcast(sample), "doc_id")
+    marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     shares = sample.agg(*[F.count_if(F.col("domain") == d) for d in domains]).first()
     total = sum(shares) + SMOOTHING * len(domains)
     log_shares = [math.log((n + SMOOTHING) / total) for n in shares]
@@ -76,21 +77,22 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tupl
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DataFrame:
-    """(doc_id, tokens, p0, p1, ...) per document."""
+    """(row, doc_id, tokens, p0, p1, ...) per row of (row, doc_id, text); ``row`` tells rows apart."""
     evidence, log_shares = fit_evidence(docs, labels, domains)
     k = range(len(domains))
     sums = (
-        _words(docs)
+        _words(docs, "row", "doc_id")
         .join(F.broadcast(evidence), "bucket", "left")
-        .groupBy("doc_id")
+        .groupBy("row", "doc_id")
         .agg(F.count("word").alias("tokens"), *[F.coalesce(F.sum(f"e{i}"), F.lit(0.0)).alias(f"s{i}") for i in k])
     )
     scale = F.sqrt(F.greatest(F.col("tokens"), F.lit(1)))
-    odds = sums.select("doc_id", "tokens", *[(F.col(f"s{i}") / scale + log_shares[i]).alias(f"o{i}") for i in k])
+    own = ["row", "doc_id", "tokens"]
+    odds = sums.select(*own, *[(F.col(f"s{i}") / scale + log_shares[i]).alias(f"o{i}") for i in k])
     top = F.greatest(*[F.col(f"o{i}") for i in k]) if len(domains) > 1 else F.col("o0")
-    weights = odds.select("doc_id", "tokens", *[F.exp(F.col(f"o{i}") - top).alias(f"w{i}") for i in k])
+    weights = odds.select(*own, *[F.exp(F.col(f"o{i}") - top).alias(f"w{i}") for i in k])
     whole = sum((F.col(f"w{i}") for i in k), F.lit(0.0))
-    return weights.select("doc_id", "tokens", *[(F.col(f"w{i}") / whole).alias(f"p{i}") for i in k])
+    return weights.select(*own, *[(F.col(f"w{i}") / whole).alias(f"p{i}") for i in k])
 
 
 def _step(rate: Column, slopes: np.ndarray, most: float | None) -> Column:
@@ -100,23 +102,32 @@ def _step(rate: Column, slopes: np.ndarray, most: float | None) -> Column:
     return F.least(moved, F.lit(float(most))) if most is not None else moved
 
 
-def fit_rates(members: DataFrame, targets: list[float], most: float | None = None) -> Column:
-    """The rate of a document as an expression of its posterior, for target token totals."""
+def fit_rates(members: DataFrame, targets: list[float], most: float | None = None) -> DataFrame:
+    """``members`` (tokens, p0, p1, ...) with the column ``rate`` for target token totals.
+
+    A rate is an expression of the posterior that grows by a step per iteration; every
+    ``DEPTH`` iterations it is written, so plans stay small however many iterations there are.
+    """
     k = len(targets)
     moments = [F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
     row = members.agg(F.sum("tokens"), *moments).first()
     if not row[0]:
-        return F.lit(1.0)
+        return members.withColumn("rate", F.lit(1.0))
     total = float(row[0])
     gram = np.array(row[1:], dtype=float).reshape(k, k) / total
     goal = np.array(targets, dtype=float) / total
     largest = float(np.linalg.eigvalsh(gram)[-1])
     shortest, longest = 1 / largest, 1e4 / largest
-    rate = before = F.lit(1.0)
-    size, last, best, best_gap = shortest, None, rate, math.inf
-    for _ in range(ITERATIONS):
+    columns, rated = members.columns, members
+    rate = before = best = F.lit(1.0)
+    size, last, best_gap = shortest, None, math.inf
+    for iteration in range(ITERATIONS):
+        if iteration and iteration % DEPTH == 0:
+            rated = rated.select(*columns, rate.alias("rate"), before.alias("before"), best.alias("best"))
+            rated = write_table(rated, new_run_dir(members.sparkSession, "mixing-rates"))
+            rate, before, best = F.col("rate"), F.col("before"), F.col("best")
         moved = F.sum(F.col("tokens") * (rate - before) * (rate - before))
-        row = members.agg(*[F.sum(rate * F.col("tokens") * F.col(f"p{i}")) for i in range(k)], moved).first()
+        row = rated.agg(*[F.sum(rate * F.col("tokens") * F.col(f"p{i}")) for i in range(k)], moved).first()
         residual = np.array(row[:k], dtype=float) / total - goal
         gap = float(residual @ residual)
         if gap < best_gap:
@@ -127,12 +138,12 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
             bend = float((residual - last) @ (residual - last))
             size = min(max(row[k] / total / bend, shortest), longest) if bend > 0 else shortest
         before, rate, last = rate, _step(rate, size * residual, most), residual
-    return best
+    return rated.select(*columns, best.alias("rate"))
 
 
-def copies(rate: Column, doc_id: Column) -> Column:
-    """How often a document is taken: the whole part of its rate, and once more by a hash of its id."""
-    chance = F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+def copies(rate: Column, *key: Column) -> Column:
+    """How often a row is taken: the whole part of its rate, and once more by a hash of its key."""
+    chance = F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("int")
 
 
@@ -142,25 +153,30 @@ def mix(
     targets: dict[str, float],
     budget: float,
     most: float | None = None,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """(doc_id, tokens, posterior, rate, copies) per document.
+    """(row, doc_id, tokens, posterior, rate, copies) per row.
 
     ``labels`` has (doc_id, domain); ``targets`` gives each domain's share of a total of
-    ``budget`` times the tokens there are; ``most`` bounds the rates.
+    ``budget`` times the tokens there are; ``most`` bounds the rates. ``row_col`` names a
+    column that tells rows apart; without one, rows are numbered as they are read.
     """
     domains = sorted(targets)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    row = F.monotonically_increasing_id() if row_col is None else docs[row_col]
+    rows = docs.select(
+        row.cast("long").alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")
+    )
     members = write_table(posteriors(rows, labels, domains), new_run_dir(docs.sparkSession, "mixing-members"))
     tokens = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     shares = sum(targets.values())
-    rate = fit_rates(members, [budget * tokens * targets[d] / shares for d in domains], most)
-    rated = members.withColumn("rate", rate)
+    rated = fit_rates(members, [budget * tokens * targets[d] / shares for d in domains], most)
     return rated.select(
+        "row",
         "doc_id",
         "tokens",
         F.struct(*[F.col(f"p{i}").alias(d) for i, d in enumerate(domains)]).alias("posterior"),
         "rate",
-        copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        copies(F.col("rate"), F.col("doc_id"), F.col("row")).alias("copies"),
     )
 
 

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from ridgeline.llm.words import PIECE, hash_stems, pieces
 
 BUCKETS = 1 << 20
-#: Most labelled rows that are fitted on.
+#: Most labelled documents that are fitted on, and uses of terms in them, one document at least.
 TRAIN_ROWS = 20_000
+TRAIN_USES = 20_000_000
 #: Buckets that fitting begins with, at most; it goes on with all.
 INPUTS = 512
 #: Chi-square below which a bucket may stand out by chance among all buckets.
@@ -237,11 +238,12 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS,
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_uses: int = TRAIN_USES) -> Model:
     """Fit on at most ``most_rows`` labelled documents, the first by a hash of their id.
 
-    ``labels`` has (doc_id, toxic). What reaches the driver is bounded by ``most_rows`` and
-    the number of buckets.
+    ``labels`` has (doc_id, toxic). Of rows that repeat an id one is fitted on, the first by a
+    hash of its text, and documents are taken until their terms have ``most_uses`` uses.
+    One task holds this sample and fits; the driver gets the model alone.
     """
     known = (
         labels.where("doc_id is not null and toxic is not null")
@@ -250,8 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Mode
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_rows)
     )
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    marked = texts.join(F.broadcast(known), "doc_id").withColumn("print", F.xxhash64("text"))
+    first = marked.groupBy("doc_id").agg(F.min("print").alias("print"))
+    sample = marked.join(F.broadcast(first), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [t.tobytes() for t in terms(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -259,12 +265,32 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Mode
                 names=["doc_id", "label", "terms"],
             )
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    sample = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
-    found = sample.mapInArrow(task, "doc_id long, label int, terms binary").toArrow().sort_by("doc_id")
-    rows = [np.frombuffer(t, dtype=np.int32) for t in found.column("terms").to_pylist()]
-    marked = np.array(found.column("label").to_pylist(), dtype=np.int64).reshape(-1)
-    return fit_rows(rows, marked)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, uses = [], 0
+        for batch in batches:
+            for doc_id, label, found in zip(*(c.to_pylist() for c in batch.columns)):
+                uses += len(found) // 4
+                if not sample or uses <= most_uses:
+                    sample.append((doc_id, label, np.frombuffer(found, dtype=np.int32)))
+        sample.sort(key=lambda row: row[0])
+        model = fit_rows([r for _, _, r in sample], np.array([m for _, m, _ in sample], dtype=np.int64))
+        kinds = (np.int32, np.float32, np.float32)
+        parts = [x.astype(t).tobytes() for x, t in zip((model.inputs, model.weights, model.factors), kinds)]
+        columns = [pa.array([x]) for x in (*parts, model.constant, model.factors.shape[1])]
+        yield pa.RecordBatch.from_arrays(columns, names=["inputs", "weights", "factors", "constant", "width"])
+
+    ready = sample.select("doc_id", "text", "label").mapInArrow(read, "doc_id long, label int, terms binary")
+    found = (
+        ready.repartition(1)
+        .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+        .mapInArrow(learn, "inputs binary, weights binary, factors binary, constant double, width long")
+        .first()
+    )
+    if found is None:
+        return fit_rows([], np.zeros(0, dtype=np.int64))
+    factors = np.frombuffer(found["factors"], dtype=np.float32).reshape(-1, found["width"])
+    inputs = np.frombuffer(found["inputs"], dtype=np.int32)
+    return Model(inputs, found["constant"], np.frombuffer(found["weights"], dtype=np.float32), factors)
 
 
 def score(model: Model, text: Column) -> Column:

@@ -54,8 +54,43 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == kept
 
 
-def test_dedup_stage_keeps_null_ids(spark):
-    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (None, "a b c d e f"), (None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()
-    assert sorted(map(repr, (r.doc_id for r in out))) == sorted(map(repr, [1, 3, None, None]))
+def test_dedup_stage_decides_per_row(spark):
+    a, b = "a b c d e f", "something else entirely is said here"
+    rows = [(1, a), (1, a), (None, a), (None, a), (2, a), (2, b), (3, "x"), (None, None), (4, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, component_id int, kept string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    want = [(1, a), (2, b), (3, "x"), (None, None), (4, ""), (None, "")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, want))
+    nulls = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.drop_near_duplicates(spark, nulls, SF_DIR).collect()) == [a, b]
+
+
+def test_mixing_stage_decides_per_row(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").selectExpr(
+        "if(doc_id % 2 = 0, doc_id, null) as doc_id", "text", "lang", "1 as row", "2 as tokens", "3 as rate", "4 as taken_id", "'x' as copies"
+    )
+    out = corpus_pipeline.mix_domains(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    left, there = (df.where("doc_id is null").count() for df in (out, docs))
+    assert 0.5 * there < left < there
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(None, None, None), (None, "", "en"), (7, None, None), (7, "  ", ""), (8, "word " * 250_000, "en"), (9, "fine text here", None), (9, "fine text here", None)]
+    docs = spark.createDataFrame(
+        [(i, t, x, 1, "s", 2) for i, t, x in rows], "doc_id long, text string, lang string, score int, sequence_id string, print int"
+    )
+    out = stage(spark, docs, SF_DIR)
+    if name == "packing":
+        pieces = out.collect()
+        assert {r.doc_id for r in pieces} == {None, 7, 8, 9}
+    else:
+        assert out.columns == docs.columns
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert set(kept) <= {(i, t) for i, t, _ in rows}
+        if name == "near_duplicates":
+            assert len(kept) == len(rows) - 1
+    assert stage(spark, docs.limit(0), SF_DIR).count() == 0
