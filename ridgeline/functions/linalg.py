@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 EXPR_MAX_RANK = 12
 KERNELS = ("auto", "sums", "batches")
 FACTOR_SCHEMA = "id int, features array<double>"
+COUNTED_SCHEMA = f"{FACTOR_SCHEMA}, n bigint"
 _OUTER_DOUBLES = 8_000_000  # bound on the temporary of one Gram step (64 MB)
 
 
@@ -133,8 +134,8 @@ def _merge_batches(batches, rank: int):
         yield _packed(*open_run)
 
 
-def _solve_batches(batches, rank: int, reg: float, packed: bool):
-    """x = (A + reg * n * I)^-1 v for all entities of a batch at once."""
+def _solve_batches(batches, rank: int, reg: float, packed: bool, counts: bool = False):
+    """x = (A + reg * n * I)^-1 v for all entities of a batch at once; with ``counts``, n too."""
     upper = np.triu_indices(rank)
     diagonal = np.arange(rank)
     for batch in batches:
@@ -158,7 +159,10 @@ def _solve_batches(batches, rank: int, reg: float, packed: bool):
             x = np.linalg.solve(a, v[:, :, None])[:, :, 0]
         except np.linalg.LinAlgError as exc:
             raise ValueError("singular system: use reg > 0") from exc
-        yield pa.RecordBatch.from_arrays([batch.column("id"), _list_array(x)], ["id", "features"])
+        columns = {"id": batch.column("id"), "features": _list_array(x)}
+        if counts:
+            columns["n"] = batch.column("n").cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
 
 def _packed(ids, n, a, v):
@@ -194,19 +198,19 @@ def packed_systems(joined: DataFrame, rank: int, merge_over: int | None) -> Data
     return placed.mapInArrow(lambda batches: _merge_batches(batches, rank), packed_schema())
 
 
-def solve_joined(joined: DataFrame, rank: int, reg: float) -> DataFrame:
+def solve_joined(joined: DataFrame, rank: int, reg: float, counts: bool = False) -> DataFrame:
     """Systems and solution in one pass, for rows as in ``packed_systems``."""
 
     def kernel(batches):
         systems = _merge_batches(_gram_batches(batches, rank), rank)
-        return _solve_batches(systems, rank, reg, True)
+        return _solve_batches(systems, rank, reg, True, counts)
 
-    return _gram_input(joined).mapInArrow(kernel, FACTOR_SCHEMA)
+    return _gram_input(joined).mapInArrow(kernel, COUNTED_SCHEMA if counts else FACTOR_SCHEMA)
 
 
-def solve_factors(systems: DataFrame, rank: int, reg: float) -> DataFrame:
-    """x = (A + reg * n * I)^-1 v for every entity."""
+def solve_factors(systems: DataFrame, rank: int, reg: float, counts: bool = False) -> DataFrame:
+    """x = (A + reg * n * I)^-1 v for every entity; with ``counts``, its number of ratings n too."""
     packed = "a" in systems.columns
     return systems.mapInArrow(
-        lambda batches: _solve_batches(batches, rank, reg, packed), FACTOR_SCHEMA
+        lambda batches: _solve_batches(batches, rank, reg, packed, counts), COUNTED_SCHEMA if counts else FACTOR_SCHEMA
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ridgeline import workdir
 from ridgeline.functions.linalg import KERNELS
 from ridgeline.operators import evaluate as ev
 from ridgeline.operators import predict
+from ridgeline.operators.gate import HalfStep
 from ridgeline.operators.init import initial_features
 from ridgeline.operators.layout import (
     BROADCAST_LIMIT,
@@ -21,6 +23,7 @@ from ridgeline.operators.layout import (
     build_layout,
     ratings_stats,
 )
+from ridgeline.operators.progress import FitLog, ratings_print
 from ridgeline.operators.quality import ON_DUPLICATE, checked_ratings, combine_repeats, resolve_duplicates
 
 TRACE_SCHEMA = "iteration int, mse double, rmse double, objective double"
@@ -161,7 +164,15 @@ class ALSFactorizer:
         metrics: bool = False,
         expected_users: int | None = None,
         expected_items: int | None = None,
+        resume: str | None = None,
+        on_iteration: Callable[[int], None] | None = None,
     ) -> ALSModel:
+        """Fit, and with ``resume`` go on from what an earlier fit committed in that folder.
+
+        The folder must be one that all executors reach; it is created if there is nothing in
+        it. ``on_iteration`` is called after each iteration has been committed; a fit that it
+        breaks off can be resumed.
+        """
         spark = ratings.sparkSession
         source = resolve_duplicates(checked_ratings(ratings), self.on_duplicate)
         base = source.select("user_id", "item_id", "rating")
@@ -188,63 +199,78 @@ class ALSFactorizer:
             if self.on_duplicate == "error":
                 _assert_unique(by_user)
             with block_partitioning(spark):
-                return self._iterate(spark, base, source, by_user, by_item, total, users, items, trace, metrics)
+                return self._iterate(
+                    spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume, on_iteration
+                )
         finally:
             for layout in layouts:
                 layout.unpersist()
             base.unpersist()
 
-    def _iterate(self, spark, base, source, by_user, by_item, total, users, items, trace, metrics):
-        """Half-steps are persisted, and every ``checkpoint_interval`` iterations and at
-        the end written to the shared folder, which cuts their lineage.
-
-        Plans stay that many iterations deep, and a lost executor costs at most the
-        half-steps since the last table.
+    def _iterate(
+        self, spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume, on_iteration
+    ):
+        """Each half-step is planned on the one before it. Every ``checkpoint_interval``
+        iterations, and at the end, both sides are written to the run's folder: one query
+        runs the half-steps since the last tables, each as the broadcast or exchange that the
+        next one needs. There is no other job. With a trace, metrics or a callback every
+        iteration is written.
+
+        What a half-step solved is observed while it runs: a vector per id, every rating met,
+        all values finite.
         """
-        run = workdir.new_run_dir(spark, "als")
+        every = 1 if trace or metrics or on_iteration else self.checkpoint_interval
+        weighted = "weight" in base.columns
+        expected = base.agg(F.sum("weight")).first()[0] if weighted else total
+        ids = {"user": users, "item": items}
+        facts = (self.rank, self.reg, self.seed, self.on_duplicate, total, ratings_print(base) if resume else 0)
+        log = FitLog(spark, resume or workdir.new_run_dir(spark, "als"), facts)
         trace_rows, metric_rows = [], []
-        held, written = [], []  # persisted half-steps, written tables
-        scored = source if "weight" in base.columns else base
-
-        def solved(layout, factors, iteration):
-            started = time.perf_counter()
-            result = layout.step(factors, self.rank, self.reg)
-            if iteration % self.checkpoint_interval == 0 or iteration == self.max_iter:
-                table = workdir.write_table(result, f"{run}/{layout.side}-factors-{iteration}")
-                written.append(f"{run}/{layout.side}-factors-{iteration}")
-            else:
-                table = result.persist(StorageLevel.MEMORY_AND_DISK)
-                table.count()
-                held.append(table)
-            if metrics:
-                rows = table.count()
-                metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))
-            return table
-
-        user, item = self._start(by_user), None
-        for iteration in range(1, self.max_iter + 1):
-            item = solved(by_item, user, iteration)
-            user = solved(by_user, item, iteration)
+        scored = source if weighted else base
+        user, item, done = self._start(by_user), None, log.last() if resume else 0
+        if done > self.max_iter:
+            raise ValueError(f"{resume} holds iteration {done}, after the {self.max_iter} that are asked for")
+        if done:
+            user, item = log.factors("user", done), log.factors("item", done)
+
+        waiting: list[HalfStep] = []
+        for iteration in range(done + 1, self.max_iter + 1):
+            commit = iteration % every == 0 or iteration == self.max_iter
+            for layout in (by_item, by_user):
+                started = time.perf_counter()
+                step = HalfStep(layout.side, iteration, ids[layout.side], expected)
+                found = step.watched(layout.step(user if layout is by_item else item, self.rank, self.reg, counts=True))
+                waiting.append(step)
+                if commit:
+                    found = log.write(found, layout.side, iteration)
+                    while waiting:
+                        rows = waiting.pop(0).checked()
+                    metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))
+                if layout is by_item:
+                    item = found
+                else:
+                    user = found
+            if not commit:
+                continue
+            log.commit(iteration)
             if trace:
                 row = ev.objective(
                     user, item, scored, self.rank, self.reg, broadcast_limit=self.broadcast_limit
                 ).first()
                 trace_rows.append((iteration, row["mse"], row["rmse"], row["objective"]))
-            elif iteration == 1:
+            else:
                 base.unpersist()  # both layouts are filled now
-            if iteration % self.checkpoint_interval == 0 or iteration == self.max_iter:
-                while held:  # both sides are tables now; nothing reads what came before
-                    held.pop().unpersist()
-                while len(written) > 2:
-                    workdir.delete_dir(spark, written.pop(0))
+            if on_iteration is not None:
+                on_iteration(iteration)
 
+        run = log.path
         rated = source.select("user_id", "item_id", "rating")
         if self.on_duplicate == "keep":
             rated = combine_repeats(rated)
         model = ALSModel(user, item, self.rank, self.reg, users, items, run, rated)
         if trace:
             model.trace = spark.createDataFrame(trace_rows, TRACE_SCHEMA)
-        if metrics:
+        if metrics:  # every iteration was written, so each half-step ran by itself
             model.metrics = spark.createDataFrame(metric_rows, METRICS_SCHEMA)
         return model
 

@@ -167,11 +167,11 @@ class Layout:
             return linalg.merge_systems(summed, rank)
         return summed.drop("block")
 
-    def step(self, factors: DataFrame, rank: int, reg: float) -> DataFrame:
-        """Solve this side for fixed counterpart factors."""
+    def step(self, factors: DataFrame, rank: int, reg: float, counts: bool = False) -> DataFrame:
+        """Solve this side for fixed counterpart factors; ``counts`` adds the ratings met per id."""
         if self.batches and not self.merge:
-            return linalg.solve_joined(self._by_id(factors, rank), rank, reg)
-        return linalg.solve_factors(self.systems(factors, rank), rank, reg)
+            return linalg.solve_joined(self._by_id(factors, rank), rank, reg, counts)
+        return linalg.solve_factors(self.systems(factors, rank), rank, reg, counts)
 
 
 def choose_strategy(other_ids: int, rank: int, broadcast_limit: int) -> str:

@@ -240,6 +240,8 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         ("recommend_grid", "recommend_top5"),
         ("in_blocks_split", "in_blocks_item"),
         ("stream_refit_tail_mse", "stream_refit_mse"),
+        ("stream_headered", "headered_roundtrip"),
+        ("als_resumed_factors", "factors_save_load"),
     ):
         known[name] = known[as_in]
     known["als_rank20_gradient"] = query(

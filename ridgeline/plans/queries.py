@@ -18,6 +18,7 @@ from ridgeline.plans.oracle import ITERATIONS, REG
 from ridgeline.schemas import FACTORS
 from ridgeline.sources import dense, headered
 from ridgeline.streaming import counts, foldin, lists, source, upsert
+from ridgeline.streaming import headered as headered_text
 
 NUM_BLOCKS = 8
 RANK = 2
@@ -442,6 +443,42 @@ def stream_rating_lists(spark, sf_dir):
     return lists.read_rating_lists(spark, f"{path}/checkpoint").select("id", "other_id", "rating")
 
 
+def stream_headered(spark, sf_dir):
+    """R1 as one text that is cut inside items, arriving in three steps; the stream starts anew for each."""
+    path = workdir.new_run_dir(spark, "headered-stream")
+    ratings = order_ratings(spark, sf_dir, dated=True)
+    line = F.concat_ws(",", F.col("user_id").cast("string"), F.col("rating").cast("string"), F.col("rated_on").cast("string"))
+    lines = ratings.select("item_id", "user_id", line.alias("line"))
+    heads = ratings.select("item_id").distinct().select(
+        "item_id", F.lit(-1).alias("user_id"), F.concat(F.col("item_id").cast("string"), F.lit(":")).alias("line")
+    )
+    cut = lines.unionByName(heads).repartitionByRange(6, "item_id", "user_id").sortWithinPartitions("item_id", "user_id")
+    text = workdir.write_table(cut.withColumn("cut", F.spark_partition_id()), f"{path}/lines")
+    for step in range(3):
+        here = text.where((F.col("cut") >= 2 * step) & (F.col("cut") < 2 * step + 2))
+        ordered = here.repartitionByRange(2, "item_id", "user_id").sortWithinPartitions("item_id", "user_id")
+        ordered.select("line").write.text(f"{path}/text/step={step}")
+        headered_text.headered_stream(spark, f"{path}/text/*", f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    landed = headered_text.landed_ratings(spark, f"{path}/table")
+    return landed.select("user_id", "item_id", "rating", F.col("rated_on").cast("string").alias("rated_on"))
+
+
+def als_resumed_factors(spark, sf_dir):
+    """A fit that breaks off after one iteration, and another that goes on from what it left."""
+    ratings = order_ratings(spark, sf_dir)
+    path = workdir.new_run_dir(spark, "als-resumed")
+    fit = ALSFactorizer(rank=RANK, reg=REG, max_iter=ITERATIONS)
+
+    def lost(iteration):
+        raise InterruptedError(f"driver lost after iteration {iteration}")
+
+    try:
+        fit.fit(ratings, resume=path, on_iteration=lost)
+    except InterruptedError:
+        pass
+    return _both_sides(fit.fit(ratings, resume=path))
+
+
 def fold_in_users(spark, sf_dir):
     """Customers of three nations turn their ratings round; only their vectors are solved again."""
     ratings = order_ratings(spark, sf_dir)
@@ -540,6 +577,8 @@ def queries():
         "stream_latest_ratings": stream_latest_ratings,
         "stream_rating_counts": stream_rating_counts,
         "stream_rating_lists": stream_rating_lists,
+        "stream_headered": stream_headered,
+        "als_resumed_factors": als_resumed_factors,
         "fold_in_users": fold_in_users,
         "stream_refit_mse": stream_refit_mse,
         "stream_refit_tail_mse": stream_refit_tail_mse,

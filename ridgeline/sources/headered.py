@@ -18,21 +18,24 @@ _CARRY_ROW_BYTES = 64
 _CARRY_BROADCAST_LIMIT = 64 << 20
 
 
+def line_columns(value: Column) -> list[Column]:
+    """The trimmed line and, if it is a header, its value."""
+    line = F.trim(value)
+    number = F.get(F.split(line, ":"), F.lit(0)).try_cast("int").cast("bigint")
+    return [line.alias("line"), F.when(line.endswith(":"), F.coalesce(number, F.lit(_BAD))).alias("header")]
+
+
 def _lines(spark: SparkSession, paths) -> DataFrame:
     """Trimmed lines with their split, a unique position and the header value."""
-    line = F.trim(F.col("value"))
-    is_header = line.endswith(":")
-    number = F.get(F.split(line, ":"), F.lit(0)).try_cast("int").cast("bigint")
     return spark.read.text(paths).select(
-        line.alias("line"),
+        *line_columns(F.col("value")),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("pos"),
-        F.when(is_header, F.coalesce(number, F.lit(_BAD))).alias("header"),
     )
 
 
-def _fill_down(lines: DataFrame) -> DataFrame:
+def fill_down(lines: DataFrame) -> DataFrame:
     """Add ``seen``: the latest header of the same split at or before the line.
 
     Tasks read a split in file order, so a forward fill over Arrow batches does
@@ -93,7 +96,7 @@ def scan_headered_lines(spark: SparkSession, paths) -> DataFrame:
     """
     lines = _lines(spark, paths).withColumn("split_file", F.xxhash64("file"))
     lines = lines.select("line", "file", "split_file", "split_start", "pos", "header")
-    filled = workdir.write_table(_fill_down(lines), workdir.new_run_dir(spark, "headered-lines"))
+    filled = workdir.write_table(fill_down(lines), workdir.new_run_dir(spark, "headered-lines"))
     carry = _carry(spark, filled)
     facts = carry.agg(
         F.count(F.lit(1)).alias("splits"),
@@ -110,6 +113,11 @@ def scan_headered_lines(spark: SparkSession, paths) -> DataFrame:
     lost = F.raise_error(F.concat(F.lit("no split starts at "), F.col("split_start").cast("string")))
     filled = filled.withColumn("carried", F.when(F.col("found"), F.col("carried")).otherwise(lost.cast("bigint")))
 
+    return classified(filled)
+
+
+def classified(filled: DataFrame) -> DataFrame:
+    """Parsed fields and reasons of lines with ``seen`` and, for what precedes it, ``carried``."""
     fields = F.split("line", ",")
     parsed = filled.select(
         "line",
