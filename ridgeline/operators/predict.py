@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.linalg import _list_array, _matrix
 from ridgeline.operators.evaluate import predicted_pairs
 from ridgeline.operators.index import dense_index
+from ridgeline.operators.prune import recommend_pruned
 
 BROADCAST_LIMIT = 64 << 20
 TILE_CELLS = 2_000_000
@@ -301,13 +302,15 @@ def predict_rows(
 
 def recommend(
     model, k: int = 10, exclude_rated: bool = True, ratings: DataFrame | None = None,
-    broadcast_limit=BROADCAST_LIMIT, user_block=USER_BLOCK, item_block=ITEM_BLOCK,
+    broadcast_limit=BROADCAST_LIMIT, user_block=USER_BLOCK, item_block=ITEM_BLOCK, prune: bool = False,
 ) -> DataFrame:
     """The k best items per user: (user_id, item_id, prediction, rank).
 
     Order: prediction descending, item id ascending. With ``exclude_rated`` the
     items a user has rated are left out; ``ratings`` defaults to those fitted.
     Repeated pairs are combined before anything is gathered per user.
+    With ``prune``, broadcast items are taken by falling length and a user stops
+    where no more can be found; the result has ``blocks_read`` besides.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -331,6 +334,8 @@ def recommend(
                 .agg(F.collect_set("item_id").alias("seen"))
             )
             people = people.join(seen, "id", "left")
+        if prune:
+            return recommend_pruned(people, shared, rank, k)
 
         def emit(batch, start, stop, ids, item_ids, scores):
             if exclude_rated:

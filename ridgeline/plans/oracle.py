@@ -241,6 +241,7 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         ("in_blocks_split", "in_blocks_item"),
         ("stream_refit_tail_mse", "stream_refit_mse"),
         ("stream_headered", "headered_roundtrip"),
+        ("recommend_pruned", "recommend_top5"),
         ("als_resumed_factors", "factors_save_load"),
     ):
         known[name] = known[as_in]

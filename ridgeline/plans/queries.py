@@ -388,6 +388,11 @@ def recommend_top5(spark, sf_dir):
     return best.select("user_id", "item_id", "rank", rounded("prediction").alias("prediction"))
 
 
+def recommend_pruned(spark, sf_dir):
+    best = _fit(order_ratings(spark, sf_dir)).recommend(5, prune=True)
+    return best.select("user_id", "item_id", "rank", rounded("prediction").alias("prediction"))
+
+
 def evaluate_mse(spark, sf_dir):
     ratings = order_ratings(spark, sf_dir)
     return _rounded_errors(_fit(ratings).evaluate(ratings))
@@ -577,6 +582,7 @@ def queries():
         "stream_latest_ratings": stream_latest_ratings,
         "stream_rating_counts": stream_rating_counts,
         "stream_rating_lists": stream_rating_lists,
+        "recommend_pruned": recommend_pruned,
         "stream_headered": stream_headered,
         "als_resumed_factors": als_resumed_factors,
         "fold_in_users": fold_in_users,
