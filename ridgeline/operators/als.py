@@ -210,11 +210,11 @@ class ALSFactorizer:
     def _iterate(
         self, spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume, on_iteration
     ):
-        """Each half-step is planned on the one before it. Every ``checkpoint_interval``
-        iterations, and at the end, both sides are written to the run's folder: one query
-        runs the half-steps since the last tables, each as the broadcast or exchange that the
-        next one needs. There is no other job. With a trace, metrics or a callback every
-        iteration is written.
+        """Each half-step is planned on the one before it, which is marked to be kept. Every
+        ``checkpoint_interval`` iterations, and at the end, both sides are written to the run's
+        folder: one query runs the half-steps since the last tables, each as the broadcast or
+        exchange that the next one needs. There is no other job. With a trace, metrics or a
+        callback every iteration is written.
 
         What a half-step solved is observed while it runs: a vector per id, every rating met,
         all values finite.
@@ -234,6 +234,7 @@ class ALSFactorizer:
             user, item = log.factors("user", done), log.factors("item", done)
 
         waiting: list[HalfStep] = []
+        held: list[DataFrame] = []
         for iteration in range(done + 1, self.max_iter + 1):
             commit = iteration % every == 0 or iteration == self.max_iter
             for layout in (by_item, by_user):
@@ -246,6 +247,8 @@ class ALSFactorizer:
                     while waiting:
                         rows = waiting.pop(0).checked()
                     metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))
+                else:
+                    held.append(found := found.persist(StorageLevel.MEMORY_AND_DISK))
                 if layout is by_item:
                     item = found
                 else:
@@ -253,6 +256,8 @@ class ALSFactorizer:
             if not commit:
                 continue
             log.commit(iteration)
+            while held:  # both sides are tables now; nothing reads what came before
+                held.pop().unpersist()
             if trace:
                 row = ev.objective(
                     user, item, scored, self.rank, self.reg, broadcast_limit=self.broadcast_limit
