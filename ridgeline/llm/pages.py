@@ -9,7 +9,8 @@ negative (an advert or a form between two paragraphs) are left out.
 Labelled pages are those with an ``article`` or ``main`` element: their words inside are
 positive, all others negative. Counts are taken over all pages and hashed into a fixed
 number of buckets; a fixed list of element and class names of page furniture adds prior
-counts, so pages of unseen layout and tables without labelled pages work too.
+counts, so pages of unseen layout and tables without labelled pages work too. Names speak
+only on parts of a page: not on ``body``, nor on what wraps the main element or most words.
 
 Text of a block has its character references decoded and white space runs turned into one
 space; blocks are joined in page order by one space. Inline tags leave no space.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 1 << 16
 PRIOR = 25.0
 SMOOTHING = 5.0
 #: Bounds of a word's score and of what a tag takes away.
 MOST = 4.0
-#: What one open element can speak for a word; names of furniture outweigh it.
+#: What open elements can speak for a word; against it each may say up to MOST.
 FEATURE_MOST = 2.0
 TAG_LEAST, TAG_MOST = 0.2, 1.5
 
@@ -73,74 +75,155 @@ _FURNITURE = frozenset(
 )
 
 
+#: Words that make a class name the state of a page, such as ``has-sidebar``, not the name of a part.
+_STATES = frozenset("has have no not with without is hide show enabled disabled open opened closed active".split())
+#: Elements that stay furniture whatever part of the page they hold.
+_ALWAYS = frozenset("nav footer aside title".split())
+#: From this share of a page's words on, an element is a wrapper unless it is furniture by its whole name.
+WRAPPER = 0.5
+
+
 class _Element:
-    __slots__ = ("name", "features", "main")
-
-    def __init__(self, name: str, features: tuple[str, ...], main: bool):
-        self.name, self.features, self.main = name, features, main
-
-
-def _features(name: str, rest: str, inside_main: bool) -> tuple[str, ...]:
-    found = [] if name in _NEUTRAL else [name]
-    for groups in _NAMES.findall(rest) if rest else ():
-        for part in _PART.findall("".join(groups).lower()):
-            found.append("." + part)
-    if name == "header" and not inside_main:
-        found.append("page-header")
-    return tuple(found)
-
-
-def items(page: str) -> Iterator[tuple[str, str, list[_Element]]]:
-    """('text', raw text, open elements) and ('tag', name, open elements) in page order."""
-    open_: list[_Element] = []
-    for token in _TOKEN.finditer(page):
-        text, name = token["text"], token["name"]
-        if text is not None:
-            yield "text", text, open_
-        elif name is not None:
-            name = name.lower()
-            if token["end"]:
-                at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i].name == name), None)
-                if at is not None:
-                    del open_[at:]
+    """An element with the words below it, the features it adds and those in force below it."""
+
+    __slots__ = ("name", "parent", "parts", "furniture", "words", "main", "features", "context")
+
+    def __init__(self, name: str, rest: str, parent: _Element | None):
+        self.name, self.parent, self.words, self.main = name, parent, 0, False
+        self.context: frozenset[str] = frozenset()
+        self.parts: list[str] = []
+        self.furniture = name in _ALWAYS
+        for groups in _NAMES.findall(rest) if rest and name not in ("html", "body") else ():
+            for token in "".join(groups).lower().split():
+                parts = _PART.findall(token)
+                if parts and _STATES.isdisjoint(parts):
+                    self.parts += parts
+                    self.furniture |= _FURNITURE.issuperset(parts)
+
+    def ancestors(self) -> Iterator[_Element]:
+        above = self.parent
+        while above is not None:
+            yield above
+            above = above.parent
+
+
+class Page:
+    """Words and tags of a page in order, each with its innermost element, and what the elements are.
+
+    The main elements are the outermost ``article`` and ``main`` that are neither named nor placed as
+    furniture (an ``article`` of the class ``comment``); if all are, the largest, where it has most
+    of the page's words. What holds a main element, or most words without being furniture by
+    its whole name, is a wrapper and says nothing about the words below it.
+    """
+
+    def __init__(self, page: str):
+        self.items: list[tuple[str, str, int, _Element | None]] = []
+        self.elements: list[_Element] = []
+        self.words = 0
+        self._read(page)
+        for element in reversed(self.elements):  # children come after their parents
+            if element.parent is not None:
+                element.parent.words += element.words
             else:
-                if name in _CLOSES_P or name == "li":
-                    closed = "li" if name == "li" else "p"
-                    for i in range(len(open_) - 1, -1, -1):
-                        if open_[i].name == closed:
-                            del open_[i:]
-                            break
-                        if open_[i].name not in _INLINE:
-                            break
-                if name not in _VOID:
-                    inside = bool(open_) and open_[-1].main
-                    element = _Element(name, _features(name, token["rest"], inside), inside or name in _MAIN)
-                    open_.append(element)
-            yield "tag", name, open_
-        elif token["raw"]:
-            yield "tag", token["raw"].lower(), open_
+                self.words += element.words
+        self._judge()
+
+    def _read(self, page: str) -> None:
+        open_: list[_Element] = []
+        for token in _TOKEN.finditer(page):
+            text, name = token["text"], token["name"]
+            if text is not None:
+                n = len(text.split())
+                if open_:
+                    open_[-1].words += n
+                else:
+                    self.words += n
+                self.items.append(("text", text, n, open_[-1] if open_ else None))
+            elif name is not None:
+                name = name.lower()
+                if token["end"]:
+                    at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i].name == name), None)
+                    if at is not None:
+                        del open_[at:]
+                else:
+                    if name in _CLOSES_P or name == "li":
+                        closed = "li" if name == "li" else "p"
+                        for i in range(len(open_) - 1, -1, -1):
+                            if open_[i].name == closed:
+                                del open_[i:]
+                                break
+                            if open_[i].name not in _INLINE:
+                                break
+                    if name not in _VOID:
+                        open_.append(_Element(name, token["rest"], open_[-1] if open_ else None))
+                        self.elements.append(open_[-1])
+                self.items.append(("tag", name, 0, open_[-1] if open_ else None))
+            elif token["raw"]:
+                self.items.append(("tag", token["raw"].lower(), 0, open_[-1] if open_ else None))
+
+    def _judge(self) -> None:
+        below_furniture, below_main = set(), set()
+        clear, placed = [], []
+        for element in self.elements:
+            if element.parent in below_furniture or (element.furniture and element.name not in _MAIN):
+                below_furniture.add(element)
+            if element.parent in below_main:
+                below_main.add(element)
+            elif element.name in _MAIN:
+                named = element.furniture and element.name == "article"
+                if not named:
+                    below_main.add(element)
+                (placed if named or element in below_furniture else clear).append(element)
+        mains = clear
+        if not clear and placed:
+            largest = max(placed, key=lambda element: element.words)
+            mains = [largest] if largest.words >= WRAPPER * self.words else []
+        wrappers = {above for element in mains for above in element.ancestors()}
+        for element in self.elements:
+            above = element.parent
+            is_main = element in mains
+            large = element.words >= WRAPPER * self.words and not element.furniture
+            added = [] if element.name in _NEUTRAL else [element.name]
+            if element in wrappers or (large and not is_main):
+                added = [name for name in added if name not in _FURNITURE]
+            elif not is_main:
+                added += ["." + part for part in element.parts]
+                if element.name in _MAIN and element.furniture:
+                    added.remove(element.name)
+            inside = above is not None and above.main
+            if element.name == "header" and not inside and element not in wrappers:
+                added.append("page-header")
+            element.main = is_main or (inside and not (element.furniture and not large))
+            element.features = tuple(added)
+            element.context = (above.context if above is not None else frozenset()).union([element.features] if added else [])
+        self.labelled = bool(mains)
 
 
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
 
-def _context(open_: list[_Element]) -> frozenset[str]:
-    return frozenset(f for element in open_ for f in element.features)
+_NO_CONTEXT: frozenset[tuple[str, ...]] = frozenset()
 
 
 def count_page(page: str, words: np.ndarray, tags: np.ndarray) -> bool:
     """Add a labelled page's words and tags, inside and outside, to counts by bucket; False if not labelled."""
     if "<article" not in (low := page.lower()) and "<main" not in low:
         return False
-    for kind, value, open_ in items(page):
-        inside = int(bool(open_) and open_[-1].main)
+    read = Page(page)
+    if not read.labelled:
+        return False
+    below: Counter[tuple[frozenset, int]] = Counter()
+    for kind, value, n, element in read.items:
+        inside = int(element is not None and element.main)
         if kind == "tag":
             tags[_bucket(value), inside] += 1
-        elif n := len(value.split()):
-            words[BUCKETS, inside] += n
-            for feature in _context(open_):
-                words[_bucket(feature), inside] += n
+        elif n:
+            below[element.context if element is not None else _NO_CONTEXT, inside] += n
+    for (context, inside), n in below.items():
+        words[BUCKETS, inside] += n
+        for feature in {f for features in context for f in features}:
+            words[_bucket(feature), inside] += n
     return True
 
 
@@ -153,20 +236,28 @@ class Weights:
         counts = words[:BUCKETS].copy()
         for name in _FURNITURE | {"page-header"}:
             for feature in (name, "." + name):
-                counts[_bucket(feature), 0] += PRIOR + 0.2 * words[BUCKETS, 0]
+                counts[_bucket(feature), 0] += PRIOR
         smoothed = (counts + SMOOTHING * share) / share
-        self.words = np.minimum(np.log(smoothed[:, 1] / smoothed[:, 0]), FEATURE_MOST)
+        self.words = np.clip(np.log(smoothed[:, 1] / smoothed[:, 0]), -MOST, FEATURE_MOST)
         self.tags = -np.clip(np.log((tags[:, 0] + 1) / (tags[:, 1] + 1)), TAG_LEAST, TAG_MOST)
         self.tags[[_bucket(name) for name in _NEUTRAL]] = -TAG_LEAST
-        self._known: dict[frozenset[str], float] = {}
+        self._known: dict[frozenset, float] = {}
+
+    def word(self, context: frozenset[tuple[str, ...]]) -> float:
+        """Score of a word below elements that add these features.
 
-    def word(self, open_: list[_Element]) -> float:
-        context = _context(open_)
+        Elements speak one by one, each at most ``FEATURE_MOST`` for a word and ``MOST`` against it,
+        and all that speak for it together no more than one, so one that is clearly furniture decides.
+        """
         if context not in self._known:
             if len(self._known) > 100_000:
                 self._known.clear()
-            found = sum(self.words[_bucket(f)] for f in context)
-            self._known[context] = float(np.clip(1 + found, -MOST, MOST))
+            said = [
+                float(np.clip(sum(self.words[_bucket(f)] for f in features), -MOST, FEATURE_MOST)) for features in context
+            ]
+            speaks_for = min(sum(x for x in said if x > 0), FEATURE_MOST)
+            against = max(sum(x for x in said if x < 0), -MOST)
+            self._known[context] = 1 + speaks_for + against
         return self._known[context]
 
     def tag(self, name: str) -> float:
@@ -177,14 +268,14 @@ def extract_text(page: str | None, weights: Weights) -> str:
     """The main text of one page."""
     scores: list[float] = []
     texts: list[str | None] = []
-    for kind, value, open_ in items(page or ""):
+    for kind, value, n, element in Page(page or "").items:
         if kind == "tag":
             scores.append(weights.tag(value))
             texts.append(None if value not in _INLINE else "")
         else:
-            score = weights.word(open_)
-            scores.append(score * len(value.split()))
-            texts.append(value if score > 0 else "" if value.strip() else value)
+            score = weights.word(element.context if element is not None else _NO_CONTEXT)
+            scores.append(score * n)
+            texts.append(value if score > 0 else "" if n else value)
     best, first, last, total, start = 0.0, 0, 0, 0.0, 0
     for i, score in enumerate(scores):
         if total <= 0:

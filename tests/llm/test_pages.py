@@ -3,6 +3,8 @@
 import html as std_html
 import re
 
+import pytest
+
 from ridgeline.llm import pages, queries
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -59,3 +61,55 @@ def test_rows_of_every_kind(spark):
     assert texts[5] == ["open bold"] * 2 and texts[None] == ["a < b"]
     assert texts[7] == [" ".join(["long text"] * 50000)]
     assert pages.main_text(table.limit(0)).count() == 0
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {i} holds a few plain words of a story, and then some more.</p>" for i in range(12))
+STORY = " ".join(f"Paragraph {i} holds a few plain words of a story, and then some more." for i in range(12))
+FRAME = '<nav><a href="/">Home</a> <a href="/b">Blog</a></nav>{}<footer>A notice of rights</footer>'
+WRAPPED = [
+    f'<body><div id="content">{PARAGRAPHS}</div></body>',
+    f'<body class="has-sidebar single"><article>{PARAGRAPHS}</article></body>',
+    f'<body class="has-sidebar single"><div>{PARAGRAPHS}</div></body>',
+    f'<div id="main" class="no-ads search-enabled">{PARAGRAPHS}</div>',
+    f'<body class="has-sidebar with-toolbar comments-open"><main>{PARAGRAPHS}</main></body>',
+    f'<form id="aspnetForm">{PARAGRAPHS}</form>',
+    f'<div class="page menu-closed">{PARAGRAPHS}</div>',
+    f'<div class="sidebar-left layout"><div class="widget-area wide">{PARAGRAPHS}</div></div>',
+    f'<div class="sidebar"><article class="post related">{PARAGRAPHS}</article></div>',
+    f'<form><main class="search">{PARAGRAPHS}</main></form>',
+    '<body class="menu">' + FRAME.format(f'<div class="search-page">{PARAGRAPHS}</div>'),
+]
+
+
+@pytest.fixture(scope="module")
+def both_weights(spark):
+    table = spark.read.parquet(f"{SF_DIR}/pages.parquet")
+    return [pages.fit(table), pages.fit(table.limit(0))]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers_say_nothing(both_weights, page):
+    for weights in both_weights:
+        assert pages.extract_text(page, weights) == STORY
+
+
+def test_furniture_goes_whatever_its_size(both_weights):
+    note = "<p>A reader writes that this was a nice story to read.</p>"
+    for weights in both_weights:
+        for comments in (
+            f'<section class="comments">{"<article>" + note * 30 + "</article>"}</section>',
+            f'<article class="comment">{note * 30}</article>' * 2,
+            f'<div id="comments"><article class="comment">{note}</article></div>',
+        ):
+            assert pages.extract_text(f"<article>{PARAGRAPHS}</article>{comments}", weights) == STORY
+            assert pages.extract_text(f"<main><article>{PARAGRAPHS}</article>{comments}</main>", weights) == STORY
+        page = f'<div class="content">{PARAGRAPHS}</div><div id="comments">{note * 30}</div>'
+        assert pages.extract_text(page, weights) == STORY
+        within = PARAGRAPHS.replace("</p><p>Paragraph 6", '</p><div class="ad">Buy it now</div><p>Paragraph 6')
+        assert pages.extract_text(f'<article class="post content">{within}</article>', weights) == STORY
+        assert pages.extract_text("<nav>" + note + "</nav>", weights) == ""
+
+
+def test_deep_nesting_is_linear(both_weights):
+    page = "<div class=a>" * 3000 + PARAGRAPHS
+    assert pages.extract_text(page, both_weights[0]) == STORY
