@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ridgeline import workdir
 from ridgeline.functions.linalg import KERNELS
 from ridgeline.operators import evaluate as ev
-from ridgeline.operators import predict
+from ridgeline.operators import gradient, predict
 from ridgeline.operators.gate import HalfStep
 from ridgeline.operators.init import initial_features
 from ridgeline.operators.layout import (
@@ -27,6 +27,7 @@ from ridgeline.operators.progress import FitLog, ratings_print
 from ridgeline.operators.quality import ON_DUPLICATE, checked_ratings, combine_repeats, resolve_duplicates
 
 TRACE_SCHEMA = "iteration int, mse double, rmse double, objective double"
+SOLVERS = ("direct", "gradient")
 METRICS_SCHEMA = "iteration int, side string, rows bigint, seconds double"
 
 
@@ -112,7 +113,9 @@ class ALSFactorizer:
     """ALS with count-weighted ridge regularisation and deterministic start.
 
     Each iteration solves the items for fixed users, then the users for fixed
-    items; entity x with n_x ratings gets x = (F'F + reg * n_x * I)^-1 F'r.
+    items; entity x with n_x ratings gets x = (F'F + reg * n_x * I)^-1 F'r. The ``direct`` solver forms
+    the systems; ``gradient`` searches from the factors of the iteration before without forming
+    them, for ranks whose square is too much to send, and writes every iteration.
     """
 
     def __init__(
@@ -128,6 +131,7 @@ class ALSFactorizer:
         hot_limit: int | None = None,
         kernel: str = "auto",
         checkpoint_interval: int = 3,
+        solver: str = "direct",
     ):
         if rank < 1:
             raise ValueError("rank must be at least 1")
@@ -145,10 +149,15 @@ class ALSFactorizer:
             raise ValueError(f"kernel must be one of {KERNELS}, got {kernel!r}")
         if checkpoint_interval < 1:
             raise ValueError("checkpoint_interval must be at least 1")
+        if solver not in SOLVERS:
+            raise ValueError(f"solver must be one of {SOLVERS}, got {solver!r}")
+        if solver == "gradient" and (strategy == "shuffle" or kernel == "sums"):
+            raise ValueError("the gradient solver needs strategy 'broadcast' or 'blocks' and batches")
         self.rank = rank
         self.reg = reg
         self.max_iter = max_iter
-        self.kernel = kernel
+        self.kernel = "batches" if solver == "gradient" else kernel
+        self.solver = solver
         self.checkpoint_interval = checkpoint_interval
         self.num_blocks = num_blocks
         self.strategy = strategy
@@ -219,7 +228,8 @@ class ALSFactorizer:
         What a half-step solved is observed while it runs: a vector per id, every rating met,
         all values finite.
         """
-        every = 1 if trace or metrics or on_iteration else self.checkpoint_interval
+        search = self.solver == "gradient"
+        every = 1 if trace or metrics or on_iteration or search else self.checkpoint_interval
         weighted = "weight" in base.columns
         expected = base.agg(F.sum("weight")).first()[0] if weighted else total
         ids = {"user": users, "item": items}
@@ -240,10 +250,18 @@ class ALSFactorizer:
             for layout in (by_item, by_user):
                 started = time.perf_counter()
                 step = HalfStep(layout.side, iteration, ids[layout.side], expected)
-                found = step.watched(layout.step(user if layout is by_item else item, self.rank, self.reg, counts=True))
+                fixed, before = (user, item) if layout is by_item else (item, user if iteration > 1 else None)
+                if search:
+                    path = workdir.new_run_dir(spark, "gradient")
+                    solved = gradient.solve(layout, fixed, self.rank, self.reg, path, start=before)
+                else:
+                    solved = layout.step(fixed, self.rank, self.reg, counts=True)
+                found = step.watched(solved)
                 waiting.append(step)
                 if commit:
                     found = log.write(found, layout.side, iteration)
+                    if search:
+                        workdir.delete_dir(spark, path)
                     while waiting:
                         rows = waiting.pop(0).checked()
                     metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))

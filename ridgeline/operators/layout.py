@@ -113,6 +113,7 @@ class Layout:
     batches: bool = False
     hot_other: DataFrame | None = None
     routes: DataFrame | None = None
+    hot: DataFrame | None = None
 
     def persist(self) -> "Layout":
         with fixed_partitioning(self.data.sparkSession):
@@ -205,10 +206,11 @@ def build_layout(
     rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating", *extra)
 
     # Sums over entities combine map-side under ``shuffle``; batch kernels do not.
+    own_hot = None
     cut = own_stats.max_per_id > limit and (strategy != "shuffle" or batches)
     if cut:
-        hot = skew.hot_ids(side_counts(ratings, side), "id", limit)
-        rows = skew.spread(rows, hot, "id", "other_id", "part")
+        own_hot = skew.hot_ids(side_counts(ratings, side), "id", limit)
+        rows = skew.spread(rows, own_hot, "id", "other_id", "part")
 
     if strategy == "shuffle":
         hot = None
@@ -224,7 +226,7 @@ def build_layout(
     if strategy == "broadcast":
         keys = ["id", "part"] if cut else ["id"]
         data = rows.repartition(partitions, *keys).sortWithinPartitions("id")
-        return Layout(side, strategy, partitions, data, keys, cut, batches)
+        return Layout(side, strategy, partitions, data, keys, cut, batches, hot=own_hot)
 
     # Part p of a hot entity is worked on in the p-th block after its own.
     home = F.col("id") + F.col("part") if cut else F.col("id")
@@ -242,7 +244,7 @@ def build_layout(
         .groupBy("other_id")
         .agg(F.array_sort(F.collect_list("block")).alias("blocks"))
     )
-    return Layout(side, strategy, partitions, data, ["block", "id"], cut, batches, routes=routes)
+    return Layout(side, strategy, partitions, data, ["block", "id"], cut, batches, routes=routes, hot=own_hot)
 
 
 def half_step(

@@ -232,6 +232,9 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         ("half_step_item_batches", "half_step_item"),
         ("half_step_shuffle_batches", "half_step_item"),
         ("half_step_blocks_batches", "half_step_item"),
+        ("half_step_conjugate", "half_step_item"),
+        ("half_step_conjugate_blocks", "half_step_item"),
+        ("als_conjugate_factors", "als_blocks_factors"),
         ("als_batches_factors", "als_blocks_factors"),
         ("predict_pairs_spread", "predict_pairs"),
         ("evaluate_spread", "evaluate_mse"),

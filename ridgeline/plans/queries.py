@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline import workdir
 from ridgeline.functions.columns import features_to_columns, rounded
 from ridgeline.functions.linalg import solve_factors
-from ridgeline.operators import blocks, compare, gate, predict, quality
+from ridgeline.operators import blocks, compare, gate, gradient, predict, quality
 from ridgeline.operators.als import ALSFactorizer, ALSModel
 from ridgeline.operators.evaluate import error_summary
 from ridgeline.operators.init import init_user_factors
@@ -226,6 +226,19 @@ def _item_half_step(**options):
     return run
 
 
+def _item_conjugate(**options):
+    def query(spark, sf_dir):
+        ratings = order_ratings(spark, sf_dir)
+        users = init_user_factors(ratings, RANK)
+        return _flat(gradient.half_step(ratings, users, "item", RANK, REG, **options))
+
+    return query
+
+
+def als_conjugate_factors(spark, sf_dir):
+    return _both_sides(_fit(order_ratings(spark, sf_dir), solver="gradient"))
+
+
 def half_step_user(spark, sf_dir):
     ratings = order_ratings(spark, sf_dir)
     items = half_step(ratings, init_user_factors(ratings, RANK), "item", RANK, REG)
@@ -548,11 +561,14 @@ def queries():
         "half_step_item_batches": _item_half_step(kernel="batches", strategy="broadcast"),
         "half_step_shuffle_batches": _item_half_step(kernel="batches", strategy="shuffle"),
         "half_step_blocks_batches": _item_half_step(kernel="batches", strategy="blocks", num_blocks=NUM_BLOCKS, hot_limit=20),
+        "half_step_conjugate": _item_conjugate(),
+        "half_step_conjugate_blocks": _item_conjugate(strategy="blocks", num_blocks=NUM_BLOCKS, hot_limit=20),
         "half_step_user": half_step_user,
         "als_user_factors": als_user_factors,
         "als_item_factors": als_item_factors,
         "als_blocks_factors": als_blocks_factors,
         "als_batches_factors": als_batches_factors,
+        "als_conjugate_factors": als_conjugate_factors,
         "als_rank20_mse": als_rank20_mse,
         "als_rank20_gradient": als_rank20_gradient,
         "fit_metrics_checked": fit_metrics_checked,
