@@ -14,6 +14,8 @@ from ridgeline.functions.linalg import KERNELS
 from ridgeline.operators import evaluate as ev
 from ridgeline.operators import gradient, predict
 from ridgeline.operators.gate import HalfStep
+from ridgeline.operators.holdout import TRACE_SCHEMA as HELD_OUT_SCHEMA
+from ridgeline.operators.holdout import Progress, Stop
 from ridgeline.operators.init import initial_features
 from ridgeline.operators.layout import (
     BROADCAST_LIMIT,
@@ -50,6 +52,7 @@ class ALSModel:
         self.ratings = ratings
         self.trace: DataFrame | None = None
         self.metrics: DataFrame | None = None
+        self.held_out: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -175,13 +178,20 @@ class ALSFactorizer:
         expected_items: int | None = None,
         resume: str | None = None,
         on_iteration: Callable[[int], None] | None = None,
+        stop: Stop | None = None,
     ) -> ALSModel:
         """Fit, and with ``resume`` go on from what an earlier fit committed in that folder.
 
         The folder must be one that all executors reach; it is created if there is nothing in
         it. ``on_iteration`` is called after each iteration has been committed; a fit that it
         breaks off can be resumed.
+
+        With ``stop`` the fit ends before ``max_iter`` when the error on cells held out of
+        ``ratings`` has ceased to fall; the model is the one before that, and ``model.held_out`` has
+        both errors of each iteration. A folder does not hold these errors, so ``resume`` is refused.
         """
+        if stop is not None and resume is not None:
+            raise ValueError("a fit with a stopping rule cannot be resumed")
         spark = ratings.sparkSession
         source = resolve_duplicates(checked_ratings(ratings), self.on_duplicate)
         base = source.select("user_id", "item_id", "rating")
@@ -209,7 +219,8 @@ class ALSFactorizer:
                 _assert_unique(by_user)
             with block_partitioning(spark):
                 return self._iterate(
-                    spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume, on_iteration
+                    spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume,
+                    on_iteration, stop,
                 )
         finally:
             for layout in layouts:
@@ -217,19 +228,19 @@ class ALSFactorizer:
             base.unpersist()
 
     def _iterate(
-        self, spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume, on_iteration
+        self, spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume, on_iteration, stop
     ):
         """Each half-step is planned on the one before it, which is marked to be kept. Every
         ``checkpoint_interval`` iterations, and at the end, both sides are written to the run's
         folder: one query runs the half-steps since the last tables, each as the broadcast or
-        exchange that the next one needs. There is no other job. With a trace, metrics or a
-        callback every iteration is written.
+        exchange that the next one needs. There is no other job. With a trace, metrics, a
+        callback or a stopping rule every iteration is written.
 
         What a half-step solved is observed while it runs: a vector per id, every rating met,
         all values finite.
         """
         search = self.solver == "gradient"
-        every = 1 if trace or metrics or on_iteration or search else self.checkpoint_interval
+        every = 1 if trace or metrics or on_iteration or search or stop else self.checkpoint_interval
         weighted = "weight" in base.columns
         expected = base.agg(F.sum("weight")).first()[0] if weighted else total
         ids = {"user": users, "item": items}
@@ -243,6 +254,10 @@ class ALSFactorizer:
         if done:
             user, item = log.factors("user", done), log.factors("item", done)
 
+        progress = None
+        if stop is not None:
+            held_out = resolve_duplicates(checked_ratings(stop.held_out), self.on_duplicate)
+            progress = Progress(stop, scored, held_out, self.rank, self.broadcast_limit)
         waiting: list[HalfStep] = []
         held: list[DataFrame] = []
         for iteration in range(done + 1, self.max_iter + 1):
@@ -273,7 +288,7 @@ class ALSFactorizer:
                     user = found
             if not commit:
                 continue
-            log.commit(iteration)
+            log.commit(iteration, progress.best if progress else 0)
             while held:  # both sides are tables now; nothing reads what came before
                 held.pop().unpersist()
             if trace:
@@ -281,10 +296,14 @@ class ALSFactorizer:
                     user, item, scored, self.rank, self.reg, broadcast_limit=self.broadcast_limit
                 ).first()
                 trace_rows.append((iteration, row["mse"], row["rmse"], row["objective"]))
-            else:
+            elif progress is None:
                 base.unpersist()  # both layouts are filled now
             if on_iteration is not None:
                 on_iteration(iteration)
+            if progress is not None and progress.score(iteration, user, item):
+                break
+        if progress is not None:
+            user, item = log.factors("user", progress.best), log.factors("item", progress.best)
 
         run = log.path
         rated = source.select("user_id", "item_id", "rating")
@@ -295,6 +314,8 @@ class ALSFactorizer:
             model.trace = spark.createDataFrame(trace_rows, TRACE_SCHEMA)
         if metrics:  # every iteration was written, so each half-step ran by itself
             model.metrics = spark.createDataFrame(metric_rows, METRICS_SCHEMA)
+        if progress is not None:
+            model.held_out = spark.createDataFrame(progress.rows, HELD_OUT_SCHEMA)
         return model
 
     def _start(self, by_user) -> DataFrame:

@@ -57,13 +57,13 @@ class FitLog:
         workdir.delete_dir(self.spark, path)
         return workdir.write_table(factors, path)
 
-    def commit(self, iteration: int) -> None:
-        """Both sides are complete; tables of earlier iterations are not needed any more."""
+    def commit(self, iteration: int, keep: int = 0) -> None:
+        """Both sides are complete; tables of earlier iterations but ``keep`` are not needed any more."""
         earlier = self.iterations()
         row = self.spark.createDataFrame([self.facts], _MANIFEST).coalesce(1)
         row.write.mode("overwrite").parquet(f"{self.path}/committed/iteration={iteration}")
         for old in earlier:
-            if old < iteration:
+            if old < iteration and old != keep:
                 for side in SIDES:
                     workdir.delete_dir(self.spark, f"{self.path}/{side}-factors-{old}")
                 workdir.delete_dir(self.spark, f"{self.path}/committed/iteration={old}")

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 REG = 0.05
 ITERATIONS = 2
+# The fit that stops by itself.
+HELD_OUT_SHARE = 0.2
+STOP_GAIN = 0.02
+MOST_ITERATIONS = 6
 
 R1 = """r1 AS (
   SELECT CAST(o_custkey AS INTEGER) AS user_id, CAST(l_partkey AS INTEGER) AS item_id,
@@ -262,6 +266,26 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
             for s in ("user", "item")
         ),
     )
+    held = f"(user_id * CAST(7919 AS BIGINT) + item_id * CAST(104729 AS BIGINT)) % 10007 < {int(HELD_OUT_SHARE * 10007)}"
+    split = [R1.replace("r1 AS", "cells AS", 1), f"r1 AS (SELECT * FROM cells WHERE NOT {held})"]
+    mse = "AVG((r.rating - {0}) * (r.rating - {0}))".format(PREDICTION)
+    both = [
+        f"""SELECT {i} AS i, (SELECT {mse} FROM r1 r JOIN u{i} u ON u.id = r.user_id JOIN m{i} m ON m.id = r.item_id) AS train,
+        (SELECT {mse} FROM cells r JOIN u{i} u ON u.id = r.user_id JOIN m{i} m ON m.id = r.item_id WHERE {held}) AS held"""
+        for i in range(1, MOST_ITERATIONS + 1)
+    ]
+    known["convergence_stop"] = query(
+        [
+            *split,
+            *als(MOST_ITERATIONS, R1)[1:],
+            f"scored AS ({' UNION ALL '.join(both)})",
+            "ruled AS (SELECT *, CASE WHEN LAG(held) OVER (ORDER BY i) IS NULL THEN 1 "
+            f"WHEN held < LAG(held) OVER (ORDER BY i) * (1 - {STOP_GAIN}) THEN 1 ELSE 0 END AS improved FROM scored)",
+        ],
+        f"SELECT CAST(i AS INTEGER) AS iteration, {r6('train', 'train_mse')}, {r6('held', 'held_out_mse')}, "
+        "CAST(improved AS INTEGER) AS improved FROM ruled r "
+        "WHERE NOT EXISTS (SELECT 1 FROM ruled e WHERE e.i < r.i AND e.improved = 0)",
+    )
     known["compare_builtin_checked"] = query(
         [R1],
         "SELECT engine, (SELECT COUNT(*) FROM r1) AS n, CAST(1 AS INTEGER) AS close "

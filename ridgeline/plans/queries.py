@@ -11,10 +11,11 @@ from ridgeline.functions.linalg import solve_factors
 from ridgeline.operators import blocks, compare, gate, gradient, predict, quality
 from ridgeline.operators.als import ALSFactorizer, ALSModel
 from ridgeline.operators.evaluate import error_summary
+from ridgeline.operators.holdout import Stop, split_cells
 from ridgeline.operators.init import init_user_factors
 from ridgeline.operators.layout import half_step, normal_equations
 from ridgeline.plans.derive import event_ratings, order_ratings, purchases, table
-from ridgeline.plans.oracle import ITERATIONS, REG
+from ridgeline.plans.oracle import HELD_OUT_SHARE, ITERATIONS, MOST_ITERATIONS, REG, STOP_GAIN
 from ridgeline.schemas import FACTORS
 from ridgeline.sources import dense, headered
 from ridgeline.streaming import counts, foldin, lists, source, upsert
@@ -303,6 +304,14 @@ def convergence_trace(spark, sf_dir):
     )
 
 
+def convergence_stop(spark, sf_dir):
+    """Errors on kept and held-out cells until the held-out error has ceased to fall."""
+    kept, held_out = split_cells(order_ratings(spark, sf_dir), HELD_OUT_SHARE)
+    model = ALSFactorizer(rank=RANK, reg=REG, max_iter=MOST_ITERATIONS).fit(kept, stop=Stop(held_out, STOP_GAIN))
+    errors = [rounded(c).alias(c) for c in ("train_mse", "held_out_mse")]
+    return model.held_out.select("iteration", *errors, F.col("improved").cast("int").alias("improved"))
+
+
 def objective(spark, sf_dir):
     ratings = order_ratings(spark, sf_dir)
     return _fit(ratings).objective(ratings).select(
@@ -581,6 +590,7 @@ def queries():
         "in_blocks_split": _in_blocks("item", max_entries=10),
         "factor_collection": factor_collection,
         "convergence_trace": convergence_trace,
+        "convergence_stop": convergence_stop,
         "objective": objective,
         "missing_vectors": missing_vectors,
         "compare_builtin": compare_builtin,
