@@ -217,6 +217,10 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         "factors_save_load": factor_rows,
         "stream_latest_ratings": f"WITH {R2} SELECT user_id, item_id, rating FROM r1",
         "stream_rating_counts": f"WITH {R2_EVENTS} SELECT item_id AS id, COUNT(*) AS n, CAST(SUM(rating) AS BIGINT) AS total FROM ev GROUP BY 1",
+        "stream_profile": f"WITH {R2_EVENTS} "
+        f"SELECT e.rating, COUNT(*) AS ratings, {r6('AVG(e.value)', 'mean')}, CAST(1 AS INTEGER) AS users_close, "
+        "CAST(1 AS INTEGER) AS items_close, CAST(1 AS INTEGER) AS cells_close "
+        "FROM (SELECT rating, rating AS value FROM ev UNION ALL SELECT CAST(0 AS SMALLINT), rating FROM ev) e GROUP BY 1",
         "stream_rating_lists": f"WITH {R2} SELECT item_id AS id, user_id AS other_id, rating FROM r1",
         "fold_in_users": query(
             [

@@ -18,7 +18,7 @@ from ridgeline.plans.derive import event_ratings, order_ratings, purchases, tabl
 from ridgeline.plans.oracle import HELD_OUT_SHARE, ITERATIONS, MOST_ITERATIONS, REG, STOP_GAIN
 from ridgeline.schemas import FACTORS
 from ridgeline.sources import dense, headered
-from ridgeline.streaming import counts, foldin, lists, source, upsert
+from ridgeline.streaming import counts, foldin, lists, profile, source, upsert
 from ridgeline.streaming import headered as headered_text
 
 NUM_BLOCKS = 8
@@ -455,6 +455,26 @@ def stream_rating_counts(spark, sf_dir):
     return counts.current_counts(spark, f"{path}/table")
 
 
+def stream_profile(spark, sf_dir):
+    """Sketched profile per rating and (rating 0) in all, after each estimate a flag: within 3 percent of exact."""
+    path = workdir.new_run_dir(spark, "profile")
+    stream = _event_stream(spark, sf_dir, files=5)
+    profile.profile_stream(stream, f"{path}/table", f"{path}/checkpoint", ("rating",), compact_every=2).awaitTermination()
+    found = profile.current_profile(spark, f"{path}/table", ("rating",)).unionByName(
+        profile.current_profile(spark, f"{path}/table").withColumn("rating", F.lit(0).cast("smallint"))
+    )
+    events = event_ratings(table(spark, sf_dir, "events"))
+    each = F.explode(F.array(F.col("rating"), F.lit(0).cast("smallint")))
+    exact = events.select("user_id", "item_id", each.alias("rating")).groupBy("rating").agg(
+        *[F.countDistinct(*columns).alias(f"exact_{name}") for name, columns in profile.DISTINCT.items()]
+    )
+    close = [
+        (F.abs(F.col(name) - F.col(f"exact_{name}")) <= 0.03 * F.col(f"exact_{name}")).cast("int").alias(f"{name}_close")
+        for name in profile.DISTINCT
+    ]
+    return found.join(exact, "rating").select("rating", "ratings", rounded("mean").alias("mean"), *close)
+
+
 def stream_rating_lists(spark, sf_dir):
     """State of a stream that takes in two files, ends, and goes on with two more from its checkpoint."""
     path = workdir.new_run_dir(spark, "rating-lists")
@@ -607,6 +627,7 @@ def queries():
         "factors_save_load": factors_save_load,
         "stream_latest_ratings": stream_latest_ratings,
         "stream_rating_counts": stream_rating_counts,
+        "stream_profile": stream_profile,
         "stream_rating_lists": stream_rating_lists,
         "recommend_pruned": recommend_pruned,
         "stream_headered": stream_headered,
