@@ -318,6 +318,41 @@ class ALSFactorizer:
             model.held_out = spark.createDataFrame(progress.rows, HELD_OUT_SCHEMA)
         return model
 
+    def fit_stored(
+        self,
+        stored,
+        trace: bool = False,
+        metrics: bool = False,
+        resume: str | None = None,
+        on_iteration: Callable[[int], None] | None = None,
+    ) -> ALSModel:
+        """Fit ratings of ``sources.bucketed``, read as they lie; options as in ``fit``.
+
+        They were checked when they were stored, and nothing of them is cached.
+        """
+        if self.solver == "gradient":
+            raise ValueError("the gradient solver needs layouts of its own: use fit")
+        stats = stored.stats()
+        users, items, total = stats["user"].ids, stats["item"].ids, stats["user"].ratings
+        if total == 0:
+            raise ValueError("no ratings to fit")
+        base = stored.by("user")
+        layouts = []
+        try:
+            for side in ("user", "item"):
+                layouts.append(
+                    stored.layout(
+                        side, self.rank, self.strategy, self.num_blocks, self.hot_limit, self.broadcast_limit, stats, self.kernel
+                    )
+                )
+            with block_partitioning(stored.spark):
+                return self._iterate(
+                    stored.spark, base, base, *layouts, total, users, items, trace, metrics, resume, on_iteration, None
+                )
+        finally:
+            for layout in layouts:
+                layout.unpersist()
+
     def _start(self, by_user) -> DataFrame:
         """Initial user factors from the layout: no shuffle when it is by user."""
         count = F.sum("weight") if "weight" in by_user.data.columns else F.count(F.lit(1))

@@ -244,6 +244,7 @@ UNION ALL SELECT 'accepted', COUNT(DISTINCT (user_id, item_id)) FROM classified
         ("half_step_conjugate_blocks", "half_step_item"),
         ("als_conjugate_factors", "als_blocks_factors"),
         ("als_batches_factors", "als_blocks_factors"),
+        ("als_bucketed_factors", "als_blocks_factors"),
         ("predict_pairs_spread", "predict_pairs"),
         ("evaluate_spread", "evaluate_mse"),
         ("missing_vectors_spread", "missing_vectors"),

@@ -17,7 +17,7 @@ from ridgeline.operators.layout import half_step, normal_equations
 from ridgeline.plans.derive import event_ratings, order_ratings, purchases, table
 from ridgeline.plans.oracle import HELD_OUT_SHARE, ITERATIONS, MOST_ITERATIONS, REG, STOP_GAIN
 from ridgeline.schemas import FACTORS
-from ridgeline.sources import dense, headered
+from ridgeline.sources import bucketed, dense, headered
 from ridgeline.streaming import counts, foldin, lists, profile, source, upsert
 from ridgeline.streaming import headered as headered_text
 
@@ -258,6 +258,19 @@ def als_blocks_factors(spark, sf_dir):
     return _both_sides(_fit(order_ratings(spark, sf_dir), strategy="blocks", num_blocks=NUM_BLOCKS))
 
 
+def als_bucketed_factors(spark, sf_dir):
+    """Stored once; fitted by another session that opens the folder."""
+    path = workdir.new_run_dir(spark, "stored-ratings")
+    bucketed.store_ratings(order_ratings(spark, sf_dir), path, NUM_BLOCKS)
+    other = spark.newSession()
+    other.conf.set("spark.checkpoint.dir", workdir.shared_dir(spark))
+    stored = bucketed.open_ratings(other, path)
+    model = ALSFactorizer(rank=RANK, reg=REG, max_iter=ITERATIONS).fit_stored(stored)
+    stored.drop()
+    sides = [spark.read.parquet(f"{model.path}/{side}-factors-{ITERATIONS}") for side in ("user", "item")]
+    return _both_sides(ALSModel(*sides, RANK, REG, model.users, model.items))
+
+
 def als_batches_factors(spark, sf_dir):
     return _both_sides(_fit(order_ratings(spark, sf_dir), kernel="batches"))
 
@@ -596,6 +609,7 @@ def queries():
         "als_user_factors": als_user_factors,
         "als_item_factors": als_item_factors,
         "als_blocks_factors": als_blocks_factors,
+        "als_bucketed_factors": als_bucketed_factors,
         "als_batches_factors": als_batches_factors,
         "als_conjugate_factors": als_conjugate_factors,
         "als_rank20_mse": als_rank20_mse,
