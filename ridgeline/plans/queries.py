@@ -262,9 +262,7 @@ def als_bucketed_factors(spark, sf_dir):
     """Stored once; fitted by another session that opens the folder."""
     path = workdir.new_run_dir(spark, "stored-ratings")
     bucketed.store_ratings(order_ratings(spark, sf_dir), path, NUM_BLOCKS)
-    other = spark.newSession()
-    other.conf.set("spark.checkpoint.dir", workdir.shared_dir(spark))
-    stored = bucketed.open_ratings(other, path)
+    stored = bucketed.open_ratings(spark.newSession(), path)
     model = ALSFactorizer(rank=RANK, reg=REG, max_iter=ITERATIONS).fit_stored(stored)
     stored.drop()
     sides = [spark.read.parquet(f"{model.path}/{side}-factors-{ITERATIONS}") for side in ("user", "item")]
