@@ -37,22 +37,38 @@ FROM words LEFT JOIN sums USING (row_id)
 """
 
 
-QUOTATIONS = """
-WITH turns AS (
-  SELECT conv_id, turn, role, trim(text, chr(10)) AS text,
-         lag(turn) OVER conv AS before, lag(turn, 2) OVER conv AS before2
-  FROM conversations WINDOW conv AS (PARTITION BY conv_id ORDER BY turn)),
+QUOTATIONS = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, turn * 4294967296 + conv_id AS message, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations),
+texts AS (SELECT conv_id, turn, max(text) AS text FROM turns GROUP BY 1, 2),
+keyed AS (
+  SELECT m.*, nullif(lower(trim(regexp_replace(m.text, '\s+', ' ', 'g'))), '') AS said,
+         nullif(lower(trim(regexp_replace(a.text, '\s+', ' ', 'g'))), '') AS one,
+         nullif(lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))), '') AS two
+  FROM turns m
+  LEFT JOIN texts a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1
+  LEFT JOIN texts b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2),
+alone AS (SELECT said, min(message) AS source FROM keyed WHERE said IS NOT NULL GROUP BY 1),
+answers AS (SELECT said, one, min(message) AS source FROM keyed WHERE said IS NOT NULL AND one IS NOT NULL GROUP BY 1, 2),
 linked AS (
-  SELECT *, CASE WHEN before = turn - 1 THEN before END AS parent,
-         CASE WHEN before2 = turn - 2 THEN before2 WHEN before = turn - 2 THEN before END AS grand
-  FROM turns)
-SELECT conv_id, turn, role, coalesce(parent, grand) AS parent,
-       min(turn) OVER (PARTITION BY conv_id) AS root,
-       (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS depth,
-       (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS place,
-       text, (parent IS NOT NULL)::BIGINT + (grand IS NOT NULL)::BIGINT AS n_quotes,
-       (parent IS NOT NULL)::BIGINT + (grand IS NOT NULL)::BIGINT AS n_linked
-FROM linked
+  SELECT k.message, k.conv_id, k.turn, k.role, k.text, k.one, k.two,
+         CASE WHEN p.source < k.message THEN p.source WHEN s.source < k.message THEN s.source END AS source1,
+         CASE WHEN t.source < k.message THEN t.source END AS source2
+  FROM keyed k
+  LEFT JOIN answers p ON p.said = k.one AND p.one = k.two
+  LEFT JOIN alone s ON s.said = k.one
+  LEFT JOIN alone t ON t.said = k.two),
+parents AS (SELECT message, coalesce(source1, source2) AS parent FROM linked),
+tree AS (
+  SELECT message, message AS root, 0 AS depth FROM parents WHERE parent IS NULL
+  UNION ALL
+  SELECT p.message, root, depth + 1 FROM parents p JOIN tree ON p.parent = tree.message)
+SELECT message, conv_id, turn, role, parent, root, depth::INTEGER AS depth,
+       (row_number() OVER (PARTITION BY root ORDER BY message))::INTEGER AS place, trim(text, chr(10)) AS text,
+       (one IS NOT NULL)::BIGINT + (two IS NOT NULL)::BIGINT AS n_quotes,
+       (source1 IS NOT NULL)::BIGINT + (source2 IS NOT NULL)::BIGINT AS n_linked
+FROM linked JOIN parents USING (message) JOIN tree USING (message)
 """
 
 TOKEN_COUNTS = f"""

@@ -37,8 +37,9 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = quotes.with_quotations(_table(spark, sf_dir, "conversations"))
-    found = quotes.conversations(sent)
-    return found.withColumnRenamed("thread", "conv_id").withColumnRenamed("message", "turn")
+    found = quotes.conversations(sent).drop("thread", "parent_thread", "root_thread")
+    numbers = {"conv_id": F.col("message").bitwiseAND(F.lit((1 << 32) - 1)), "turn": F.shiftright("message", 32)}
+    return found.withColumns(numbers)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
