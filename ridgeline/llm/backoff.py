@@ -12,8 +12,11 @@ into batches of bounded size; a batch sends each of its distinct n-grams once, w
 count, to the partition of the n-gram's hash. There the counts of all batches are added,
 which is the count table, and every batch gets the totals of the n-grams it sent, in their
 order. So a frequent n-gram costs one entry per batch and not one per occurrence, and no
-table is broadcast or held whole. N-grams are known by 64-bit hashes. Entries travel as
-sorted, packed arrays.
+table of n-grams is broadcast or held whole. N-grams are known by 64-bit hashes. Entries
+travel as sorted, packed arrays.
+
+Rows of one id and text that together would fill much of a batch are counted first, enter
+their batch as one row with a number of copies, and are written out again after scoring.
 
 Defined cases: words are those of ``words`` (A-Z in lower case); null, empty and blank texts
 have no words and score 0; repeated rows are counted and scored each for itself; null ids
@@ -30,14 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.arrow import runs, text_bytes
+from ridgeline.llm.arrow import runs
 from ridgeline.llm.words import mix, word_hashes
+from ridgeline.operators import skew
+from ridgeline.workdir import delete_dir, new_run_dir, write_table
 
 BACKOFF = 0.4
 MIN_COUNT = 2
 #: Bytes of text in a batch, and n-grams in a partition of the count table, about.
 BATCH_BYTES = 8 << 20
 TABLE_ENTRIES = 1 << 20
+#: Bytes of equal rows that are counted before they enter a batch, and what a row counts besides its text.
+HOT_BYTES = 1 << 20
+ROW_BYTES = 32
+#: Copies written out at a time.
+PIECE = 4096
 _HELD_BYTES = 32 << 20
 
 _ALL_WORDS = np.uint64(0x0123456789ABCDEF)
@@ -63,7 +73,7 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
 class _Batch:
     """Words of a batch's documents, end to end, and the keys of their n-grams."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], copies: np.ndarray):
         found = list(word_hashes(texts))
         self.lengths = np.array([len(w) for w in found], dtype=np.int64)
         words = np.concatenate([np.zeros(0, dtype=np.uint64), *found])
@@ -76,11 +86,12 @@ class _Batch:
         three = mix(words + np.uint64(3))[self.third - 2] * _STEP + words[self.third - 1]
         three = mix(mix(three) * _STEP + words[self.third])
         self.keys = np.concatenate([one, two, three, np.array([_ALL_WORDS])])
+        self.copies = np.repeat(copies, self.lengths)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = np.unique(self.keys, return_counts=True)
-        counts[np.searchsorted(keys, _ALL_WORDS)] += len(self.first) - 1
-        return keys, counts
+        keys, inverse = np.unique(self.keys, return_inverse=True)
+        weights = [self.copies, self.copies[self.second], self.copies[self.third], [self.copies.sum()]]
+        return keys, np.bincount(inverse, np.concatenate(weights), len(keys))
 
     def scores(self, totals: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
         """Log score and number of backed-off words per document, given totals of the sorted keys."""
@@ -114,7 +125,7 @@ class _Batch:
 
 def _dealt(docs: DataFrame, batches: int) -> DataFrame:
     """(batch, docs): compressed bundles of documents."""
-    import_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
+    import_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary()), ("copies", pa.int64())])
 
     def bundle(held: dict[int, list[pa.RecordBatch]]) -> pa.RecordBatch:
         import zstandard
@@ -135,7 +146,7 @@ def _dealt(docs: DataFrame, batches: int) -> DataFrame:
         for part in rows:
             texts = part.column("text").cast(pa.large_binary())
             home = part.column("batch").to_numpy()
-            own = pa.RecordBatch.from_arrays([part.column("doc_id"), texts], schema=import_schema)
+            own = pa.RecordBatch.from_arrays([part.column("doc_id"), texts, part.column("copies")], schema=import_schema)
             for batch in np.unique(home).tolist():
                 held.setdefault(batch, []).append(own.filter(pa.array(home == batch)))
             size += own.nbytes
@@ -146,7 +157,7 @@ def _dealt(docs: DataFrame, batches: int) -> DataFrame:
             yield bundle(held)
 
     home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch")
-    return docs.select("doc_id", "text", home).mapInArrow(task, "batch long, docs binary")
+    return docs.select("doc_id", "text", "copies", home).mapInArrow(task, "batch long, docs binary")
 
 
 def _opened(bundles: list[bytes]) -> pa.Table:
@@ -156,21 +167,53 @@ def _opened(bundles: list[bytes]) -> pa.Table:
     return pa.concat_tables(parts).combine_chunks()
 
 
-def _texts(table: pa.Table) -> list[bytes | None]:
-    return table.column("text").to_pylist()
+def _batch(table: pa.Table) -> _Batch:
+    return _Batch(table.column("text").to_pylist(), table.column("copies").to_numpy())
+
+
+def _counted(rows: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Rows with their number of copies, bytes of all texts, and whether any equal rows were counted.
+
+    Only rows whose copies reach ``HOT_BYTES`` are grouped; the others pass as they are.
+    """
+    spark = rows.sparkSession
+    path = new_run_dir(spark, "equal-rows")
+    marked = rows.withColumn("print", F.xxhash64("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    sums = marked.groupBy("print").agg(
+        F.sum(size).alias("size"), F.sum(size + ROW_BYTES).alias("filled"), F.count("*").alias("found")
+    )
+    sums = write_table(sums, path)
+    total = sums.agg(F.sum("size")).first()[0] or 0
+    repeated = sums.select("print", F.when(F.col("found") > 1, F.col("filled")).otherwise(0).alias("n"))
+    hot = skew.hot_ids(repeated, "print", HOT_BYTES).select("print")
+    delete_dir(spark, path)
+    if hot.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long")), total, False
+    equal = marked.join(hot, "print", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    others = marked.join(hot, "print", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    return others.unionByName(equal), total, True
+
+
+def _written_out(scores: DataFrame) -> DataFrame:
+    """A row per copy; copies of one row are dealt to many tasks."""
+    pieces = F.sequence(F.lit(0), F.ceil(F.col("copies") / PIECE).cast("long") - 1)
+    cut = scores.withColumn("piece", F.explode(pieces)).repartition("doc_id", "piece")
+    size = F.least(F.lit(PIECE).cast("long"), F.col("copies") - F.col("piece") * PIECE)
+    return cut.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("copies", "piece", "copy")
 
 
 def log_scores(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, log_score, n_backed_off."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted, size, repeated = _counted(rows)
     batches = max(1, math.ceil(size / BATCH_BYTES))
     bits = max(0, math.ceil(math.log2(max(size / 2 / TABLE_ENTRIES, 1))))
-    bundles = _dealt(rows, batches).repartition("batch")
+    bundles = _dealt(counted, batches).repartition("batch")
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(parts, ["batch"]):
-            keys, counts = _Batch(_texts(_opened(group["docs"].to_pylist()))).distinct()
+            keys, counts = _batch(_opened(group["docs"].to_pylist())).distinct()
             home = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
             starts = np.flatnonzero(np.diff(home, prepend=-1)).tolist()
             spans = list(zip(starts, [*starts[1:], len(keys)]))
@@ -181,7 +224,7 @@ def log_scores(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_i
                     pa.array(home[starts]),
                     pa.array([group["batch"][0].as_py()] * len(spans), type=pa.int64()),
                     pa.array([_pack(steps[a:b]) for a, b in spans], type=pa.binary()),
-                    pa.array([_pack(counts[a:b].astype("<u4")) for a, b in spans], type=pa.binary()),
+                    pa.array([_pack(counts[a:b].astype("<u8")) for a, b in spans], type=pa.binary()),
                 ],
                 names=["part", "batch", "steps", "counts"],
             )
@@ -189,7 +232,7 @@ def log_scores(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_i
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(parts, ["part"]):
             keys = [np.cumsum(_unpack(x, "<u8")) for x in group["steps"].to_pylist()]
-            counts = np.concatenate([_unpack(x, "<u4") for x in group["counts"].to_pylist()])
+            counts = np.concatenate([_unpack(x, "<u8") for x in group["counts"].to_pylist()])
             ends = np.cumsum([len(k) for k in keys])[:-1]
             _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(inverse, counts)[inverse].astype("<u8")
@@ -204,18 +247,22 @@ def log_scores(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_i
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _opened(left["docs"].to_pylist())
         answers = right.sort_by("part")["totals"].to_pylist()
-        batch = _Batch(_texts(own))
+        batch = _batch(own)
         logs, backed = batch.scores(np.concatenate([_unpack(x, "<u8") for x in answers]), min_count)
         return pa.table(
-            {"doc_id": own["doc_id"], "n_words": batch.lengths, "log_score": logs, "n_backed_off": backed}
+            {
+                "doc_id": own["doc_id"], "n_words": batch.lengths, "log_score": logs, "n_backed_off": backed,
+                "copies": own["copies"],
+            }
         )
 
     sent = bundles.sortWithinPartitions("batch").mapInArrow(
         send, "part long, batch long, steps binary, counts binary"
     )
     answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "batch long, part long, totals binary")
-    return (
+    scores = (
         bundles.groupBy("batch")
         .cogroup(answers.groupBy("batch"))
-        .applyInArrow(finish, "doc_id long, n_words long, log_score double, n_backed_off long")
+        .applyInArrow(finish, "doc_id long, n_words long, log_score double, n_backed_off long, copies long")
     )
+    return _written_out(scores) if repeated else scores.drop("copies")

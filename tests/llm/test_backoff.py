@@ -48,5 +48,22 @@ def test_against_counting(spark, monkeypatch, min_count, batch, entries):
     assert got == brute(rows, min_count)
 
 
+def test_equal_rows_are_counted_first(spark, monkeypatch):
+    monkeypatch.setattr(backoff, "HOT_BYTES", 2000)
+    monkeypatch.setattr(backoff, "PIECE", 7)
+    monkeypatch.setattr(backoff, "BATCH_BYTES", 2000)
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(20))) for i in range(300)]
+    rows += [(1000, "a b c a b d")] * 300 + [(1001, None)] * 80 + [(None, "")] * 80 + [(None, "a b x")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted, size, repeated = backoff._counted(docs)
+    assert repeated and size == sum(len(t or "") for _, t in rows)
+    copies = {(r.doc_id, r.text): r.copies for r in counted.collect() if r.copies > 1}
+    assert copies == {(1000, "a b c a b d"): 300, (1001, None): 80, (None, ""): 80, (None, "a b x"): 60}
+    found = backoff.log_scores(docs).collect()
+    got = sorted(((r.doc_id, r.n_words, round(r.log_score, 6), r.n_backed_off) for r in found), key=repr)
+    assert got == brute(rows, 2)
+
+
 def test_empty_table(spark):
     assert backoff.log_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
