@@ -42,15 +42,24 @@ def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(numbers)
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rolled_up(spark: SparkSession, sf_dir: str, vocabulary: str | None) -> DataFrame:
     kept = rollup.TokenRollup(spark, new_run_dir(spark, "token-rollup"))
-    history = rollup.document_history(_table(spark, sf_dir, "documents"))
+    history = rollup.document_history(_table(spark, sf_dir, "documents"), vocabulary)
     for batch_id, changes in enumerate(history):
         kept.apply(batch_id, changes)
     kept.apply(1, history[1])  # sent again: must change nothing
     return kept.totals()
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rolled_up(spark, sf_dir, None)
+
+
+def op3_token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ids of the BPE vocabulary besides, which SQL cannot count."""
+    return _rolled_up(spark, sf_dir, tokens.vocabulary_path())
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
@@ -111,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_lm_scoring,
         op2_quotations,
         op3_token_counts,
+        op3_token_counts_bpe,
         op4_minhash,
         op5_mixing,
         op6_html,
