@@ -280,11 +280,15 @@ def als_rank20_gradient(spark, sf_dir):
     model = _fit(ratings, rank=rank)
     users = model.user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("u"))
     items = model.item_factors.select(F.col("id").alias("item_id"), F.col("features").alias("m"))
-    both = ratings.join(users, "user_id").join(items, "item_id")
+    # Users last: the join leaves each user's rows together, and they are summed before a row per feature is made.
+    both = ratings.join(items, "item_id").join(users, "user_id")
     guess = F.aggregate(F.zip_with("u", "m", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    rows = both.select("user_id", "u", (guess - F.col("rating")).alias("e"), F.posexplode("m").alias("feature", "m_q"))
-    pull = F.sum(F.col("e") * F.col("m_q")) + F.count("*") * REG * F.first(F.col("u")[F.col("feature")])
-    return rows.groupBy("user_id", "feature").agg((F.round(pull, 6) + 0.0).alias("gradient"))
+    rows = both.select("user_id", "u", "m", (guess - F.col("rating")).alias("e"))
+    pulls = [
+        (F.sum(F.col("e") * F.col("m")[q]) + F.count("*") * REG * F.first(F.col("u")[q])).alias(f"pull{q}") for q in range(rank)
+    ]
+    gradients = F.array(*[F.round(f"pull{q}", 6) + 0.0 for q in range(rank)])
+    return rows.groupBy("user_id").agg(*pulls).select("user_id", F.posexplode(gradients).alias("feature", "gradient"))
 
 
 def fit_metrics_checked(spark, sf_dir):
