@@ -8,7 +8,8 @@ that is partitioned once, persisted, and met by the factors every iteration:
 * ``shuffle``: ratings clustered by the counterpart id; one vector row per
   counterpart (and part) moves to its ratings, partial sums move to the entity.
 * ``blocks``: ratings clustered by the entity's block; a counterpart vector is
-  shipped once per block that needs it, and everything else is local.
+  shipped once per block that needs it, and everything else is local. Blocks of more rows
+  than a task should hold are cut into finer ones, each of ids of one block only.
 
 A hot entity (or counterpart) is cut into parts, so no task holds more than
 about ``hot_limit`` of its rows; the partial systems are added up by id.
@@ -73,6 +74,11 @@ def default_partitions(spark: SparkSession, total: int) -> int:
     return max(by_size, min(spark.sparkContext.defaultParallelism, useful), 1)
 
 
+def block_partitions(num_blocks: int, total: int) -> int:
+    """``num_blocks``, or a multiple that cuts every block alike when blocks hold too many rows for a task."""
+    return num_blocks * max(1, -(-total // (ROWS_PER_PARTITION * num_blocks)))
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
@@ -200,7 +206,10 @@ def build_layout(
     if strategy == "auto":
         strategy = choose_strategy(other_stats.ids, rank, broadcast_limit)
 
-    partitions = num_blocks or default_partitions(ratings.sparkSession, own_stats.ratings)
+    if num_blocks:
+        partitions = block_partitions(num_blocks, own_stats.ratings)
+    else:
+        partitions = default_partitions(ratings.sparkSession, own_stats.ratings)
     limit = skew.row_limit(hot_limit)
     extra = [c for c in ("weight",) if c in ratings.columns]
     rows = ratings.select(F.col(own).alias("id"), F.col(other).alias("other_id"), "rating", *extra)

@@ -1,10 +1,29 @@
 """What one task holds, or one job sends, stays bounded when tables grow."""
 
+import pytest
+
+from ridgeline.operators import layout
 from ridgeline.plans import queries
 
+from brute import close, collected
 from conftest import SF_DIR
 
 
 def test_gradients_are_summed_before_a_row_per_feature_is_made(spark):
     plan = queries.als_rank20_gradient(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("Aggregate [user_id")
+
+
+@pytest.mark.parametrize("kernel", ["sums", "batches"])
+@pytest.mark.parametrize("hot_limit", [None, 7])
+def test_large_blocks_are_cut(spark, skewed, monkeypatch, kernel, hot_limit):
+    start = layout.half_step(skewed, queries.init_user_factors(skewed, 2), "item", 2, 0.05)
+    run = dict(strategy="blocks", num_blocks=3, hot_limit=hot_limit, kernel=kernel)
+    whole = collected(layout.half_step(skewed, start, "user", 2, 0.05, **run))
+    monkeypatch.setattr(layout, "ROWS_PER_PARTITION", 20)
+    placed = layout.build_layout(skewed, "user", 2, **run)
+    total = skewed.count()
+    assert placed.partitions % 3 == 0 and placed.partitions * 20 >= total
+    rows = placed.data.groupBy("block").count().collect()
+    assert len(rows) > 3 and max(r["block"] for r in rows) < placed.partitions
+    close(collected(layout.half_step(skewed, start, "user", 2, 0.05, **run)), whole)
