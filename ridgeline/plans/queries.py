@@ -13,7 +13,7 @@ from ridgeline.operators.als import ALSFactorizer, ALSModel
 from ridgeline.operators.evaluate import error_summary
 from ridgeline.operators.holdout import Stop, split_cells
 from ridgeline.operators.init import init_user_factors
-from ridgeline.operators.layout import half_step, normal_equations
+from ridgeline.operators.layout import block_partitions, half_step, normal_equations
 from ridgeline.plans.derive import event_ratings, order_ratings, purchases, table
 from ridgeline.plans.oracle import HELD_OUT_SHARE, ITERATIONS, MOST_ITERATIONS, REG, STOP_GAIN
 from ridgeline.schemas import FACTORS
@@ -508,17 +508,18 @@ def stream_rating_lists(spark, sf_dir):
 def stream_headered(spark, sf_dir):
     """R1 as one text that is cut inside items, arriving in three steps; the stream starts anew for each."""
     path = workdir.new_run_dir(spark, "headered-stream")
-    ratings = order_ratings(spark, sf_dir, dated=True)
+    ratings = workdir.write_table(order_ratings(spark, sf_dir, dated=True), f"{path}/ratings")  # read often below
     line = F.concat_ws(",", F.col("user_id").cast("string"), F.col("rating").cast("string"), F.col("rated_on").cast("string"))
     lines = ratings.select("item_id", "user_id", line.alias("line"))
     heads = ratings.select("item_id").distinct().select(
         "item_id", F.lit(-1).alias("user_id"), F.concat(F.col("item_id").cast("string"), F.lit(":")).alias("line")
     )
-    cut = lines.unionByName(heads).repartitionByRange(6, "item_id", "user_id").sortWithinPartitions("item_id", "user_id")
+    files = block_partitions(2, -(-ratings.count() // 3))  # of a step
+    cut = lines.unionByName(heads).repartitionByRange(3 * files, "item_id", "user_id")
     text = workdir.write_table(cut.withColumn("cut", F.spark_partition_id()), f"{path}/lines")
     for step in range(3):
-        here = text.where((F.col("cut") >= 2 * step) & (F.col("cut") < 2 * step + 2))
-        ordered = here.repartitionByRange(2, "item_id", "user_id").sortWithinPartitions("item_id", "user_id")
+        here = text.where((F.col("cut") >= files * step) & (F.col("cut") < files * (step + 1)))
+        ordered = here.repartitionById(files, F.col("cut") - files * step).sortWithinPartitions("item_id", "user_id")
         ordered.select("line").write.text(f"{path}/text/step={step}")
         headered_text.headered_stream(spark, f"{path}/text/*", f"{path}/table", f"{path}/checkpoint").awaitTermination()
     landed = headered_text.landed_ratings(spark, f"{path}/table")

@@ -1,7 +1,10 @@
 """What one task holds, or one job sends, stays bounded when tables grow."""
 
+import glob
+
 import pytest
 
+from ridgeline import workdir
 from ridgeline.operators import layout
 from ridgeline.plans import queries
 
@@ -27,3 +30,13 @@ def test_large_blocks_are_cut(spark, skewed, monkeypatch, kernel, hot_limit):
     rows = placed.data.groupBy("block").count().collect()
     assert len(rows) > 3 and max(r["block"] for r in rows) < placed.partitions
     close(collected(layout.half_step(skewed, start, "user", 2, 0.05, **run)), whole)
+
+
+def test_headered_text_has_files_by_its_size(spark, monkeypatch):
+    made, real = [], workdir.new_run_dir
+    monkeypatch.setattr(workdir, "new_run_dir", lambda *a: made.append(real(*a)) or made[-1])
+    whole = sorted(map(tuple, queries.stream_headered(spark, SF_DIR).collect()))
+    monkeypatch.setattr(layout, "ROWS_PER_PARTITION", 200)
+    assert sorted(map(tuple, queries.stream_headered(spark, SF_DIR).collect())) == whole
+    few, many = [len(glob.glob(f"{p}/text/step=0/part-*")) for p in made if "headered-stream" in p]
+    assert few == 2 and many > 2
