@@ -1,10 +1,11 @@
 """Per-entity rating lists kept by a stream.
 
-The list of an entity is keyed state: a map from the counterpart's id to its latest rating,
-under the key (id, part). A map entry is one key of the state store, so a new rating costs its
-own size whatever the length of the list. ``part`` is a hash of the counterpart, so the list
-of a hot id is kept by several tasks; the number of parts is fixed when the stream is first
-started, since an entry must be found again where it was put.
+The list of an entity is state of a streaming aggregate: one entry under (id, part, other_id)
+with the latest rating. An entry is one key of the state store, so a new rating costs its
+own size whatever the length of the list, and the entries of a hot id are kept by all tasks.
+``part`` is a hash of the counterpart that bounds what ``in_lists`` gathers into one record;
+the number of parts is fixed when the stream is first started, since an entry must be found
+again where it was put.
 
 State is written with each micro-batch below the checkpoint. ``read_rating_lists`` reads it
 from there, also while the stream rests, and a restarted stream goes on from it.
@@ -12,26 +13,20 @@ from there, also while the stream rests, and a restarted stream goes on from it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ridgeline.schemas import side_columns
 
-#: The store that keeps one key per map entry.
+#: The store that keeps entries on disk; the default one holds all of them in memory.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
-_STATE = "ratings"
-_CHANGES = "id int, part int, other_id int, rating smallint"
 #: Stands for a missing time or sequence: before all others.
 _EARLIEST = -(1 << 63)
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose streams may keep maps as state."""
+    """A session of the same application whose streams keep their state in ``STORE``."""
     session = spark.newSession()
     session.conf.set(_STORE_KEY, STORE)
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
@@ -39,36 +34,11 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-class _LatestPerCounterpart(StatefulProcessor):
-    """Keeps the rating with the greatest (time, sequence, rating) of each counterpart."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getMapState(_STATE, "other_id int", "at bigint, seq bigint, rating int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            latest = frame.sort_values(["at", "seq", "rating"]).drop_duplicates("other_id", keep="last")
-            changed = []
-            for row in latest.itertuples(index=False):
-                other, found = (int(row.other_id),), (int(row.at), int(row.seq), int(row.rating))
-                before = self.entries.getValue(other)
-                if before is None or tuple(before) < found:
-                    self.entries.updateValue(other, found)
-                    if before is None or before[2] != found[2]:
-                        changed.append((other[0], found[2]))
-            if changed:
-                out = pd.DataFrame(changed, columns=["other_id", "rating"])
-                out.insert(0, "part", int(key[1]))
-                out.insert(0, "id", int(key[0]))
-                yield out.astype({"id": "int32", "part": "int32", "other_id": "int32", "rating": "int16"})
-
-    def close(self) -> None:
-        pass
-
-
 def rating_lists_stream(stream: DataFrame, side: str = "item", parts: int = 16) -> DataFrame:
-    """Entries (id, part, other_id, rating) of the lists as they change.
+    """Entries (id, part, other_id, rating) of the lists as a micro-batch replaces them.
 
+    An entry holds the rating with the greatest (time, sequence, rating). Events that replace
+    nothing return nothing; one that repeats the rating at a later time returns it again.
     ``stream`` has rating events and comes from a ``stateful_session``.
     """
     if parts < 1:
@@ -77,6 +47,7 @@ def rating_lists_stream(stream: DataFrame, side: str = "item", parts: int = 16)
         raise ValueError("read the stream from lists.stateful_session(spark)")
     own, other = side_columns(side)
     early = F.lit(_EARLIEST)
+    now = F.unix_micros(F.current_timestamp())  # the same for a whole micro-batch, replayed or not
     rows = stream.where(F.col(own).isNotNull() & F.col(other).isNotNull() & F.col("rating").isNotNull()).select(
         F.col(own).alias("id"),
         F.pmod(F.xxhash64(other), F.lit(parts)).cast("int").alias("part"),
@@ -84,12 +55,13 @@ def rating_lists_stream(stream: DataFrame, side: str = "item", parts: int = 16)
         F.coalesce(F.unix_micros("rated_at"), early).alias("at"),
         F.coalesce("seq", early).alias("seq"),
         F.col("rating").cast("int").alias("rating"),
+        # Of equal events the first to arrive stays, so a replaced entry is one that arrived now.
+        (-now).alias("arrived"),
     )
-    return rows.groupBy("id", "part").transformWithStateInPandas(
-        statefulProcessor=_LatestPerCounterpart(),
-        outputStructType=_CHANGES,
-        outputMode="Update",
-        timeMode="None",
+    latest = F.max(F.struct("at", "seq", "rating", "arrived")).alias("latest")
+    entries = rows.groupBy("id", "part", "other_id").agg(latest)
+    return entries.where(F.col("latest.arrived") == -now).select(
+        "id", "part", "other_id", F.col("latest.rating").cast("smallint").alias("rating")
     )
 
 
@@ -107,15 +79,15 @@ def write_lists_stream(changes: DataFrame, checkpoint: str, table_path: str | No
 
 def read_rating_lists(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
     """Entries (id, part, other_id, rating) as the state had them after a micro-batch, the last by default."""
-    reader = spark.read.format("statestore").option("stateVarName", _STATE)
+    reader = spark.read.format("statestore")
     if batch_id is not None:
         reader = reader.option("batchId", batch_id)
     state = reader.load(checkpoint)
     return state.select(
         F.col("key.id").alias("id"),
         F.col("key.part").alias("part"),
-        F.col("user_map_key.other_id").alias("other_id"),
-        F.col("user_map_value.rating").cast("smallint").alias("rating"),
+        F.col("key.other_id").alias("other_id"),
+        F.col("value.max.rating").cast("smallint").alias("rating"),
     )
 
 

@@ -51,3 +51,16 @@ def test_other_sessions_are_refused(spark, paths):
         lists.rating_lists_stream(source.read_ratings_stream(spark, paths["in"]))
     with pytest.raises(ValueError, match="parts"):
         lists.rating_lists_stream(source.read_ratings_stream(lists.stateful_session(spark), paths["in"]), parts=0)
+
+
+def test_entries_are_kept_by_an_aggregate_and_late_events_return_nothing(spark, paths):
+    """No call into Python for each entry: the state operator is Spark's own."""
+    put(spark, paths["in"], [(1, 1, 2, "2024-01-02", 1), (2, 1, 3, "2024-01-02", 2)])
+    stream = lists.rating_lists_stream(source.read_ratings_stream(lists.stateful_session(spark), paths["in"]), "item", 4)
+    query = lists.write_lists_stream(stream, paths["check"], paths["table"])
+    query.awaitTermination()
+    assert [o["operatorName"] for o in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
+    put(spark, paths["in"], [(1, 1, 5, "2024-01-01", 3), (2, 1, 3, "2024-01-02", 2), (3, 1, 1, "2024-01-02", 4)])
+    run(spark, paths, table=paths["table"])
+    landed = [(r.batch, r.other_id, r.rating) for r in spark.read.parquet(paths["table"]).collect()]
+    assert sorted(landed) == [(0, 1, 2), (0, 2, 3), (1, 3, 1)]
