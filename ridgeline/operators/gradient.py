@@ -2,7 +2,8 @@
 
 A step multiplies every entity's matrix F'F + reg * n * I with its search direction p as the sum
 of f * (f . p) over its ratings, so ``rank`` numbers per entity (and part or block) cross the
-network where a formed system has ``rank * rank``. The ratings and their layout stay where they
+network where a formed system has ``rank * rank``. As with formed systems, the sums run inside generated
+code up to ``linalg.EXPR_MAX_RANK`` and over Arrow batches above it. The ratings and their layout stay where they
 are: directions are sent to them, partial products come back, and no joined row moves.
 
 The state of a step is a table; an entity whose residual is small enough stays in the table of
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ridgeline import workdir
-from ridgeline.functions.columns import block_of
-from ridgeline.functions.linalg import _OUTER_DOUBLES, _list_array, _matrix, _run_starts
+from ridgeline.functions.columns import block_of, dot_columns, features_to_columns
+from ridgeline.functions.linalg import EXPR_MAX_RANK, _OUTER_DOUBLES, _list_array, _matrix, _run_starts
 from ridgeline.operators import skew
 from ridgeline.operators.layout import Layout, block_partitioning, build_layout
 from ridgeline.operators.quality import checked_ratings
@@ -78,6 +79,7 @@ def _whole(batches):
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)  # fields that may be null, as below
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         ids = table.column("id").to_numpy()
         starts = _run_starts(ids)
@@ -141,6 +143,17 @@ def _sent(layout: Layout, directions: DataFrame) -> tuple[DataFrame, list[str]]:
     return sent.hint("merge"), layout.group_keys
 
 
+def _summed(joined: DataFrame, keys: list[str], rank: int, first: bool) -> DataFrame:
+    """What ``_product_batches`` adds up, as plain sums per key inside generated code."""
+    vectors = [*features_to_columns("features", rank, "f"), *features_to_columns("direction", rank, "p")]
+    rows = joined.select(*dict.fromkeys([*keys, "id"]), "weight", "rating", *vectors)
+    rows = rows.withColumn("dot", dot_columns("f", "p", rank) * F.col("weight"))
+    factor = "(rating - dot)" if first else "dot"
+    terms = [f"f{q} * {factor}" for q in range(rank)] + [f"f{q} * rating" for q in range(rank if first else 0)]
+    sums = rows.groupBy(*keys).agg(F.sum("weight").alias("n"), *[F.expr(f"sum({x})").alias(f"s{q}") for q, x in enumerate(terms)])
+    return sums.select("id", "n", F.array(*[f"s{q}" for q in range(len(terms))]).alias("product"))
+
+
 def products(layout: Layout, factors: DataFrame, directions: DataFrame | None, rank: int, first: bool) -> DataFrame:
     """(id, n, product) partial products per id and task, for the ids that have a direction.
 
@@ -156,9 +169,10 @@ def products(layout: Layout, factors: DataFrame, directions: DataFrame | None, r
         if first:
             joined = joined.withColumn("direction", F.coalesce("direction", zeros))
     weight = F.col("weight") if "weight" in joined.columns else F.lit(1)
-    rows = joined.sortWithinPartitions("id").select(
-        "id", weight.cast("bigint").alias("weight"), F.col("rating").cast("double").alias("rating"), "features", "direction"
-    )
+    values = {"weight": weight.cast("bigint"), "rating": F.col("rating").cast("double")}
+    if rank <= EXPR_MAX_RANK:
+        return _summed(joined.withColumns(values), layout.group_keys, rank, first)
+    rows = joined.withColumns(values).sortWithinPartitions("id").select("id", "weight", "rating", "features", "direction")
     return rows.mapInArrow(lambda batches: _product_batches(batches, rank, first), _PRODUCT_SCHEMA)
 
 

@@ -97,3 +97,16 @@ def test_refusals(spark, hand):
     layout = build_layout(hand, "item", 2, "broadcast", kernel="sums")
     with pytest.raises(ValueError):
         gradient.solve(layout, init_user_factors(hand, 2), 2, REG, workdir.new_run_dir(spark, "t"))
+
+
+def test_narrow_products_are_sums_in_the_plan(spark, hand):
+    """Up to rank 12 no rating goes through Python; parts and weights count as in the batches."""
+    users = init_user_factors(hand, 2)
+    layout = build_layout(hand, "item", 2, "broadcast", kernel="batches")
+    assert "MapInArrow" not in plan_of(gradient.products(layout, users, None, 2, first=True))
+    f, rows = {r["id"]: np.array(r["features"]) for r in users.collect()}, triples(hand)
+    found = {r["id"]: (r["n"], r["product"]) for r in gradient.products(layout, users, None, 2, first=True).collect()}
+    for item in {i for _, i, _ in rows}:
+        right = sum(f[u] * r for u, i, r in rows if i == item)
+        assert found[item][0] == sum(i == item for _, i, _ in rows)
+        assert np.allclose(found[item][1], [*right, *right])
