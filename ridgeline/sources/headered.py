@@ -67,6 +67,18 @@ def fill_down(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(kernel, schema)
 
 
+def with_fields(filled: DataFrame) -> DataFrame:
+    """Add what a rating line holds, so that no reader of the table parses its lines again."""
+    part = lambda n: F.get("fields", F.lit(n))
+    return filled.withColumn("fields", F.split("line", ",")).select(
+        *filled.columns,
+        (F.trim(F.coalesce(part(1), F.lit(""))) != "").alias("has_rating"),
+        part(0).try_cast("int").alias("user_id"),
+        part(1).try_cast("smallint").alias("rating"),
+        part(2).try_cast("date").alias("rated_on"),
+    )
+
+
 def _carry(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """Per split, the header in force where it begins. One row per split."""
     ends = lines.groupBy("file", "split_file", "split_start").agg(
@@ -96,7 +108,7 @@ def scan_headered_lines(spark: SparkSession, paths) -> DataFrame:
     """
     lines = _lines(spark, paths).withColumn("split_file", F.xxhash64("file"))
     lines = lines.select("line", "file", "split_file", "split_start", "pos", "header")
-    filled = workdir.write_table(fill_down(lines), workdir.new_run_dir(spark, "headered-lines"))
+    filled = workdir.write_table(with_fields(fill_down(lines)), workdir.new_run_dir(spark, "headered-lines"))
     carry = _carry(spark, filled)
     facts = carry.agg(
         F.count(F.lit(1)).alias("splits"),
@@ -117,17 +129,13 @@ def scan_headered_lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def classified(filled: DataFrame) -> DataFrame:
-    """Parsed fields and reasons of lines with ``seen`` and, for what precedes it, ``carried``."""
-    fields = F.split("line", ",")
+    """Reasons of lines ``with_fields`` that have ``seen`` and, for what precedes it, ``carried``."""
     parsed = filled.select(
         "line",
         F.col("header").isNotNull().alias("is_header"),
         F.col("header"),
         F.coalesce("seen", "carried").alias("item"),
-        F.trim(F.get(fields, F.lit(1))).alias("rating_text"),
-        F.get(fields, F.lit(0)).try_cast("int").alias("user_id"),
-        F.get(fields, F.lit(1)).try_cast("smallint").alias("rating"),
-        F.get(fields, F.lit(2)).try_cast("date").alias("rated_on"),
+        "has_rating", "user_id", "rating", "rated_on",
         "split_file", "split_start", "pos",
     )
     item = F.col("item")
@@ -135,7 +143,7 @@ def classified(filled: DataFrame) -> DataFrame:
         F.col("header") < 0, "negative_id"
     )
     line_reason = (
-        F.when(F.coalesce(F.col("rating_text"), F.lit("")) == "", "missing_field")
+        F.when(~F.col("has_rating"), "missing_field")
         .when(F.col("user_id").isNull() | F.col("rating").isNull(), "bad_number")
         .when(item.isNull() | (item == _BAD), "no_header")
         .when((F.col("user_id") < 0) | (item < 0), "negative_id")

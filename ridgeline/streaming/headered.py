@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import workdir
 from ridgeline.schemas import RATINGS, REJECTS
-from ridgeline.sources.headered import classified, fill_down, line_columns
+from ridgeline.sources.headered import classified, fill_down, line_columns, with_fields
 
 _CARRY = "header bigint, last_file string"
 
@@ -44,7 +44,7 @@ def land_batch(batch: DataFrame, batch_id: int, table_path: str) -> None:
         F.monotonically_increasing_id().alias("pos"),
     ).select("line", "file", "split_file", "split_start", "pos", "header")
     path = workdir.new_run_dir(spark, "headered-batch")
-    filled = workdir.write_table(fill_down(lines), path)
+    filled = workdir.write_table(with_fields(fill_down(lines)), path)
     # One row per split: few, whatever the lines.
     ends = filled.groupBy("file", "split_file", "split_start").agg(
         F.max_by("header", F.when(F.col("header").isNotNull(), F.col("pos"))).alias("last_header")

@@ -147,3 +147,15 @@ def test_profile_and_duplicates(spark, hand):
     assert (about["users"], about["items"]) == (4, 4)
     twice = hand.unionByName(hand.limit(2))
     assert sorted(r["n"] for r in duplicated_pairs(twice).collect()) == [2, 2]
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """What reads the written table finds the fields in it; rejects and ratings split no line again."""
+    (tmp_path / "a.txt").write_text("1:\n5,3,2024-01-02\n5,4,2024-01-03\n6, ,\n7\n8,x,\n9,2,never\n")
+    good, rejects = split_rejects(scan_headered_lines(spark, str(tmp_path)))
+    for frame in (good, rejects):
+        assert "split(line" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.user_id, r.rating, r.rated_on is None) for r in good.collect()) == [(5, 4, False), (9, 2, True)]
+    assert sorted(tuple(r) for r in rejects.collect()) == [
+        ("5,3,2024-01-02", "duplicate"), ("6, ,", "missing_field"), ("7", "missing_field"), ("8,x,", "bad_number")
+    ]
