@@ -43,7 +43,7 @@ from pyspark.sql import Window
 from ridgeline.llm.arrow import runs, text_bytes
 from ridgeline.llm.components import components
 from ridgeline.llm.words import sequence_hash, shingle_hashes, word_hashes
-from ridgeline.workdir import new_run_dir, write_table
+from ridgeline.workdir import delete_dir, new_run_dir, write_table
 
 K = 64
 #: Values kept of the sets that share lists.
@@ -363,12 +363,22 @@ def near_duplicates(
     """Per row: doc_id, n_shingles, component_id (smallest linked id), kept."""
     spark = docs.sparkSession
 
+    folders: dict[str, list[str]] = {}
+
     def stored(df: DataFrame, label: str) -> DataFrame:
-        return write_table(df, new_run_dir(spark, label))
+        folders.setdefault(label, []).append(new_run_dir(spark, label))
+        return write_table(df, folders[label][-1])
+
+    def dropped(*labels: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for label in labels:
+            for path in folders.pop(label, []):
+                delete_dir(spark, path)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed = stored(signatures(rows, shingle, k), "signatures")
-    linkable = signed.where("n_shingles > 0 and doc_id is not null")
+    sketched = stored(signatures(rows, shingle, k), "sketches")
+    signed = stored(sketched.drop("sketch"), "signatures")  # all that the result needs
+    linkable = sketched.where("n_shingles > 0 and doc_id is not null")
     heads = linkable.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("id"))
     heads = stored(heads, "classes")
     classes = (
@@ -378,12 +388,15 @@ def near_duplicates(
         .select("id", "print_a", "print_b", F.col("n_shingles").alias("n"), "sketch")
     )
     classes = stored(classes, "class-sketches")
+    dropped("sketches")
+    linkable = signed.where("n_shingles > 0 and doc_id is not null")
     lists = stored(_rare_lists(classes, k, percent), "rare-lists")
     members = lists.select("id").distinct()
     texts = rows.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi")
     texts = stored(texts.dropDuplicates(["id", "text"]), "candidate-texts")
     edges = stored(_verified(_first_pairs(lists, classes, k, percent), texts, shingle, percent), "links")
     labels = components(edges)
+    dropped("class-sketches", "links")
     profiled = stored(profiles(texts, shingle), "profiles")
     for nearest in (True, False):
         pairs = _mixed_pairs(lists, labels, profiled, percent, nearest)
@@ -399,6 +412,7 @@ def near_duplicates(
         if done:
             break
         lists = lists.join(unsure.select("value").distinct(), "value", "left_semi")
+    dropped("rare-lists", "candidate-texts", "profiles", "near-pairs", "links")
     several = linkable.groupBy("doc_id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high"))
     several = stored(several.where("low <> high"), "repeated-ids")
     if not several.isEmpty():
