@@ -74,6 +74,15 @@ def default_partitions(spark: SparkSession, total: int) -> int:
     return max(by_size, min(spark.sparkContext.defaultParallelism, useful), 1)
 
 
+def spread_rows(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of about ``rows`` rows, partitioned by ``keys`` if a task of the session's partitions would hold too many.
+
+    Adaptive execution joins partitions of a grouping or sort but cannot cut them.
+    """
+    wanted = -(-rows // ROWS_PER_PARTITION)
+    return df.repartition(wanted, *keys) if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def block_partitions(num_blocks: int, total: int) -> int:
     """``num_blocks``, or a multiple that cuts every block alike when blocks hold too many rows for a task."""
     return num_blocks * max(1, -(-total // (ROWS_PER_PARTITION * num_blocks)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.operators.layout import spread_rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,14 +26,14 @@ def order_ratings(spark: SparkSession, sf_dir: str, dated: bool = False) -> Data
     ]
     if dated:
         aggs.append(F.max("o_orderdate").cast("date").alias("rated_on"))
-    return (
-        purchases(spark, sf_dir)
-        .groupBy(
-            F.col("o_custkey").cast("int").alias("user_id"),
-            F.col("l_partkey").cast("int").alias("item_id"),
-        )
-        .agg(*aggs)
+    bought = purchases(spark, sf_dir).select(
+        F.col("o_custkey").cast("int").alias("user_id"),
+        F.col("l_partkey").cast("int").alias("item_id"),
+        "l_quantity",
+        "o_orderdate",
     )
+    lines = table(spark, sf_dir, "lineitem").count()  # from the footers
+    return spread_rows(bought, lines, "user_id", "item_id").groupBy("user_id", "item_id").agg(*aggs)
 
 
 def event_ratings(events: DataFrame) -> DataFrame:

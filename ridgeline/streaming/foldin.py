@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ridgeline import workdir
 from ridgeline.operators.als import ALSModel
 from ridgeline.operators.gate import latest_factors
-from ridgeline.operators.layout import half_step
+from ridgeline.operators.layout import half_step, spread_rows
+from ridgeline.operators.skew import BROADCAST_IDS
 from ridgeline.schemas import FACTORS, side_columns
 from ridgeline.sources.factors import load_model, model_versions
 
@@ -29,9 +30,16 @@ SIDES = ("user", "item")
 
 
 def touched_ratings(ratings: DataFrame, changes: DataFrame, side: str) -> DataFrame:
-    """All ratings of the ids of ``side`` that occur in ``changes``."""
+    """All ratings of the ids of ``side`` that occur in ``changes``.
+
+    Both are tables, so counting them reads their footers. Few changes are sent to the ratings; for
+    many the ratings are laid out by id first, in as many partitions as their number asks for.
+    """
     own, _ = side_columns(side)
-    return ratings.join(changes.select(own).distinct(), own, "left_semi")
+    ids = changes.select(own).distinct()
+    if changes.count() <= BROADCAST_IDS:
+        return ratings.join(F.broadcast(ids), own, "left_semi")
+    return spread_rows(ratings, ratings.count(), own).join(ids, own, "left_semi")
 
 
 def fold_in(ratings: DataFrame, counterpart: DataFrame, side: str, rank: int, reg: float, **options) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import workdir
 from ridgeline.operators.als import ALSFactorizer
+from ridgeline.operators.layout import spread_rows
 from ridgeline.schemas import RATING_EVENTS
 from ridgeline.streaming import foldin
 
@@ -61,8 +62,11 @@ def current_ratings(
     if not paths:
         return spark.createDataFrame([], RATING_EVENTS)
     rows = spark.read.schema(RATING_EVENTS).parquet(*paths).select(*_COLUMNS)
-    rows = rows if only is None else only(rows)
-    return rows if len(paths) == 1 else latest_per_pair(rows)
+    if len(paths) == 1:
+        return rows if only is None else only(rows)
+    found = rows.count()  # from the footers
+    rows = spread_rows(rows, found, "user_id", "item_id") if only is None else only(rows)
+    return latest_per_pair(rows)
 
 
 def write_delta(batch: DataFrame, batch_id: int, table_path: str) -> None:

@@ -6,7 +6,8 @@ import pytest
 
 from ridgeline import workdir
 from ridgeline.operators import layout
-from ridgeline.plans import queries
+from ridgeline.plans import derive, queries
+from ridgeline.streaming import foldin
 
 from brute import close, collected
 from conftest import SF_DIR
@@ -40,3 +41,25 @@ def test_headered_text_has_files_by_its_size(spark, monkeypatch):
     assert sorted(map(tuple, queries.stream_headered(spark, SF_DIR).collect())) == whole
     few, many = [len(glob.glob(f"{p}/text/step=0/part-*")) for p in made if "headered-stream" in p]
     assert few == 2 and many > 2
+
+
+def test_ratings_of_many_rows_get_partitions_by_their_number(spark, monkeypatch):
+    """More rows than the session's partitions should hold: the grouping has as many as they ask for."""
+    usual = derive.order_ratings(spark, SF_DIR, dated=True)
+    rows = derive.table(spark, SF_DIR, "lineitem").count()
+    monkeypatch.setattr(layout, "ROWS_PER_PARTITION", 100)
+    found = derive.order_ratings(spark, SF_DIR, dated=True)
+    assert found.rdd.getNumPartitions() == -(-rows // 100)
+    assert sorted(found.collect()) == sorted(usual.collect())
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_touched_ratings_are_few_or_laid_out_by_id(spark, monkeypatch, few):
+    monkeypatch.setattr(layout, "ROWS_PER_PARTITION", 5)
+    monkeypatch.setattr(foldin, "BROADCAST_IDS", few)
+    ratings = spark.createDataFrame([(u % 9, u, 1 + u % 5) for u in range(90)], "user_id int, item_id int, rating smallint")
+    changes = ratings.where("user_id < 4").select("user_id", "item_id")
+    touched = foldin.touched_ratings(ratings, changes, "user")
+    assert sorted(touched.collect()) == sorted(ratings.where("user_id < 4").collect())
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert ("REPARTITION_BY_NUM" in plan) != bool(few)
