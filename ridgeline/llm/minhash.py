@@ -396,7 +396,7 @@ def near_duplicates(
     texts = stored(texts.dropDuplicates(["id", "text"]), "candidate-texts")
     edges = stored(_verified(_first_pairs(lists, classes, k, percent), texts, shingle, percent), "links")
     labels = components(edges)
-    dropped("class-sketches", "links")
+    dropped("links")
     profiled = stored(profiles(texts, shingle), "profiles")
     for nearest in (True, False):
         pairs = _mixed_pairs(lists, labels, profiled, percent, nearest)
