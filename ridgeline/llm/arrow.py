@@ -8,9 +8,14 @@ import numpy as np
 import pyarrow as pa
 
 
-def text_bytes(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of a string column."""
-    return column.cast(pa.large_binary()).to_pylist()
+#: Rows of a batch whose texts are Python objects at one time.
+SLICE = 256
+
+
+def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a string column, a slice of its rows at a time."""
+    for start in range(0, len(column), SLICE):
+        yield from column.slice(start, SLICE).cast(pa.large_binary()).to_pylist()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, shingle: int, k: int) -> DataFrame:
                 sizes.append(len(found))
                 first.append(np.uint64(sequence_hash(words, 1)).astype(np.int64))
                 second.append(np.uint64(sequence_hash(words, 2)).astype(np.int64))
-                sketches.append(found[:k])
+                sketches.append(found[:k].copy())  # a view would hold the whole set
             ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, dtype=np.int64), *sketches])
             yield pa.RecordBatch.from_arrays(
@@ -144,14 +144,17 @@ def profiles(texts: DataFrame, shingle: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(w, shingle) for w in word_hashes(text_bytes(batch.column(1)))]
-            kept = [x[:PROFILE] for x in found]
+            sizes, kept = [], []
+            for words in word_hashes(text_bytes(batch.column(1))):
+                found = shingle_set(words, shingle)
+                sizes.append(len(found))
+                kept.append(found[:PROFILE].copy())
             ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, dtype=np.int64), *kept])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(x) for x in found], type=pa.int64()),
+                    pa.array(sizes, type=pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
                 names=["id", "n", "sketch"],

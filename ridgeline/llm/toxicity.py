@@ -21,7 +21,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,16 +204,20 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS,
     weights_seen, vectors_seen = (np.zeros(len(chosen), dtype=np.float32) for _ in range(2))
     constant_seen = 0.0
     held = []
+    # One array each for all parts: many arrays of the size of a part stay with the process after the fit.
+    flats, owners = np.empty(uses, dtype=np.int32), np.empty(uses, dtype=np.min_scalar_type(max(map(len, parts))))
+    end = 0
     for part in parts:
         lengths = np.array([len(rows[i]) for i in part])
         if lengths.sum() == 0:
             continue
-        here, flat = np.unique(np.concatenate([position[rows[i]] for i in part]), return_inverse=True)
-        flat = flat.astype(np.int32)
+        start, end = end, end + int(lengths.sum())
+        flat, owner = flats[start:end], owners[start:end]
+        here, flat[:] = np.unique(np.concatenate([position[rows[i]] for i in part]), return_inverse=True)
         by_term = np.argsort(flat, kind="stable")
-        owner = np.repeat(np.arange(len(part), dtype=np.int32), lengths)[by_term]
+        owner[:] = np.repeat(np.arange(len(part), dtype=owner.dtype), lengths)[by_term]
         uses_of = np.bincount(flat, minlength=len(here))
-        held.append((labels[part], lengths, here, flat, owner, np.cumsum(uses_of) - uses_of))
+        held.append((labels[part], lengths, here, flat, owner, (np.cumsum(uses_of) - uses_of).astype(np.int32)))
     for _ in range(epochs):
         for at in random.permutation(len(held)):
             truth, lengths, here, flat, owner, first_use = held[at]
@@ -268,10 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_us
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, uses = [], 0
         for batch in batches:
-            for doc_id, label, found in zip(*(c.to_pylist() for c in batch.columns)):
-                uses += len(found) // 4
+            for doc_id, label, found in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
+                row = np.frombuffer(found.as_buffer(), dtype=np.int32)  # not copied
+                uses += len(row)
                 if not sample or uses <= most_uses:
-                    sample.append((doc_id, label, np.frombuffer(found, dtype=np.int32)))
+                    sample.append((doc_id, label, row))
         sample.sort(key=lambda row: row[0])
         model = fit_rows([r for _, _, r in sample], np.array([m for _, m, _ in sample], dtype=np.int64))
         kinds = (np.int32, np.float32, np.float32)
@@ -284,23 +288,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_us
         ready.repartition(1)
         .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
         .mapInArrow(learn, "inputs binary, weights binary, factors binary, constant double, width long")
-        .first()
+        .toArrow()  # a row would be copied several times on its way to Python
     )
-    if found is None:
+    if found.num_rows == 0:
         return fit_rows([], np.zeros(0, dtype=np.int64))
-    factors = np.frombuffer(found["factors"], dtype=np.float32).reshape(-1, found["width"])
-    inputs = np.frombuffer(found["inputs"], dtype=np.int32)
-    return Model(inputs, found["constant"], np.frombuffer(found["weights"], dtype=np.float32), factors)
+    parts = zip(("inputs", "weights", "factors"), (np.int32, np.float32, np.float32))
+    inputs, weights, factors = (np.frombuffer(found[name][0].as_buffer(), dtype=t) for name, t in parts)
+    return Model(inputs, found["constant"][0].as_py(), weights, factors.reshape(-1, found["width"][0].as_py()))
 
 
 def score(model: Model, text: Column) -> Column:
     """Probability of label 1 for a text column."""
 
-    @F.pandas_udf("double")
-    def scored(batch: pd.Series) -> pd.Series:
-        texts = batch.tolist()
-        parts = [model.scores(texts[i : i + 500]) for i in range(0, len(texts), 500)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def scored(batch: pa.Array) -> pa.Array:
+        parts = [model.scores(batch.slice(i, 500).to_pylist()) for i in range(0, len(batch), 500)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return scored(text.cast("string"))
 
