@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.words import PIECE, hash_stems, pieces
@@ -299,9 +299,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_us
 
 def score(model: Model, text: Column) -> Column:
     """Probability of label 1 for a text column."""
+    # As a broadcast it is written to a file piece by piece; inside the function it would be pickled in memory.
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(batch: pa.Array) -> pa.Array:
+        model = shared.value
         parts = [model.scores(batch.slice(i, 500).to_pylist()) for i in range(0, len(batch), 500)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
