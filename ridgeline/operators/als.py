@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -23,7 +24,10 @@ from ridgeline.operators.layout import (
     adaptive_cache,
     block_partitioning,
     build_layout,
+    passes_for,
     ratings_stats,
+    shuffle_cleanup,
+    vector_bytes,
 )
 from ridgeline.operators.progress import FitLog, ratings_print
 from ridgeline.operators.quality import ON_DUPLICATE, checked_ratings, combine_repeats, resolve_duplicates
@@ -201,7 +205,8 @@ class ALSFactorizer:
             base = base.persist(StorageLevel.MEMORY_AND_DISK)
         layouts = []
         try:
-            stats = ratings_stats(base)
+            with shuffle_cleanup(spark):
+                stats = ratings_stats(base)
             users, items, total = stats["user"].ids, stats["item"].ids, stats["user"].ratings
             for what, found, wanted in (("users", users, expected_users), ("items", items, expected_items)):
                 if wanted is not None and found != wanted:
@@ -215,9 +220,9 @@ class ALSFactorizer:
                 ).persist()
                 for side in ("user", "item")
             ]
-            if self.on_duplicate == "error":
-                _assert_unique(by_user)
-            with block_partitioning(spark):
+            with block_partitioning(spark), shuffle_cleanup(spark):
+                if self.on_duplicate == "error":
+                    _assert_unique(by_user)
                 return self._iterate(
                     spark, base, source, by_user, by_item, total, users, items, trace, metrics, resume,
                     on_iteration, stop,
@@ -238,12 +243,21 @@ class ALSFactorizer:
 
         What a half-step solved is observed while it runs: a vector per id, every rating met,
         all values finite.
+
+        A half-step that ships more vectors than a query should hold on disk is written block by block
+        in several passes, and then every iteration is written.
         """
         search = self.solver == "gradient"
-        every = 1 if trace or metrics or on_iteration or search or stop else self.checkpoint_interval
+        ids = {"user": users, "item": items}
+        others = {"user": items, "item": users}
+        shipped = {
+            layout.side: vector_bytes(min(total, others[layout.side] * layout.partitions), self.rank)
+            for layout in (by_item, by_user) if layout.strategy == "blocks"
+        }
+        large = passes_for(2 * self.checkpoint_interval * max(shipped.values(), default=0)) > 1
+        every = 1 if trace or metrics or on_iteration or search or stop or large else self.checkpoint_interval
         weighted = "weight" in base.columns
         expected = base.agg(F.sum("weight")).first()[0] if weighted else total
-        ids = {"user": users, "item": items}
         facts = (self.rank, self.reg, self.seed, self.on_duplicate, total, ratings_print(base) if resume else 0)
         log = FitLog(spark, resume or workdir.new_run_dir(spark, "als"), facts)
         trace_rows, metric_rows = [], []
@@ -253,6 +267,8 @@ class ALSFactorizer:
             raise ValueError(f"{resume} holds iteration {done}, after the {self.max_iter} that are asked for")
         if done:
             user, item = log.factors("user", done), log.factors("item", done)
+        elif large:  # every pass reads it
+            user = workdir.write_table(user, f"{log.path}/start-{uuid.uuid4().hex[:12]}")
 
         progress = None
         if stop is not None:
@@ -268,20 +284,22 @@ class ALSFactorizer:
                 fixed, before = (user, item) if layout is by_item else (item, user if iteration > 1 else None)
                 if search:
                     path = workdir.new_run_dir(spark, "gradient")
-                    solved = gradient.solve(layout, fixed, self.rank, self.reg, path, start=before)
+                    solved = [gradient.solve(layout, fixed, self.rank, self.reg, path, start=before)]
                 else:
-                    solved = layout.step(fixed, self.rank, self.reg, counts=True)
-                found = step.watched(solved)
+                    passes = layout.passes(shipped.get(layout.side, 0)) if commit else 1
+                    turns = [layout.only(turn, passes) for turn in range(passes)]
+                    solved = [turn.step(fixed, self.rank, self.reg, counts=True) for turn in turns]
+                parts = [step.watched(part) for part in solved]
                 waiting.append(step)
                 if commit:
-                    found = log.write(found, layout.side, iteration)
+                    found = log.write(parts, layout.side, iteration)
                     if search:
                         workdir.delete_dir(spark, path)
                     while waiting:
                         rows = waiting.pop(0).checked()
                     metric_rows.append((iteration, layout.side, rows, time.perf_counter() - started))
                 else:
-                    held.append(found := found.persist(StorageLevel.MEMORY_AND_DISK))
+                    held.append(found := parts[0].persist(StorageLevel.MEMORY_AND_DISK))
                 if layout is by_item:
                     item = found
                 else:
@@ -345,7 +363,7 @@ class ALSFactorizer:
                         side, self.rank, self.strategy, self.num_blocks, self.hot_limit, self.broadcast_limit, stats, self.kernel
                     )
                 )
-            with block_partitioning(stored.spark):
+            with block_partitioning(stored.spark), shuffle_cleanup(stored.spark):
                 return self._iterate(
                     stored.spark, base, base, *layouts, total, users, items, trace, metrics, resume, on_iteration, None
                 )

@@ -38,21 +38,23 @@ class HalfStep:
         self.name = f"{side} half-step of iteration {iteration}"
         self.ids = ids
         self.ratings = ratings
-        self.seen = Observation()
+        self.seen: list[Observation] = []
 
     def watched(self, solved: DataFrame) -> DataFrame:
-        """``solved`` (id, features, n) as (id, features)."""
+        """``solved`` (id, features, n) as (id, features); called once per pass of the half-step."""
         broken = F.exists("features", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+        self.seen.append(Observation())
         return solved.observe(
-            self.seen,
+            self.seen[-1],
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("received"),
             F.coalesce(F.sum(broken.cast("int")), F.lit(0)).alias("broken"),
         ).select("id", "features")
 
     def checked(self) -> int:
-        """Vectors solved, once the query has run; raises if the half-step was not complete."""
-        found = self.seen.get
+        """Vectors solved, once the queries have run; raises if the half-step was not complete."""
+        passes = [seen.get for seen in self.seen]
+        found = {name: sum(p[name] for p in passes) for name in ("rows", "received", "broken")}
         for what, got, wanted in (
             ("vectors", found["rows"], self.ids),
             ("ratings with a counterpart's vector", found["received"], self.ratings),

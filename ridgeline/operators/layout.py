@@ -18,7 +18,7 @@ about ``hot_limit`` of its rows; the partial systems are added up by id.
 from __future__ import annotations
 
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +34,8 @@ STRATEGIES = ("auto", "broadcast", "shuffle", "blocks")
 ROWS_PER_PARTITION = 2_000_000
 MIN_ROWS_PER_PARTITION = 20_000
 BROADCAST_LIMIT = 64 << 20
+#: What one query may shuffle of rows that carry vectors; more is done in several passes.
+PASS_BYTES = 8 << 30
 
 
 @dataclass(frozen=True)
@@ -88,6 +90,16 @@ def block_partitions(num_blocks: int, total: int) -> int:
     return num_blocks * max(1, -(-total // (ROWS_PER_PARTITION * num_blocks)))
 
 
+def vector_bytes(rows: int, rank: int) -> int:
+    """Shuffled bytes of that many rows with a vector each."""
+    return rows * (8 * rank + 32)
+
+
+def passes_for(shuffled: int) -> int:
+    """Queries into which a job that shuffles so many bytes is cut."""
+    return max(1, -(-shuffled // PASS_BYTES))
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
@@ -117,6 +129,14 @@ def fixed_partitioning(spark: SparkSession):
     return _setting(spark, "spark.sql.adaptive.enabled", "false")
 
 
+def shuffle_cleanup(spark: SparkSession):
+    """Delete the shuffle files of a query when it has ended, not when the driver next collects garbage.
+
+    What is cached stays, and a lost part of it is computed anew from its sources.
+    """
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 @dataclass
 class Layout:
     side: str
@@ -142,6 +162,24 @@ class Layout:
             if df is not None:
                 df.unpersist()
 
+    def passes(self, shipped: int) -> int:
+        """Passes over groups of whole blocks in which a half-step that ships so many bytes is done.
+
+        The parts of a hot id lie in several blocks, so a layout that merges parts has one pass.
+        """
+        if self.strategy != "blocks" or self.merge:
+            return 1
+        return min(self.partitions, passes_for(shipped))
+
+    def only(self, turn: int, passes: int) -> "Layout":
+        """The blocks of one of several passes."""
+        if passes == 1:
+            return self
+        low, high = (self.partitions * t // passes for t in (turn, turn + 1))
+        here = lambda block: (block >= low) & (block < high)
+        routes = self.routes.withColumn("blocks", F.filter("blocks", here))
+        return replace(self, data=self.data.where(here(F.col("block"))), routes=routes)
+
     def joined(self, factors: DataFrame, rank: int) -> DataFrame:
         """Each rating next to its counterpart's vector."""
         columns = [F.col("features")] if self.batches else features_to_columns("features", rank, "f")

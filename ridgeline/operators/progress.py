@@ -51,11 +51,13 @@ class FitLog:
     def factors(self, side: str, iteration: int) -> DataFrame:
         return self.spark.read.schema(FACTORS).parquet(f"{self.path}/{side}-factors-{iteration}")
 
-    def write(self, factors: DataFrame, side: str, iteration: int) -> DataFrame:
-        """Vectors as a table; what a broken-off run left in its place goes first."""
+    def write(self, parts: list[DataFrame], side: str, iteration: int) -> DataFrame:
+        """Vectors as a table, one part after the other; what a broken-off run left in its place goes first."""
         path = f"{self.path}/{side}-factors-{iteration}"
         workdir.delete_dir(self.spark, path)
-        return workdir.write_table(factors, path)
+        for part in parts:
+            part.write.mode("append").parquet(path)
+        return self.spark.read.schema(parts[0].schema).parquet(path)
 
     def commit(self, iteration: int, keep: int = 0) -> None:
         """Both sides are complete; tables of earlier iterations but ``keep`` are not needed any more."""

@@ -95,18 +95,21 @@ def join_vectors(
     row_bytes: int = 64,
     broadcast_limit: int = 64 << 20,
     hot_limit: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join ``rows`` with one-row-per-key ``vectors``, safe for hot keys.
 
     The vector side is broadcast only if its counted size is under the limit;
-    otherwise hot keys of ``rows`` are spread over ``hash(by)``.
+    otherwise hot keys of ``rows`` are spread over ``hash(by)``. Keys are counted in ``counted``, a table
+    of at least the same keys, or else ``rows`` are written and read twice.
     """
     if vector_rows is None:
         vector_rows = vectors.count()
     if vector_rows * row_bytes <= broadcast_limit:
         return rows.join(F.broadcast(vectors), key, how)
-    rows = workdir.write_table(rows, workdir.new_run_dir(rows.sparkSession, "spread-rows"))  # read twice below
-    hot, _ = find_hot(rows, key, hot_limit)
+    if counted is None:
+        rows = counted = workdir.write_table(rows, workdir.new_run_dir(rows.sparkSession, "spread-rows"))
+    hot, _ = find_hot(counted, key, hot_limit)
     if hot is None:
         return rows.join(vectors, key, how)
     left = spread(rows, hot, key, by, "_part")

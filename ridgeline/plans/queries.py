@@ -10,10 +10,10 @@ from ridgeline.functions.columns import features_to_columns, rounded
 from ridgeline.functions.linalg import solve_factors
 from ridgeline.operators import blocks, compare, gate, gradient, predict, quality
 from ridgeline.operators.als import ALSFactorizer, ALSModel
-from ridgeline.operators.evaluate import error_summary
+from ridgeline.operators.evaluate import in_passes, vector_passes
 from ridgeline.operators.holdout import Stop, split_cells
 from ridgeline.operators.init import init_user_factors
-from ridgeline.operators.layout import block_partitions, half_step, normal_equations
+from ridgeline.operators.layout import block_partitions, half_step, normal_equations, shuffle_cleanup
 from ridgeline.plans.derive import event_ratings, order_ratings, purchases, table
 from ridgeline.plans.oracle import HELD_OUT_SHARE, ITERATIONS, MOST_ITERATIONS, REG, STOP_GAIN
 from ridgeline.schemas import FACTORS
@@ -352,7 +352,8 @@ def fit_metrics(spark, sf_dir):
 
 def als_rank20_mse(spark, sf_dir):
     """The wide-rank path: systems built from Arrow batches."""
-    ratings = order_ratings(spark, sf_dir)
+    with shuffle_cleanup(spark):
+        ratings = workdir.write_table(order_ratings(spark, sf_dir), workdir.new_run_dir(spark, "ratings"))  # read twice
     return _rounded_errors(_fit(ratings, rank=20).evaluate(ratings))
 
 
