@@ -276,19 +276,32 @@ def als_batches_factors(spark, sf_dir):
 def als_rank20_gradient(spark, sf_dir):
     """The users' normal equations at rank 20, left minus right per feature: zero at a solution."""
     rank = 20
-    ratings = order_ratings(spark, sf_dir)
+    path = workdir.new_run_dir(spark, "gradients")
+    with shuffle_cleanup(spark):
+        ratings = workdir.write_table(order_ratings(spark, sf_dir), f"{path}/ratings")  # read by the fit and here
     model = _fit(ratings, rank=rank)
     users = model.user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("u"))
     items = model.item_factors.select(F.col("id").alias("item_id"), F.col("features").alias("m"))
-    # Users last: the join leaves each user's rows together, and they are summed before a row per feature is made.
-    both = ratings.join(items, "item_id").join(users, "user_id")
     guess = F.aggregate(F.zip_with("u", "m", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    rows = both.select("user_id", "u", "m", (guess - F.col("rating")).alias("e"))
     pulls = [
         (F.sum(F.col("e") * F.col("m")[q]) + F.count("*") * REG * F.first(F.col("u")[q])).alias(f"pull{q}") for q in range(rank)
     ]
     gradients = F.array(*[F.round(f"pull{q}", 6) + 0.0 for q in range(rank)])
-    return rows.groupBy("user_id").agg(*pulls).select("user_id", F.posexplode(gradients).alias("feature", "gradient"))
+
+    def of(ratings, users):
+        # Users last: the join leaves each user's rows together, and they are summed before a row per feature is made.
+        both = ratings.join(items, "item_id").join(users, "user_id")
+        rows = both.select("user_id", "u", "m", (guess - F.col("rating")).alias("e"))
+        return rows.groupBy("user_id").agg(*pulls).select("user_id", F.posexplode(gradients).alias("feature", "gradient"))
+
+    passes = vector_passes(ratings.count(), rank)
+    parts = [of(*both) for both in zip(in_passes(ratings, "user_id", passes), in_passes(users, "user_id", passes))]
+    if passes == 1:
+        return parts[0]
+    with shuffle_cleanup(spark):
+        for part in parts:
+            part.write.mode("append").parquet(f"{path}/found")
+    return spark.read.schema(parts[0].schema).parquet(f"{path}/found")
 
 
 def fit_metrics_checked(spark, sf_dir):

@@ -78,3 +78,13 @@ def test_ids_of_another_type_are_scored_in_passes(skewed, monkeypatch):
     monkeypatch.setattr(layout, "PASS_BYTES", 2_000)
     spread = model.evaluate(wide, broadcast_limit=0).first()
     assert spread["n"] == rated["n"] == skewed.count() and spread["mse"] == pytest.approx(rated["mse"])
+
+
+def test_gradients_in_passes(spark, monkeypatch):
+    whole = {tuple(r) for r in q.als_rank20_gradient(spark, SF_DIR).collect()}
+    made = []
+    in_passes = q.in_passes
+    monkeypatch.setattr(layout, "PASS_BYTES", 400_000)
+    monkeypatch.setattr(q, "in_passes", lambda rows, key, n: made.append(n) or in_passes(rows, key, n))
+    assert {tuple(r) for r in q.als_rank20_gradient(spark, SF_DIR).collect()} == whole
+    assert max(made) > 1
