@@ -88,3 +88,10 @@ def test_gradients_in_passes(spark, monkeypatch):
     monkeypatch.setattr(q, "in_passes", lambda rows, key, n: made.append(n) or in_passes(rows, key, n))
     assert {tuple(r) for r in q.als_rank20_gradient(spark, SF_DIR).collect()} == whole
     assert max(made) > 1
+
+
+def test_comparison_in_passes(spark, skewed, monkeypatch):
+    whole = {r["engine"]: r for r in compare.compare_builtin(skewed, rank=3, max_iter=2).collect()}
+    monkeypatch.setattr(layout, "PASS_BYTES", 2_000)
+    for row in compare.compare_builtin(skewed, rank=3, max_iter=2).collect():
+        assert row["n"] == whole[row["engine"]]["n"] and row["mse"] == pytest.approx(whole[row["engine"]]["mse"])
