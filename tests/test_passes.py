@@ -95,3 +95,10 @@ def test_comparison_in_passes(spark, skewed, monkeypatch):
     monkeypatch.setattr(layout, "PASS_BYTES", 2_000)
     for row in compare.compare_builtin(skewed, rank=3, max_iter=2).collect():
         assert row["n"] == whole[row["engine"]]["n"] and row["mse"] == pytest.approx(whole[row["engine"]]["mse"])
+
+
+def test_a_comparison_is_scored_once(spark, skewed):
+    """Its readers may read it twice: nothing of the ratings is left in the plan."""
+    found = compare.compare_builtin(skewed, rank=2, max_iter=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.count() == 2
